@@ -22,6 +22,49 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {"op4_token_counts": op4_token_counts}
+def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+
+
+def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from .common import scratch_root
+    from .packed_ids import read_packed, write_packed
+
+    path = f"{scratch_root(spark)}/packed-{uuid.uuid4().hex}"
+    write_packed(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return read_packed(spark, path)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import edit_fingerprints
+
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_simhash_groups": op2_simhash_groups,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_token_counts": op4_token_counts,
+    "op6_packed_ids": op6_packed_ids,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_order_minhash": op10_order_minhash,
+}
 
 SQL: dict[str, str] = {}
