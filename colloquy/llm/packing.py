@@ -74,7 +74,7 @@ def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), pattern
 
 
-def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 4000, gap: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 300, gap: float = 1e-4) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often to use them: the linear program's optimum, by column generation.
 
     Each round adds the pattern that the current prices value most and drops the one it displaces; it ends when
@@ -108,7 +108,7 @@ def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: i
     return [(basis[:, i], float(use[i])) for i in range(n) if use[i] > 0]
 
 
-def plan_runs(counts: dict[int, int], capacity: int, most_groups: int = 128, small_share: float = 1 / 16) -> list[Run]:
+def plan_runs(counts: dict[int, int], capacity: int, most_groups: int = 64, small_share: float = 0.4) -> list[Run]:
     """Runs that hold every item of ``counts`` (length: how many), each length from 1 to ``capacity``."""
     left = {n: c for n, c in counts.items() if c}
     runs = []
@@ -235,7 +235,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int, most_groups: int = 128) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, most_groups: int = 64) -> DataFrame:
     """``pieces`` (any columns, ``id``, ``piece``, ``length`` among them) with ``sequence_id`` and ``offset``.
 
     Items are ranked within their length, hashed into buckets so that a length that a third of the rows share is spread over
@@ -274,7 +274,7 @@ def pack(pieces: DataFrame, capacity: int, most_groups: int = 128) -> DataFrame:
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, most_groups: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, most_groups: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece of every document with its place: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A null text is empty (one piece that holds the end id alone); repeated rows are packed each; a null id is kept;
@@ -284,7 +284,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     return pack(pieces, capacity, most_groups).withColumnRenamed("id", id_col)
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, most_groups: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, most_groups: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The packed sequences themselves: ``sequence_id``, ``ids`` (array<int>) and ``docs``, the pieces they hold in order."""
     pieces, _ = save(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids=True), "pieces")
     item = F.struct("offset", "id", "piece", "ids")

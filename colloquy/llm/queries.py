@@ -58,11 +58,38 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+#: The chain's categories in order: a label's condition makes each true.
+TOXIC_CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_chain, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    chain = fit_chain(docs, table(spark, sf_dir, "labels"), TOXIC_CHAIN)
+    return score_toxicity(docs, chain).withColumn("rejected", F.col("p_toxic") >= 0.5)
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_packed_ids": op6_packed_ids,
+    "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_order_minhash": op10_order_minhash,
 }
