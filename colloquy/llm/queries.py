@@ -70,6 +70,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 #: The chain's categories in order: a label's condition makes each true.
 TOXIC_CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -89,6 +95,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_packed_ids": op6_packed_ids,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_order_minhash": op10_order_minhash,
