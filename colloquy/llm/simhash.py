@@ -154,3 +154,119 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     rooted, _ = save(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n_copies", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n_copies", "component_id")
     return found.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
+
+
+WORDS = 24  # 64-bit fingerprints of a long one, each with its own seed
+BAND = 24  # bits of a band; 64 bands make up the 1536 bits
+
+
+def long_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(``id``, ``x``, ``sig``): a hash that names the text, and its 1536-bit SimHash over shingles of ``words`` words."""
+    seeds = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+    def long_majority(h: np.ndarray) -> bytes:
+        if not len(h):
+            return bytes(8 * WORDS)
+        ones = np.zeros(64 * WORDS, dtype=np.int64)
+        for at in range(0, len(h), 2048):
+            x = h[None, at : at + 2048] ^ seeds
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = np.ascontiguousarray((x ^ (x >> np.uint64(31))).T)  # a row of all seeds' hashes for each shingle
+            ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = [long_majority(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary())], ["id", "x", "sig"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), text_name(text_col).alias("x"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, x long, sig binary")
+
+
+def text_name(text_col: str) -> Column:
+    """A 64-bit hash that names a text; null counts as empty."""
+    return F.xxhash64(F.lit("text"), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def bands(sig: Column) -> Column:
+    """For each band of 24 bits its number and bits as one long: a grid whose segments are single bits, at radius 0."""
+    return F.array(*[F.conv(F.hex(F.concat(F.lit(bytes([k])), F.substring(sig, 3 * k + 1, 3))), 16, 10).cast("long") for k in range(64 * WORDS // BAND)])
+
+
+def differing_bits(a: Column, b: Column) -> Column:
+    total = F.lit(0)
+    for k in range(4 * WORDS):
+        total = total + F.bit_count(F.conv(F.hex(F.substring(a, 2 * k + 1, 2)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(b, 2 * k + 1, 2)), 16, 10).cast("long")))
+    return total
+
+
+def near_text_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Texts with their least document, and links between texts whose shingle sets have a Jaccard similarity of ``similarity``.
+
+    At that similarity about 15 % of SimHash bits differ, far more than the 2 of 64 bits that a grid of
+    neighbouring cells can reach. So a fingerprint of 1536 bits is cut into 64 bands of 24 bits; texts that agree in a band
+    are candidates, the whole fingerprint's distance rules out chance meetings, and shingle sets decide. In a band's
+    cell all texts are compared with the least; those that differ from it are then compared with the rest.
+    """
+    spark = docs.sparkSession
+    found, found_path = save(long_fingerprints(docs, words, id_col, text_col), "long-fingerprints")
+    texts, _ = save(found.groupBy("x").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.max("sig").alias("sig")), "texts")
+    remove(spark, found_path)
+    placed = texts.select("x", F.explode(bands(F.col("sig"))).alias("cell"))
+    heads = placed.groupBy("cell").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("cell", "lo", "n")
+    members, members_path = save(placed.join(heads, "cell").select("cell", "x", "lo", "n"), "members")
+
+    sigs = texts.select("x", "sig")
+    # at the wanted similarity a bit differs with probability acos(2 s / (1 + s)) / pi; five standard errors are added
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    most = int(64 * WORDS * p + 5 * (64 * WORDS * p * (1 - p)) ** 0.5) + 1
+
+    def verify(pairs: DataFrame) -> tuple[DataFrame, str]:
+        near = pairs.join(sigs, "x").join(sigs.select(F.col("x").alias("y"), F.col("sig").alias("other")), "y")
+        near, near_path = save(near.filter(differing_bits(F.col("sig"), F.col("other")) <= most).select("x", "y"), "near")
+        ends = near.select("x").unionByName(near.select(F.col("y").alias("x"))).distinct()
+        named = docs.select(text_name(text_col).alias("x"), F.col(text_col).alias("text")).join(ends, "x", "left_semi")
+
+        def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["x", "set"])
+
+        sets, sets_path = save(named.mapInArrow(shingles, "x long, set array<long>").groupBy("x").agg(F.any_value("set").alias("set")), "shingles")
+        both = near.join(sets.withColumnRenamed("set", "a"), "x").join(sets.select(F.col("x").alias("y"), F.col("set").alias("b")), "y")
+        common = F.size(F.array_intersect("a", "b"))
+        union = F.size("a") + F.size("b") - common
+        out, path = save(both.filter((common >= F.lit(similarity) * union - 1e-9)).select("x", "y"), "near-texts")
+        remove(spark, near_path, sets_path)
+        return out, path
+
+    first, _ = verify(members.filter("x > lo").select("x", F.col("lo").alias("y")).distinct())
+    linked = first.select("x", F.col("y").alias("lo"))
+    apart = members.filter("x > lo and n > 2").join(linked, ["x", "lo"], "left_anti").select("cell", "x", "lo")
+    others = members.filter("x > lo and n > 2").select("cell", F.col("x").alias("y"))
+    again = apart.join(others, "cell").filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    second, _ = verify(again)
+    remove(spark, members_path)
+    return texts.select("x", "least", "rows"), first.unionByName(second).distinct()
+
+
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first by id of their group of near copies.
+
+    Groups are components of texts that are equal or whose sets of ``words``-word shingles have a Jaccard similarity of
+    ``similarity`` or more. Null and empty texts, and texts without words, are alike; null ids come last; of rows with
+    one id and text one stays; an empty table gives an empty one.
+    """
+    texts, linked = near_text_links(docs, words, similarity, id_col, text_col)
+    roots = components(linked, "x", "y")
+    grouped, _ = save(texts.join(roots, texts.x == roots.node, "left").select("x", "least", F.coalesce("root", "x").alias("root")), "grouped")
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("null_id"), "least", "x")).alias("best")).select("best.least", "best.x")
+    named = docs.withColumn("__x", text_name(text_col))
+    kept = named.join(best.withColumnsRenamed({"least": "__least", "x": "__x"}), "__x").filter(F.col(id_col).eqNullSafe(F.col("__least")))
+    kept, _ = save(kept.select(*docs.columns, "__x"), "kept")
+    many = kept.groupBy("__x").agg(F.count("*").alias("__n")).filter("__n > 1").select("__x")
+    single = kept.join(many, "__x", "left_anti")
+    return single.unionByName(kept.join(many, "__x", "left_semi").dropDuplicates(["__x"])).select(docs.columns)
