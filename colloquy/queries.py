@@ -1,4 +1,503 @@
 """The queries of the meeting operators over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import clock, text
+from .operators import intervals, languages, scoring, topics
+from .plans.inputs import TURNS_SQL, UTTERANCES_SQL, observations, table, turns, utterances
+from .sources import formats
+from .streaming import events as live
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+M = ["meeting_id"]
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query by its function's name, with its SQL."""
+
+    def keep(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+BLOCKS_SQL = (
+    UTTERANCES_SQL
+    + """,
+flags AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND start_ms - lag(end_ms) OVER w <= 1000 THEN 0 ELSE 1 END AS new
+          FROM utterances WINDOW w AS (PARTITION BY meeting_id ORDER BY idx)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY meeting_id ORDER BY idx) AS block FROM flags),
+blocks AS (SELECT meeting_id, block, min(speaker) AS speaker, arg_min(start_ms, idx) AS start_ms, arg_max(end_ms, idx) AS end_ms,
+                  count(*) AS n_utterances, CAST(sum(n_words) AS BIGINT) AS n_words FROM numbered GROUP BY meeting_id, block)"""
+)
+
+
+@query(
+    f"""WITH {BLOCKS_SQL}, t AS (SELECT meeting_id, speaker, CAST(sum(end_ms - start_ms) AS BIGINT) AS talk_ms, count(*) AS n_turns, CAST(sum(n_words) AS BIGINT) AS n_words
+      FROM blocks GROUP BY meeting_id, speaker)
+    SELECT *, round(talk_ms / greatest(sum(talk_ms) OVER (PARTITION BY meeting_id), 1), 6) AS share FROM t"""
+)
+def talk_time(spark: SparkSession, d: str) -> DataFrame:
+    blocks = intervals.speaker_blocks(utterances(spark, d))
+    held = blocks.groupBy("meeting_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("talk_ms"), F.count("*").alias("n_turns"), F.sum("n_words").alias("n_words"))
+    return held.withColumn("share", F.round(F.col("talk_ms") / F.greatest(F.sum("talk_ms").over(Window.partitionBy("meeting_id")), F.lit(1)), 6))
+
+
+@query(
+    f"""WITH {UTTERANCES_SQL}, t AS (SELECT meeting_id, speaker, CAST(sum(greatest(end_ms - start_ms, 0)) AS BIGINT) AS ms FROM utterances GROUP BY meeting_id, speaker)
+    SELECT *, round(ms / greatest(sum(ms) OVER (PARTITION BY meeting_id), 1), 6) AS share,
+      row_number() OVER (PARTITION BY meeting_id ORDER BY ms DESC, speaker) AS rank FROM t"""
+)
+def speaking_shares(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("meeting_id")
+    t = utterances(spark, d).groupBy("meeting_id", "speaker").agg(F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))).alias("ms"))
+    return t.withColumn("share", F.round(F.col("ms") / F.greatest(F.sum("ms").over(w), F.lit(1)), 6)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("ms"), "speaker")).cast("long"))
+
+
+@query(
+    f"""WITH {UTTERANCES_SQL}, t AS (SELECT meeting_id, speaker, min(idx) AS first_idx FROM utterances GROUP BY ALL)
+    SELECT meeting_id, string_agg(speaker, ',' ORDER BY first_idx) AS speakers, count(*) AS n_speakers FROM t GROUP BY meeting_id"""
+)
+def first_seen_speakers(spark: SparkSession, d: str) -> DataFrame:
+    first = utterances(spark, d).groupBy("meeting_id", "speaker").agg(F.min("idx").alias("first_idx"))
+    return first.groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_idx", "speaker"))), lambda x: x.speaker), ",").alias("speakers"), F.count("*").alias("n_speakers"))
+
+
+@query("""SELECT conv_id AS meeting_id, string_agg(trim(text), ' ' ORDER BY turn) AS document FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
+def transcript_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").filter(F.trim("text") != "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("t")))), lambda x: x.t), " ")
+    return rows.groupBy(F.col("conv_id").alias("meeting_id")).agg(joined.alias("document"))
+
+
+@query(f"WITH {UTTERANCES_SQL} SELECT meeting_id, idx, n_words, start_ms, end_ms FROM utterances")
+def utterance_word_count(spark: SparkSession, d: str) -> DataFrame:
+    return utterances(spark, d).select("meeting_id", "idx", "n_words", "start_ms", "end_ms")
+
+
+def islands_sql(source: str, keys: str, gap: int) -> str:
+    return f"""SELECT {keys}, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM (
+      SELECT *, sum(new) OVER (PARTITION BY {keys} ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM (
+        SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY {keys} ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {gap} THEN 0 ELSE 1 END AS new
+        FROM {source})) GROUP BY {keys}, island"""
+
+
+@query(f"WITH {TURNS_SQL} {islands_sql('turns', 'meeting_id', 500)}")
+def merge_adjacent_spans(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.islands(turns(spark, d), M, 500)
+
+
+@query(f"WITH {TURNS_SQL}, i AS ({islands_sql('turns', 'meeting_id', 0)}) SELECT meeting_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS covered_ms FROM i GROUP BY meeting_id")
+def total_covered_time(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.covered(turns(spark, d), M)
+
+
+@query(
+    f"""WITH {TURNS_SQL}, i AS ({islands_sql('turns', 'meeting_id', 0)}), c AS (SELECT meeting_id, sum(end_ms - start_ms) AS c FROM i GROUP BY meeting_id),
+    t AS (SELECT meeting_id, sum(end_ms - start_ms) AS t FROM turns GROUP BY meeting_id)
+    SELECT meeting_id, CAST(t AS BIGINT) AS spoken_ms, round(CASE WHEN t > 0 THEN (t - c) / t ELSE 0 END, 6) AS overlap_ratio FROM t JOIN c USING (meeting_id)"""
+)
+def overlap_ratio(spark: SparkSession, d: str) -> DataFrame:
+    rows = turns(spark, d)
+    total = rows.groupBy("meeting_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("spoken_ms"))
+    ratio = F.when(F.col("spoken_ms") > 0, (F.col("spoken_ms") - F.col("covered_ms")) / F.col("spoken_ms")).otherwise(0.0)
+    return total.join(intervals.covered(rows, M), "meeting_id").select("meeting_id", "spoken_ms", F.round(ratio, 6).alias("overlap_ratio"))
+
+
+CONTESTED_SQL = f"""{TURNS_SQL},
+ cut AS (SELECT a.meeting_id, a.pos, greatest(a.start_ms, b.start_ms) AS start_ms, least(a.end_ms, b.end_ms) AS end_ms FROM turns a JOIN turns b
+   ON a.meeting_id = b.meeting_id AND a.label <> b.label AND least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms)),
+ isl AS ({islands_sql('cut', 'meeting_id, pos', 0)}),
+ con AS (SELECT meeting_id, pos, CAST(sum(end_ms - start_ms) AS BIGINT) AS contested_ms FROM isl GROUP BY ALL),
+ frac AS (SELECT t.meeting_id, t.pos, t.end_ms - t.start_ms AS length_ms, coalesce(contested_ms, 0) AS contested_ms,
+   least(1.0, CASE WHEN t.end_ms > t.start_ms THEN coalesce(contested_ms, 0) / (t.end_ms - t.start_ms) ELSE 0 END) AS f FROM turns t LEFT JOIN con USING (meeting_id, pos))"""
+
+
+def contested(spark: SparkSession, d: str) -> DataFrame:
+    rows = turns(spark, d)
+    found = rows.join(intervals.overlap_fraction(rows, M, "pos", "label"), ["meeting_id", "pos"], "left")
+    length, shared = F.col("end_ms") - F.col("start_ms"), F.coalesce("contested_ms", F.lit(0))
+    return found.select("meeting_id", "pos", length.alias("length_ms"), shared.alias("contested_ms"), F.least(F.lit(1.0), F.when(length > 0, shared / length).otherwise(0.0)).alias("f"))
+
+
+@query(f"WITH {CONTESTED_SQL} SELECT meeting_id, pos, length_ms, contested_ms, round(f, 6) AS fraction FROM frac")
+def contested_fraction(spark: SparkSession, d: str) -> DataFrame:
+    return contested(spark, d).withColumn("fraction", F.round("f", 6)).drop("f")
+
+
+@query(f"WITH {CONTESTED_SQL} SELECT CASE WHEN f < 0.05 THEN 'clean' WHEN f < 0.5 THEN 'light' ELSE 'heavy' END AS band, count(*) AS n_turns, CAST(sum(length_ms) AS BIGINT) AS ms FROM frac GROUP BY 1")
+def overlap_fraction_bands(spark: SparkSession, d: str) -> DataFrame:
+    band = F.when(F.col("f") < 0.05, "clean").when(F.col("f") < 0.5, "light").otherwise("heavy")
+    return contested(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n_turns"), F.sum("length_ms").alias("ms"))
+
+
+@query(
+    f"""WITH {TURNS_SQL}, obs AS (SELECT meeting_id, start_ms + 1500 - 1500 AS start_ms, end_ms + 1500 - 1500 AS end_ms, upper(speaker) AS name FROM utterances)
+    SELECT t.meeting_id, t.label, o.name, CAST(sum(least(t.end_ms, o.end_ms) - greatest(t.start_ms, o.start_ms)) AS BIGINT) AS overlap_ms
+    FROM turns t JOIN obs o ON t.meeting_id = o.meeting_id AND least(t.end_ms, o.end_ms) > greatest(t.start_ms, o.start_ms) GROUP BY ALL"""
+)
+def turn_overlap_matrix(spark: SparkSession, d: str) -> DataFrame:
+    seen = observations(spark, d).withColumn("start_ms", F.col("start_ms") - 1500).withColumn("end_ms", F.col("end_ms") - 1500)
+    return intervals.overlap_join(turns(spark, d), seen, M).groupBy("meeting_id", "label", F.col("r_name").alias("name")).agg(F.sum("overlap_ms").alias("overlap_ms"))
+
+
+@query(
+    f"""WITH {TURNS_SQL}, words AS (SELECT meeting_id, idx, CAST(k AS INT) AS k, start_ms + 400 * k AS start_ms, start_ms + 400 * k + 400 AS end_ms
+      FROM (SELECT meeting_id, idx, start_ms, unnest(range(n_words)) AS k FROM utterances)),
+    s AS (SELECT w.meeting_id, w.idx, w.k, t.label, CAST(sum(least(w.end_ms + 200, t.end_ms) - greatest(w.start_ms - 200, t.start_ms)) AS BIGINT) AS score FROM words w JOIN turns t
+      ON w.meeting_id = t.meeting_id AND least(w.end_ms + 200, t.end_ms) > greatest(w.start_ms - 200, t.start_ms) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY meeting_id, idx, k ORDER BY score DESC, label))
+    SELECT meeting_id, idx, label, count(*) AS n_words, CAST(sum(score) AS BIGINT) AS score FROM r WHERE rank = 1 AND (next IS NULL OR next <= 0 OR score >= 1.5 * next) GROUP BY ALL"""
+)
+def word_candidate_scores(spark: SparkSession, d: str) -> DataFrame:
+    k = F.explode(F.sequence(F.lit(0), F.col("n_words").cast("int") - 1))
+    words = utterances(spark, d).filter("n_words > 0").select("meeting_id", "idx", "start_ms", k.alias("k"))
+    words = words.withColumn("start_ms", F.col("start_ms") + 400 * F.col("k")).withColumn("end_ms", F.col("start_ms") + 400)
+    scores = intervals.overlap_join(words, turns(spark, d), M, 200, 200).groupBy("meeting_id", "idx", "k", "r_label").agg(F.sum("overlap_ms").alias("score"))
+    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("r_label").alias("label"))))  # a word's few labels
+    top = scores.groupBy("meeting_id", "idx", "k").agg(best.alias("b")).select("meeting_id", "idx", F.col("b")[0]["label"].alias("label"), (-F.col("b")[0]["neg"]).alias("score"), (-F.get("b", F.lit(1))["neg"]).alias("next"))
+    clear = top.filter(F.col("next").isNull() | (F.col("next") <= 0) | (F.col("score") >= 1.5 * F.col("next")))
+    return clear.groupBy("meeting_id", "idx", "label").agg(F.count("*").alias("n_words"), F.sum("score").alias("score"))
+
+
+@query(
+    f"""WITH {TURNS_SQL}, gaps AS (SELECT meeting_id, idx AS row, end_ms AS start_ms, end_ms + 300 AS end_ms FROM utterances),
+    p AS (SELECT g.meeting_id, g.row, t.label, t.pos, greatest(t.start_ms - g.end_ms, g.start_ms - t.end_ms, 0) AS gap FROM gaps g JOIN turns t ON g.meeting_id = t.meeting_id),
+    b AS (SELECT meeting_id, row, arg_min(label, gap * 1000000 + pos) AS label FROM p WHERE gap < 2000 GROUP BY ALL)
+    SELECT meeting_id, row, label FROM gaps LEFT JOIN b USING (meeting_id, row)"""
+)
+def nearest_turn(spark: SparkSession, d: str) -> DataFrame:
+    gaps = utterances(spark, d).select("meeting_id", F.col("idx").alias("row"), F.col("end_ms").alias("start_ms"), (F.col("end_ms") + 300).alias("end_ms"))
+    return intervals.nearest(gaps, turns(spark, d).filter("end_ms > start_ms"), M, 2000, "pos", "label").select("meeting_id", "row", "label")
+
+
+@query(
+    f"""WITH {TURNS_SQL}, e AS (
+      SELECT meeting_id, start_ms AS tm, 1 AS l, 0 AS r FROM utterances UNION ALL SELECT meeting_id, end_ms, -1, 0 FROM utterances
+      UNION ALL SELECT meeting_id, start_ms, 0, 1 FROM turns UNION ALL SELECT meeting_id, end_ms, 0, -1 FROM turns),
+    a AS (SELECT meeting_id, tm, sum(l) AS l, sum(r) AS r FROM e GROUP BY ALL),
+    run AS (SELECT meeting_id, tm AS start_ms, lead(tm) OVER w AS end_ms, sum(l) OVER w AS l, sum(r) OVER w AS r FROM a WINDOW w AS (PARTITION BY meeting_id ORDER BY tm)),
+    free AS (SELECT meeting_id, start_ms, end_ms FROM run WHERE l > 0 AND r <= 0 AND end_ms > start_ms)
+    SELECT meeting_id, start_ms, end_ms FROM ({islands_sql('free', 'meeting_id', 0)})"""
+)
+def uncovered_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.difference(utterances(spark, d), turns(spark, d), M)
+
+
+@query(
+    f"""WITH {TURNS_SQL}, e AS (SELECT meeting_id, start_ms AS at_ms, 1 AS d FROM turns UNION ALL SELECT meeting_id, end_ms, -1 FROM turns), a AS (SELECT meeting_id, at_ms, sum(d) AS d FROM e GROUP BY ALL)
+    SELECT meeting_id, at_ms, CAST(sum(d) OVER (PARTITION BY meeting_id ORDER BY at_ms) AS BIGINT) AS active FROM a"""
+)
+def active_speaker_counts(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.active_counts(turns(spark, d), M)
+
+
+@query(
+    """WITH c AS (SELECT user_id, ts, arg_max(value, event_id) AS v FROM events WHERE event_type = 'click' GROUP BY ALL)
+    SELECT p.event_id, p.user_id, round(c.v, 6) AS click_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts"""
+)
+def asof_signal_value(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    left = rows.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = rows.filter("event_type = 'click'").select("user_id", "ts", "event_id", "value").withColumnRenamed("event_id", "nth")
+    return intervals.as_of(left, right, ["user_id"], "ts", "nth", "value").select("event_id", "user_id", F.round("value", 6).alias("click_value"))
+
+
+REGIONS_SQL = f"""{TURNS_SQL}, ref AS (SELECT meeting_id, start_ms, end_ms, speaker AS label FROM utterances WHERE end_ms > start_ms), hyp AS (SELECT meeting_id, start_ms, end_ms, label FROM turns WHERE end_ms > start_ms),
+ marks AS (SELECT meeting_id, unnest([start_ms, end_ms]) AS tm FROM ref),
+ cuts AS (SELECT meeting_id, tm AS start_ms, lead(tm) OVER (PARTITION BY meeting_id ORDER BY tm) AS end_ms FROM (
+   SELECT meeting_id, tm - 250 AS tm FROM marks UNION SELECT meeting_id, tm + 250 FROM marks UNION SELECT meeting_id, unnest([start_ms, end_ms]) FROM ref UNION SELECT meeting_id, unnest([start_ms, end_ms]) FROM hyp)),
+ kept AS (SELECT * FROM cuts c WHERE end_ms > start_ms AND NOT EXISTS (SELECT 1 FROM marks m WHERE m.meeting_id = c.meeting_id AND m.tm - 250 < c.end_ms AND m.tm + 250 > c.start_ms)),
+ a AS (SELECT k.meeting_id, k.start_ms, k.end_ms, list_sort(list(DISTINCT label)) AS reference FROM kept k JOIN ref r ON k.meeting_id = r.meeting_id AND r.start_ms < k.end_ms AND r.end_ms > k.start_ms GROUP BY ALL),
+ b AS (SELECT k.meeting_id, k.start_ms, k.end_ms, list_sort(list(DISTINCT label)) AS hypothesis FROM kept k JOIN hyp r ON k.meeting_id = r.meeting_id AND r.start_ms < k.end_ms AND r.end_ms > k.start_ms GROUP BY ALL),
+ regions AS (SELECT meeting_id, start_ms, end_ms, coalesce(reference, []) AS reference, coalesce(hypothesis, []) AS hypothesis FROM a FULL JOIN b USING (meeting_id, start_ms, end_ms))"""
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return utterances(spark, d).filter("end_ms > start_ms").withColumn("label", F.col("speaker")), turns(spark, d).filter("end_ms > start_ms")
+
+
+@query(f"WITH {REGIONS_SQL} SELECT meeting_id, start_ms, end_ms, array_to_string(reference, ',') AS reference, array_to_string(hypothesis, ',') AS hypothesis FROM regions")
+def scored_regions(spark: SparkSession, d: str) -> DataFrame:
+    found = intervals.regions(*_sides(spark, d), M, 250)
+    return found.select("meeting_id", "start_ms", "end_ms", F.array_join("reference", ",").alias("reference"), F.array_join("hypothesis", ",").alias("hypothesis"))
+
+
+@query(
+    f"""WITH {REGIONS_SQL} SELECT meeting_id, CAST(sum(greatest(len(reference) - len(hypothesis), 0) * (end_ms - start_ms)) AS BIGINT) AS missed_ms,
+    CAST(sum(greatest(len(hypothesis) - len(reference), 0) * (end_ms - start_ms)) AS BIGINT) AS false_alarm_ms, CAST(sum(len(reference) * (end_ms - start_ms)) AS BIGINT) AS total_ms FROM regions GROUP BY meeting_id"""
+)
+def der_components(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.diarization_errors(*_sides(spark, d), M).select("meeting_id", "missed_ms", "false_alarm_ms", "total_ms")
+
+
+@query()
+def diarization_error_rate(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.diarization_errors(*_sides(spark, d), M).withColumn("der", F.round("der", 6))
+
+
+@query()
+def jaccard_error_rate(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.jaccard_errors(*_sides(spark, d), M).withColumn("jer", F.round("jer", 6))
+
+
+@query()
+def cpwer(spark: SparkSession, d: str) -> DataFrame:
+    base = utterances(spark, d).select("meeting_id", "idx", "speaker", text.words(F.col("text")).alias("tokens"))
+    heard = base.join(turns(spark, d).select("meeting_id", F.col("pos").alias("idx"), "label"), ["meeting_id", "idx"]).select("meeting_id", "idx", F.col("label").alias("speaker"), "tokens")
+    return scoring.permutation_wer(base, heard, M).withColumn("cpwer", F.round("cpwer", 6))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts against themselves without every seventh token."""
+    rows = table(spark, d, "benchmark").select("item_id", "text", text.words(F.col("text")).alias("ref"))
+    return rows.withColumn("hyp", F.filter("ref", lambda w, i: i % 7 != 6))
+
+
+PAIRS_SQL = r"p AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ref FROM benchmark), q AS (SELECT item_id, ref, list_filter(ref, lambda x, i: (i - 1) % 7 <> 6) AS hyp FROM p)"
+
+
+@query(f"WITH {PAIRS_SQL} SELECT item_id, CAST(len(ref) - len(hyp) AS BIGINT) AS errors, CAST(len(ref) AS BIGINT) AS reference_words, round((len(ref) - len(hyp)) / greatest(len(ref), 1), 6) AS wer FROM q")
+def wer_total_errors(spark: SparkSession, d: str) -> DataFrame:
+    found = _pairs(spark, d).select("item_id", scoring.word_edits(F.col("ref"), F.col("hyp")).alias("errors"), F.size("ref").cast("long").alias("reference_words"))
+    return found.withColumn("wer", F.round(scoring.rate(F.col("errors"), F.col("reference_words")), 6))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT item_id, CAST(0 AS BIGINT) AS substitutions, CAST(len(ref) - len(hyp) AS BIGINT) AS deletions, CAST(0 AS BIGINT) AS insertions, CAST(len(hyp) AS BIGINT) AS hits FROM q")
+def word_error_counts(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.align_pairs(_pairs(spark, d), "ref", "hyp", ["item_id"])
+
+
+ASCII = "[^ -~]"
+
+
+@query(f"WITH {PAIRS_SQL}, t AS (SELECT item_id, regexp_replace(array_to_string(ref, ' '), '{ASCII}', '', 'g') AS a, regexp_replace(array_to_string(hyp, ' '), '{ASCII}', '', 'g') AS b FROM q) SELECT item_id, CAST(levenshtein(a, b) AS BIGINT) AS errors, CAST(length(a) AS BIGINT) AS characters FROM t")
+def cer_total_errors(spark: SparkSession, d: str) -> DataFrame:
+    plain = lambda c: F.regexp_replace(F.array_join(c, " "), ASCII, "")
+    found = _pairs(spark, d).select("item_id", plain("ref").alias("a"), plain("hyp").alias("b"))
+    return found.select("item_id", F.levenshtein("a", "b").cast("long").alias("errors"), F.length("a").cast("long").alias("characters"))
+
+
+@query("""WITH t AS (SELECT item_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS a, lead(regexp_replace(lower(text), '[^a-z]', '', 'g')) OVER (ORDER BY item_id) AS b FROM benchmark)
+ SELECT item_id, round(1 - levenshtein(a, b) / greatest(length(a), length(b), 1), 6) AS similarity FROM t WHERE b IS NOT NULL""")
+def phonetic_similarity(spark: SparkSession, d: str) -> DataFrame:
+    plain = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    rows = table(spark, d, "benchmark").select("item_id", plain.alias("a"))
+    after = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
+    return rows.join(after, "item_id").select("item_id", F.round(text.edit_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query("""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) AS t FROM benchmark)
+ SELECT a.item_id, round(CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END, 6) AS jaccard FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
+def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    terms = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
+    rows = table(spark, d, "benchmark").select("item_id", terms.alias("a"))
+    after = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
+    return rows.join(after, "item_id").select("item_id", F.round(text.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
+ROLLUP_SQL = r"""WITH p AS (SELECT source AS dataset, lang AS language, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents)
+ SELECT CASE WHEN grouping(dataset) = 1 THEN 'all' ELSE dataset END AS dataset, CASE WHEN grouping(language) = 1 THEN 'all' ELSE language END AS language,
+ CAST(sum(n // 7) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS reference_words, count(*) AS n_pairs, round(sum(n // 7) / greatest(sum(n), 1), 6) AS wer
+ FROM p GROUP BY GROUPING SETS ((dataset, language), (language), ())"""
+
+
+@query(ROLLUP_SQL)
+def error_rollup(spark: SparkSession, d: str) -> DataFrame:
+    n = text.word_count(F.col("text"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("dataset"), F.col("lang").alias("language"), n.alias("reference_words"), F.floor(n / 7).alias("errors"))
+    return scoring.error_rollup(rows).withColumn("wer", F.round("wer", 6))
+
+
+@query(f"WITH {UTTERANCES_SQL}, t AS (SELECT meeting_id, sum(n_words) AS w, avg(n_words) AS x FROM utterances GROUP BY meeting_id) SELECT round(avg(x), 6) AS macro, round(sum(x * w) / sum(w), 6) AS weighted FROM t")
+def macro_vs_weighted(spark: SparkSession, d: str) -> DataFrame:
+    t = utterances(spark, d).groupBy("meeting_id").agg(F.sum("n_words").alias("w"), F.avg("n_words").alias("x"))
+    return t.agg(F.round(F.avg("x"), 6).alias("macro"), F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 6).alias("weighted"))
+
+
+@query(f"""WITH {UTTERANCES_SQL}, t AS (SELECT meeting_id, speaker, sum(end_ms - start_ms) AS ms, sum(n_words) AS n FROM utterances GROUP BY ALL)
+ SELECT CASE WHEN ms < 15000 THEN '0-15' WHEN ms < 60000 THEN '15-60' WHEN ms < 300000 THEN '60-300' ELSE '300+' END AS bucket, count(*) AS n_speakers, CAST(sum(n) AS BIGINT) AS n_words FROM t GROUP BY 1""")
+def quiet_buckets(spark: SparkSession, d: str) -> DataFrame:
+    t = utterances(spark, d).groupBy("meeting_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"), F.sum("n_words").alias("n"))
+    bucket = F.when(F.col("ms") < 15_000, "0-15").when(F.col("ms") < 60_000, "15-60").when(F.col("ms") < 300_000, "60-300").otherwise("300+")
+    return t.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n_speakers"), F.sum("n").alias("n_words"))
+
+
+@query(ROLLUP_SQL.replace("SELECT CASE WHEN grouping(dataset)", ", r AS (SELECT CASE WHEN grouping(dataset)", 1) + """), m AS (SELECT language || ':wer' AS metric, wer AS value FROM r WHERE dataset = 'all'),
+ g(metric, op, threshold) AS (VALUES ('en:wer', '<=', 0.15), ('fr:wer', '<', 0.1), ('all:wer', '>=', 0.2), ('it:wer', '<=', 0.2))
+ SELECT g.metric, op, CAST(threshold AS DOUBLE) AS threshold, value, CASE WHEN value IS NULL THEN 'missing' WHEN CASE op WHEN '<=' THEN value <= threshold WHEN '<' THEN value < threshold ELSE value >= threshold END THEN 'passed' ELSE 'failed' END AS status
+ FROM g LEFT JOIN m ON g.metric = m.metric""")
+def gate_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    metrics = error_rollup(spark, d).filter("dataset = 'all'").select(F.concat("language", F.lit(":wer")).alias("metric"), F.col("wer").alias("value"))
+    gates = spark.createDataFrame([("en:wer", "<=", 0.15), ("fr:wer", "<", 0.1), ("all:wer", ">=", 0.2), ("it:wer", "<=", 0.2)], "metric string, op string, threshold double")
+    return scoring.evaluate_gates(metrics, gates).select("metric", "op", "threshold", "value", "status")
+
+
+CENTROID_SQL = """WITH e AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM embeddings), m AS (SELECT label, dim, avg(CAST(v AS DOUBLE)) AS m FROM e GROUP BY ALL),
+ c AS (SELECT label, CAST(dim AS INT) AS dim, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS value FROM m)"""
+
+
+@query(CENTROID_SQL + " SELECT label, dim, round(value, 6) AS value FROM c")
+def embedding_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return topics.centroids(table(spark, d, "embeddings")).withColumn("value", F.round("value", 6))
+
+
+@query(CENTROID_SQL + " SELECT x.label AS a, y.label AS b, round(sum(x.value * y.value), 6) AS cosine FROM c x JOIN c y ON x.dim = y.dim AND x.label < y.label GROUP BY ALL")
+def centroid_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return topics.centroid_cosines(topics.centroids(table(spark, d, "embeddings"))).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type""")
+def event_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return live.transitions(table(spark, d, "events")).select("user_id", "event_id", "event_type")
+
+
+@query("""WITH f AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 600 SECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM f)
+ SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 600000000 AS end_us, count(*) AS n_events FROM s GROUP BY user_id, s""")
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return live.sessions(table(spark, d, "events")).select("user_id", F.unix_micros(F.col("session_start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("session_end").cast("timestamp")).alias("end_us"), "n_events")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return live.windowed_counts(table(spark, d, "events")).select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH t AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), c AS (SELECT * FROM t WHERE b IS NULL OR b <> event_type),
+ s AS (SELECT user_id, event_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e FROM c), k AS (SELECT * FROM s WHERE e IS NOT NULL AND epoch_us(e) - epoch_us(ts) >= 60000000),
+ r AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type AND lag(e) OVER w = ts THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM r)
+ SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(e)) AS end_us, min(event_type) AS event_type FROM g GROUP BY user_id, g""")
+def event_timeline_slices(spark: SparkSession, d: str) -> DataFrame:
+    found = live.timeline(table(spark, d, "events"), short_seconds=60)
+    return found.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "event_type")
+
+
+@query(r"""WITH s AS (SELECT doc_id, lang, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)
+ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, chr(10))) AS digest FROM s""")
+def sentence_units(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("digest"))
+
+
+TERMS_SQL = "t AS (SELECT source, unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda w: length(w) >= 4)) AS term FROM documents)"
+
+
+@query(f"""WITH {TERMS_SQL}, f AS (SELECT source, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+ s AS (SELECT f.source, f.term, tf, df, round(tf * ln(1 + (SELECT count(DISTINCT source) FROM documents) / df), 6) AS score FROM f JOIN d USING (term)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
+def topic_keywords(spark: SparkSession, d: str) -> DataFrame:
+    term = F.explode(F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda w: F.length(w) >= 4))
+    return topics.keywords(table(spark, d, "documents").select("source", term.alias("term")), "source").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def textrank_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = utterances(spark, d).select("meeting_id", "idx", F.array_distinct(F.filter(text.folded_tokens(F.col("text")), lambda w: F.length(w) >= 4)).alias("terms"))
+    return topics.text_rank(rows, "meeting_id").withColumn("score", F.round("score", 6))
+
+
+@query()
+def texttiling_similarity(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(text.folded_tokens(F.col("text"))).alias("pos", "term"))
+    return topics.block_similarity(rows, "doc_id")
+
+
+@query()
+def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
+    return topics.chunk_plan(utterances(spark, d).withColumnRenamed("n_words", "n_tokens"), "meeting_id", 120, 20)
+
+
+WORDS_SQL = "[" + ", ".join("{" + f"l: '{lang}', w: [" + ", ".join(f"'{w}'" for w in ws) + "]}" for lang, ws in languages.FUNCTION_WORDS.items()) + "]"
+_FOLD_SQL = f"translate(replace(replace(lower(coalesce(text, '')), 'œ', 'oe'), 'æ', 'ae'), '{text.ACCENTED}', '{text.PLAIN}')"
+SCORES_SQL = (
+    f"k AS (SELECT doc_id, lang, list_filter(string_split(regexp_replace({_FOLD_SQL}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS t FROM documents), c AS (SELECT doc_id, lang, CAST(len(t) AS BIGINT) AS n_tokens, "
+    + ", ".join(f"CAST(len(list_filter(t, lambda w: w IN ({', '.join(repr(w) for w in ws)}))) AS BIGINT) AS n_{lang}" for lang, ws in languages.FUNCTION_WORDS.items())
+    + " FROM k), m AS (SELECT *, greatest(n_en, n_fr, n_de, n_es) AS mx FROM c), b AS (SELECT *, list_filter([CASE WHEN n_en = mx THEN 'en' END, CASE WHEN n_fr = mx THEN 'fr' END, CASE WHEN n_de = mx THEN 'de' END, CASE WHEN n_es = mx THEN 'es' END], lambda x: x IS NOT NULL) AS l FROM m), s AS (SELECT *, CASE WHEN mx > 0 AND len(l) = 1 THEN l[1] ELSE 'und' END AS best FROM b)"
+)
+
+
+@query(f"WITH {SCORES_SQL} SELECT doc_id, n_tokens, n_en, n_fr, n_de, n_es, best FROM s")
+def language_scores(spark: SparkSession, d: str) -> DataFrame:
+    return languages.function_word_scores(table(spark, d, "documents"), "doc_id")
+
+
+@query(f"WITH {SCORES_SQL}, g AS (SELECT lang, best, CAST(sum(n_tokens) AS BIGINT) AS words FROM s GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY words DESC, lang, best) AS rank FROM g")
+def language_confusion(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    rows = languages.function_word_scores(docs, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    return languages.confusion(rows, "lang", "best", "n_tokens").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(r"""WITH w AS (SELECT source, lang, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents),
+ g AS (SELECT source, lang, CAST(sum(n) AS BIGINT) AS words, sum(n) * 0.4 AS seconds FROM w GROUP BY ALL), s AS (SELECT *, words / greatest(sum(words) OVER (PARTITION BY source), 1) AS sh FROM g)
+ SELECT source, lang, words, round(CAST(seconds AS DOUBLE), 3) AS seconds, round(sh, 6) AS share, sh >= 0.1 OR seconds >= 20 AS significant FROM s""")
+def language_profile(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("source", "lang", text.word_count(F.col("text")).alias("n")).withColumn("s", F.col("n") * F.lit(0.4))
+    return languages.profile(rows, ["source"], "lang", "n", "s").withColumn("seconds", F.round("seconds", 3))
+
+
+@query(
+    f"""WITH {UTTERANCES_SQL}, t AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY idx) AS idx, speaker, CASE WHEN n_words % 3 = 0 THEN CASE WHEN idx % 2 = 0 THEN 'en' ELSE 'fr' END END AS tag FROM utterances),
+    o AS (SELECT a.meeting_id, a.idx, arg_min(b.tag, abs(b.idx - a.idx) * 2 + CASE WHEN b.idx < a.idx THEN 1 ELSE 0 END) AS own FROM t a JOIN t b ON a.meeting_id = b.meeting_id AND a.speaker = b.speaker AND b.tag IS NOT NULL GROUP BY ALL),
+    n AS (SELECT a.meeting_id, a.idx, arg_min(b.tag, abs(b.idx - a.idx) * 2 + CASE WHEN b.idx > a.idx THEN 1 ELSE 0 END) AS near FROM t a JOIN t b ON a.meeting_id = b.meeting_id AND b.tag IS NOT NULL GROUP BY ALL)
+    SELECT meeting_id, idx, coalesce(tag, own, near, 'und') AS filled FROM t LEFT JOIN o USING (meeting_id, idx) LEFT JOIN n USING (meeting_id, idx)"""
+)
+def language_smooth(spark: SparkSession, d: str) -> DataFrame:
+    tag = F.when(F.col("n_words") % 3 == 0, F.when(F.col("idx") % 2 == 0, "en").otherwise("fr"))
+    nth = F.row_number().over(Window.partitionBy("meeting_id").orderBy("idx")).cast("long")
+    rows = utterances(spark, d).withColumn("tag", tag).withColumn("idx", nth)
+    return languages.fill_tags(rows.select("meeting_id", "idx", "speaker", "tag"), "meeting_id", "und").select("meeting_id", "idx", "filled")
+
+
+@query(f"""WITH {UTTERANCES_SQL}, n AS (SELECT *, greatest(CAST(ceil((end_ms - start_ms - 2000) / 8000) AS BIGINT), 1) AS k FROM utterances), h AS (SELECT *, unnest(range(k)) AS i FROM n)
+ SELECT meeting_id, idx, start_ms + i * 8000 AS start_ms, least(start_ms + i * 8000 + 10000, end_ms) AS end_ms FROM h""")
+def segment_split_long(spark: SparkSession, d: str) -> DataFrame:
+    return utterances(spark, d).select("meeting_id", "idx", F.explode(intervals.hops(F.col("start_ms"), F.col("end_ms"), 10_000, 2000)).alias("w")).select("meeting_id", "idx", "w.*")
+
+
+@query(f"WITH {TURNS_SQL} SELECT meeting_id, pos, greatest(start_ms, coalesce(lag(end_ms) OVER (PARTITION BY meeting_id ORDER BY pos), start_ms)) AS start_ms, end_ms FROM turns")
+def seam_regions(spark: SparkSession, d: str) -> DataFrame:
+    before = F.lag("end_ms").over(Window.partitionBy("meeting_id").orderBy("pos"))
+    return turns(spark, d).select("meeting_id", "pos", F.greatest("start_ms", F.coalesce(before, "start_ms")).alias("start_ms"), "end_ms")
+
+
+@query(f"""WITH {TURNS_SQL}, f AS (SELECT *, printf('%d.%03d', start_ms // 1000, start_ms % 1000) AS s, printf('%d.%03d', (end_ms - start_ms) // 1000, (end_ms - start_ms) % 1000) AS l FROM turns)
+ SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, label) AS pos, 'SPEAKER ' || meeting_id || ' 1 ' || s || ' ' || l || ' <NA> <NA> ' || label || ' <NA> <NA>' AS line FROM f""")
+def rttm_lines(spark: SparkSession, d: str) -> DataFrame:
+    return formats.rttm_lines(turns(spark, d), "meeting_id", "label").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def vtt_documents(spark: SparkSession, d: str) -> DataFrame:
+    return formats.subtitles(utterances(spark, d), "meeting_id", "vtt")
+
+
+@query()
+def json_export(spark: SparkSession, d: str) -> DataFrame:
+    return formats.transcript_json(utterances(spark, d), "meeting_id")
+
+
+@query(f"""WITH {UTTERANCES_SQL}, s AS (SELECT meeting_id, idx, start_ms, (start_ms + 500) // 1000 AS r FROM utterances) SELECT meeting_id, idx, printf('%02d:%02d:%02d', r // 3600, r // 60 % 60, r % 60) AS clock,
+ printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) AS srt FROM s""")
+def timecodes(spark: SparkSession, d: str) -> DataFrame:
+    return utterances(spark, d).select("meeting_id", "idx", clock.timecode(F.col("start_ms")).alias("clock"), clock.timecode(F.col("start_ms"), "srt").alias("srt"))
+
+
+@query("""WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
+ SELECT CAST(d AS VARCHAR) AS day, CAST(CAST(d + CAST((7 + 0 - (isodow(d) - 1) + 6) % 7 + 1 AS INT) AS DATE) AS VARCHAR) AS next_monday, CAST(CAST(d - CAST(isodow(d) - 1 AS INT) + 11 AS DATE) AS VARCHAR) AS friday_next_week,
+ CAST(CAST(d + CAST((4 - (isodow(d) - 1) + 7) % 7 AS INT) AS DATE) AS VARCHAR) AS end_of_week, CAST(last_day(d) AS VARCHAR) AS end_of_month FROM o""")
+def due_dates(spark: SparkSession, d: str) -> DataFrame:
+    day = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    c = F.col("d")
+    return day.select(*[x.cast("string").alias(n) for n, x in (("day", c), ("next_monday", clock.weekday_after(c, 0)), ("friday_next_week", clock.weekday_after(c, 4, True)), ("end_of_week", clock.end_of_week(c)), ("end_of_month", clock.end_of_month(c)))])
