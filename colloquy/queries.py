@@ -501,3 +501,72 @@ def due_dates(spark: SparkSession, d: str) -> DataFrame:
     day = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
     c = F.col("d")
     return day.select(*[x.cast("string").alias(n) for n, x in (("day", c), ("next_monday", clock.weekday_after(c, 0)), ("friday_next_week", clock.weekday_after(c, 4, True)), ("end_of_week", clock.end_of_week(c)), ("end_of_month", clock.end_of_month(c)))])
+
+
+@query()
+def speaker_names(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.attribution import name_speakers
+
+    seen = observations(spark, d).withColumn("start_ms", F.col("start_ms") - 1500).withColumn("end_ms", F.col("end_ms") - 1500)
+    return name_speakers(turns(spark, d), seen)
+
+
+@query(
+    f"""WITH {TURNS_SQL}, x AS (SELECT *, sum(end_ms - start_ms) OVER (PARTITION BY meeting_id, label) AS t, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, pos) AS n FROM turns),
+    s AS (SELECT * FROM x WHERE t >= 20000), p AS (SELECT a.meeting_id, a.pos, arg_min(b.label, abs(a.n - b.n) * 2 + CASE WHEN b.n > a.n THEN 1 ELSE 0 END) AS near FROM x a JOIN s b USING (meeting_id) GROUP BY ALL)
+    SELECT meeting_id, pos, coalesce(near, label) AS absorbed FROM x LEFT JOIN p USING (meeting_id, pos)"""
+)
+def absorbed_speakers(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.attribution import absorb_small_speakers
+
+    return absorb_small_speakers(turns(spark, d), least_ms=20_000).select("meeting_id", "pos", "absorbed")
+
+
+@query()
+def covered_speech(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.attribution import fill_uncovered_speech
+
+    return fill_uncovered_speech(turns(spark, d), utterances(spark, d))
+
+
+@query(
+    r"""WITH w AS (SELECT conv_id AS meeting_id, turn AS idx, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM conversations),
+    n AS (SELECT *, lead(t) OVER (PARTITION BY meeting_id ORDER BY idx) AS u FROM w)
+    SELECT meeting_id, idx, CASE WHEN u IS NULL THEN 0 ELSE coalesce(list_max(list_filter(range(1, 9), lambda k: k <= len(t) AND k <= len(u) AND t[len(t) - k + 1 : len(t)] = u[1 : k])), 0) END AS repeated FROM n"""
+)
+def seam_repeat_trim(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.attribution import seam_repeats
+
+    rows = utterances(spark, d).select("meeting_id", "idx", "start_ms", "end_ms", text.words(F.col("text")).alias("tokens"))
+    return seam_repeats(rows, max_gap=1 << 40).select("meeting_id", "idx", F.col("repeated").cast("long").alias("repeated"))
+
+
+@query()
+def agglomerate_clusters(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.attribution import merge_like_labels
+
+    return merge_like_labels(topics.centroids(table(spark, d, "embeddings")), threshold=0.2)
+
+
+@query()
+def word_label_path(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.attribution import viterbi_labels
+
+    pairs = intervals.overlap_join(utterances(spark, d).filter("n_words > 0"), turns(spark, d), M, 200, 200)
+    scores = pairs.groupBy("meeting_id", "idx", F.col("r_label").alias("label")).agg((F.sum("overlap_ms") / 1000.0).alias("score"))
+    return viterbi_labels(scores)
+
+
+@query()
+def extract_candidates(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.minutes import candidates, sentence_rows
+
+    return candidates(sentence_rows(utterances(spark, d)))
+
+
+@query()
+def grounding_score(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.minutes import grounding, sentence_rows
+
+    said = utterances(spark, d)
+    return grounding(sentence_rows(said).filter("unit % 3 = 0").select("meeting_id", F.col("text").alias("claim")), said.filter("idx % 2 = 0"))

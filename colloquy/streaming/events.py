@@ -21,8 +21,9 @@ def sessions(events: DataFrame, key: str = "user_id", gap_seconds: int = 600) ->
 
     Works on a stream with a watermark on ``ts`` as on a table. A session ends ``gap_seconds`` after its last event.
     """
-    held = events.groupBy(F.session_window("ts", f"{gap_seconds} seconds").alias("w"), key).agg(F.count("*").alias("n_events"))
-    return held.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
+    # Spark joins an event that comes exactly when a window ends, so the window is a microsecond shorter
+    held = events.groupBy(F.session_window("ts", f"{gap_seconds * 1_000_000 - 1} microseconds").alias("w"), key).agg(F.count("*").alias("n_events"))
+    return held.select(key, F.col("w.start").alias("session_start"), (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("session_end"), "n_events")
 
 
 def windowed_counts(events: DataFrame, signal: str = "event_type", width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
