@@ -104,4 +104,19 @@ QUERIES = {
     "op10_order_minhash": op10_order_minhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM d),
+f AS (SELECT line, doc_id, no, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS nth FROM l),
+u AS (SELECT line, row_number() OVER (ORDER BY doc_id, no) AS id, list_distinct(list_filter(string_split_regex(lower(line), '[\t\r\f\v ]'), lambda w: w <> '')) AS t FROM f WHERE nth = 1),
+e AS (SELECT id, len(t) AS n, unnest(t) AS w FROM u WHERE len(t) > 0),
+c AS (SELECT w, count(*) AS df FROM e GROUP BY w),
+r AS (SELECT e.id, n, w, row_number() OVER (PARTITION BY e.id ORDER BY df, w) AS k FROM e JOIN c USING (w)),
+p AS (SELECT id, n, w FROM r WHERE k <= n - ceil(0.9 * n - 1e-9) + 1),
+q AS (SELECT DISTINCT a.id, b.id AS early FROM p a JOIN p b ON a.w = b.w AND b.id < a.id AND a.n >= 0.9 * b.n - 1e-9 AND b.n >= 0.9 * a.n - 1e-9),
+v AS (SELECT DISTINCT q.id FROM q JOIN u a ON a.id = q.id JOIN u b ON b.id = q.early WHERE len(list_intersect(a.t, b.t)) >= 0.9 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) - 1e-9),
+g AS (SELECT f.doc_id, f.no FROM f JOIN u USING (line) LEFT JOIN v ON v.id = u.id WHERE len(u.t) > 0 AND (f.nth > 1 OR v.id IS NOT NULL)),
+x AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS removed FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN x USING (doc_id)"""
+}
