@@ -40,14 +40,16 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[: len(words) // 2], words[len(words) // 2 :]
 
 
-def grams(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def overlap(part: list[str], passage: set[tuple[str, ...]], n: int = 3) -> float:
-    """The share of a part's word n-grams that a passage has; 1 for a part without words."""
-    own = grams(part, n)
-    return len(own & passage) / len(own) if own else 1.0
+def overlap(part: list[str], passage: list[str], n: int = 3) -> float:
+    """The share of a part's word n-grams (of all its words, if it has fewer) that a passage has; 1 for a part without words."""
+    if not part:
+        return 1.0
+    own = grams(part, min(n, len(part)))
+    return len(own & grams(passage, min(n, len(part)))) / len(own)
 
 
 @dataclass
@@ -68,25 +70,43 @@ class BlockMaxIndex:
     lasts: list[list[int]]
     tops: list[list[float]]
     most: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    block: int = 8
+    block: int = 2
+    #: terms that are not common, each with its blocks (places in ``block_of`` and ``top_of``)
+    rare: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    block_of: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    top_of: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: for each block the most that the common terms of one piece of it can add
+    common_of: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     @classmethod
-    def build(cls, pieces: list[Piece], df: dict[str, int], n: int, mean: float, k1: float = 1.2, b: float = 0.75, block: int = 8) -> BlockMaxIndex:
+    def build(cls, pieces: list[Piece], df: dict[str, int], n: int, mean: float, k1: float = 1.2, b: float = 0.75, block: int = 2, common: float = 0.1) -> BlockMaxIndex:
+        """``df``: pieces of the whole benchmark that hold a term; terms in more than 8 and the share ``common`` of them are common."""
+        often = max(8, common * n)
         postings: dict[str, list[tuple[int, float]]] = {}
+        mass = np.zeros(-(-len(pieces) // block))
         for at, p in enumerate(pieces):
             tf = Counter(p.question + p.answer)
             size = sum(tf.values())
             part = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * size / mean)) for w, f in tf.items()}
             full = sum(part.values())
+            mass[at // block] = max(mass[at // block], sum(x for w, x in part.items() if df[w] > often) / full)
             for w, x in part.items():
                 postings.setdefault(w, []).append((at, x / full))
         terms = {w: i for i, w in enumerate(postings)}
         lists = list(postings.values())
         cut = [[p[i : i + block] for i in range(0, len(p), block)] for p in lists]
+        rare = np.array([df[w] <= often for w in terms], dtype=bool)
+        tops: list[dict[int, float]] = []
+        for p, keep in zip(lists, rare, strict=True):
+            tops.append({})
+            for at, x in p if keep else ():
+                tops[-1][at // block] = max(x, tops[-1].get(at // block, 0.0))
         return cls(
             pieces, terms, [[x[0] for x in p] for p in lists], [[x[1] for x in p] for p in lists],
             [[c[-1][0] for c in cs] for cs in cut], [[max(x[1] for x in c) for c in cs] for cs in cut],
             np.array([max(x[1] for x in p) for p in lists]), block,
+            rare, np.cumsum([0, *map(len, tops)]), np.array([k for t in tops for k in t], dtype=np.int64), np.array([x for t in tops for x in t.values()]), mass,
         )
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -162,11 +182,28 @@ def items_to_pieces(item: object, text: str, most: int) -> list[Piece]:
     return [Piece(item, c[: len(c) // 2], c[len(c) // 2 :]) for c in cut]
 
 
+def promising(index: BlockMaxIndex, window: np.ndarray, term: np.ndarray, windows: int, threshold: float) -> list[int]:
+    """The windows with a block that can reach the threshold: the largest parts there of their rare terms, and the block's common mass.
+
+    A block without a rare term of the window has the common mass alone; if that suffices somewhere, all ``windows`` count
+    as promising, which is slow but exact.
+    """
+    if (index.common_of >= threshold - 1e-9).any():
+        return list(range(windows))
+    size = index.first[term + 1] - index.first[term]
+    done = np.cumsum(size)
+    at = np.repeat(index.first[term] - (done - size), size) + np.arange(done[-1] if len(done) else 0)
+    blocks = len(index.common_of)
+    key, place = np.unique(np.repeat(window, size) * blocks + index.block_of[at], return_inverse=True)
+    bound = np.bincount(place, index.top_of[at], len(key)) + index.common_of[key % blocks]
+    return np.unique(key[bound >= threshold - 1e-9] // blocks).tolist()
+
+
 def search_texts(index: BlockMaxIndex, texts: pa.Array, how: Search) -> Iterator[tuple[int, object, float, float, float, int]]:
     """(row, item, score, question overlap, answer overlap, first word of the passage) of every verified passage.
 
-    Words are looked up a column at a time, each distinct one once. A passage whose terms' largest parts sum to less than
-    the threshold can match nothing; only the others are searched.
+    Words are looked up a column at a time, each distinct one once. A passage for which no block's bound reaches the threshold
+    can match nothing; only the others are searched.
     """
     n = max(1, len(index.terms))
     done = 0
@@ -186,23 +223,21 @@ def search_texts(index: BlockMaxIndex, texts: pa.Array, how: Search) -> Iterator
         # windows are numbered over the whole column: a text of m words has one for each stride, at least one
         count = np.maximum(1, -(-np.diff(begin) // how.stride))
         first = np.cumsum(count) - count
-        hit = term >= 0
-        window, term_at = first[owner[hit]] + place[hit] // how.stride, term[hit]
+        rare = np.nonzero((term >= 0) & np.append(index.rare, False)[term])[0]
+        window, term_at = first[owner[rare]] + place[rare] // how.stride, term[rare]
         keys = []
         for back in range(-(-how.passage // how.stride)):
-            ok = place[hit] // how.stride >= back
+            ok = place[rare] // how.stride >= back
             keys.append((window[ok] - back) * n + term_at[ok])
-        pair = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
+        pair = np.unique(np.concatenate(keys))
         w, t = pair // n, pair % n
-        bound = np.bincount(w, index.most[t], int(count.sum())) if len(pair) else np.zeros(int(count.sum()))
-        for k in np.nonzero(bound >= how.threshold - 1e-9)[0].tolist():
-            terms = t[np.searchsorted(w, k) : np.searchsorted(w, k, side="right")].tolist()
-            matches = index.search(terms, how.threshold)
+        for k in promising(index, w, t, int(count.sum()), how.threshold):
+            row = int(np.searchsorted(first, k, side="right")) - 1
+            at = (k - int(first[row])) * how.stride
+            s, e = begin[row] + at, min(begin[row] + at + how.passage, begin[row + 1])
+            matches = index.search(np.unique(term[s:e][term[s:e] >= 0]).tolist(), how.threshold)
             if matches:
-                row = int(np.searchsorted(first, k, side="right")) - 1
-                at = (k - int(first[row])) * how.stride
-                s, e = begin[row] + at, min(begin[row] + at + how.passage, begin[row + 1])
-                have = grams([words[i] for i in np.asarray(coded.indices)[flat[s:e]]])
+                have = [words[i] for i in np.asarray(coded.indices)[flat[s:e]]]
                 for number, score in matches:
                     p = index.pieces[number]
                     q, a = overlap(p.question, have), overlap(p.answer, have)

@@ -8,6 +8,8 @@ the tokens rule out most pairs that meet, and the rest are verified on the token
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +20,16 @@ SKETCH = 1 << 16
 FILTER = 1 << 18  # bytes of the bitmap that says which lines are candidates
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of characters other than space, tab, carriage return, form feed and vertical tab."""
-    return F.array_remove(F.split(F.translate(F.lower(text), "\t\r\f\v\n", "     "), " "), "")
+ODD_SPACE = "\t\r\f\v"
+
+
+def tokens(line: Column) -> Column:
+    """Lower-cased runs of characters other than space, tab, carriage return, form feed and vertical tab.
+
+    Only lines that hold a white-space character other than the space pay for its replacement.
+    """
+    odd = reduce(or_, [F.contains(line, F.lit(c)) for c in ODD_SPACE])
+    return F.array_remove(F.split(F.lower(F.when(odd, F.translate(line, ODD_SPACE, "    ")).otherwise(line)), " "), "")
 
 
 def rarity(docs: DataFrame, text_col: str) -> bytes:
@@ -29,7 +38,8 @@ def rarity(docs: DataFrame, text_col: str) -> bytes:
     Counts cover all tokens of all texts; the result has ``SKETCH`` bytes however many tokens there are. Any fixed order of
     tokens gives an exact join; tokens that share a bucket with a frequent one are only placed later than they could be.
     """
-    each = docs.select(F.explode(tokens(F.col(text_col))).alias("w"))
+    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+    each = lines.select(F.explode(tokens(F.col("line"))).alias("w"))
     rows = each.groupBy(F.pmod(F.xxhash64("w"), F.lit(SKETCH)).alias("b")).agg(F.count("*").alias("n")).collect()
     out = bytearray(SKETCH)
     for r in rows:
@@ -69,7 +79,7 @@ def shares(n: Column, m: Column, i: Column, j: Column, bits: Column, t: float) -
 
 
 def similar_lines(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", hot: int = 16) -> tuple[DataFrame, list[str]]:
-    """(``h, g, id, no, doc, later``): every distinct line with its first place, and whether it matches an earlier one.
+    """(``h, g, id, no, doc, later``): every distinct line with tokens, its first place, and whether it matches an earlier one.
 
     Prefix tokens that ``hot`` lines or more share are first joined with the earliest of those lines alone; lines that match it are
     settled. All lines that are not settled are then joined with all lines. So a line that has thousands of variants
@@ -97,7 +107,7 @@ def similar_lines(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id
     open_lines = posted.join(settled, posted["at.h"] == settled.h, "left_anti")
     rest, rest_path = verified(docs, meet(open_lines, posted), lines, t, id_col, text_col)
     late = settled.unionByName(rest).distinct().withColumn("later", F.lit(True))
-    out = lines.join(late, "h", "left").select("h", "g", "id", "no", "doc", F.coalesce("later", F.lit(False)).alias("later"))
+    out = lines.filter("n > 0").join(late, "h", "left").select("h", "g", "id", "no", "doc", F.coalesce("later", F.lit(False)).alias("later"))
     return out, [lines_path, settled_path, rest_path]
 
 
@@ -137,7 +147,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id
     """
     found, _ = similar_lines(docs, threshold, id_col, text_col)
     first = found.select("h", "g", F.struct("id", "no", "doc").alias("first"), "later")
-    every = lines_of(docs, id_col, text_col).filter(F.size(tokens(F.col("line"))) > 0).select("h", "g", F.struct("id", "no", "doc").alias("at"))
+    every = lines_of(docs, id_col, text_col).select("h", "g", F.struct("id", "no", "doc").alias("at"))
     gone = every.join(first, ["h", "g"]).filter(F.col("later") | (F.col("at") != F.col("first")))
     return gone.select("at.doc", "at.no").distinct().groupBy("doc").agg(F.sort_array(F.collect_list("no")).alias("removed"))
 
