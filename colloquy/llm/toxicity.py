@@ -46,25 +46,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, extra: np.ndarray, y: np.ndarray, n_cols: int, ridge: float = 0.02, steps: int = 400) -> Linear:
-    """Logistic regression with a ridge penalty, by accelerated gradient steps over sparse rows."""
-    n, k = extra.shape
-    w, bias = np.zeros(n_cols + k), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    look = np.ones(n_cols + k + 1)  # power steps find how steep the loss can be, which bounds a safe rate
+def fit_linear(x: np.ndarray, y: np.ndarray, inside: np.ndarray, ridge: float = 0.02, steps: int = 400) -> list[Linear]:
+    """Logistic regressions with a ridge penalty, by accelerated gradient steps: one for each column of ``inside``.
+
+    ``x`` holds the features, a row for each document; a column of ``inside`` has 1 for the rows that its model may see
+    and 0 for the others. All models step together, so that the matrix is read once a step however many there are.
+    """
+    inside = inside.astype(np.float32)
+    y = y.astype(np.float32)[:, None]
+    n, true = inside.sum(axis=0), (inside * y).sum(axis=0)
+    w, bias = np.zeros((x.shape[1], inside.shape[1]), dtype=np.float32), np.log((true + 1) / (n - true + 1))
+    look, look_bias = np.ones_like(w), np.ones_like(bias)  # power steps find how steep the loss can be, which bounds a safe rate
     for _ in range(20):
-        look /= np.linalg.norm(look)
-        seen = np.bincount(rows, look[cols] * values, n) + extra @ look[n_cols : n_cols + k] + look[-1]
-        look = np.concatenate((np.bincount(cols, seen[rows] * values, n_cols), extra.T @ seen, [seen.sum()]))
-    rate = 1 / (0.3 * np.linalg.norm(look) + ridge)
-    at, at_bias, momentum = w.copy(), bias, 1.0
+        size = np.sqrt((look**2).sum(axis=0) + look_bias**2)
+        seen = (x @ (look / size) + look_bias / size) * inside
+        look, look_bias = x.T @ seen, seen.sum(axis=0)
+    rate = 1 / (0.3 * np.sqrt((look**2).sum(axis=0) + look_bias**2) + ridge)
+    at, at_bias, momentum = w, bias, 1.0
     for _ in range(steps):
-        error = sigmoid(Linear(at, at_bias).logit(rows, cols, values, n, extra)) - y
-        slope = np.concatenate((np.bincount(cols, error[rows] * values, n_cols), extra.T @ error)) + ridge * at
-        new, new_bias = at - rate * slope, at_bias - rate * error.sum()
-        ahead = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        at, at_bias = new + (momentum - 1) / ahead * (new - w), new_bias + (momentum - 1) / ahead * (new_bias - bias)
+        error = (sigmoid(x @ at + at_bias) - y) * inside
+        new, new_bias = at - rate * (x.T @ error + ridge * at), at_bias - rate * error.sum(axis=0)
+        ahead = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        pull = (momentum - 1) / ahead
+        at, at_bias = new + pull * (new - w), new_bias + pull * (new_bias - bias)
         w, bias, momentum = new, new_bias, ahead
-    return Linear(w, bias)
+    return [Linear(w[:, k].astype(np.float64), float(bias[k])) for k in range(w.shape[1])]
 
 
 @dataclass(frozen=True)
@@ -117,7 +123,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
     true. Features are words and word beginnings that at least 5 sampled documents hold and whose share
     differs between a category and the rest by ``least_z`` standard errors; the ``most_features`` strongest of
     each category stay. Counting them is a Spark aggregation; the driver gets the chosen features and the sample's
-    sparse rows, both bounded by these parameters.
+    rows, both bounded by these parameters: a matrix of at most about 4 bytes x ``most_rows`` x ``most_features`` for each category.
     """
     names = list(categories)
     given = labels.select(F.col(id_col).alias("id"), *[F.expr(c).cast("int").alias(f"c{i}") for i, c in enumerate(categories.values())]).dropna()
@@ -159,22 +165,21 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
     size = got["cols"].map(len).to_numpy()
     m = len(got)
     row, col = np.repeat(np.arange(m), size), np.concatenate([np.zeros(0, dtype=np.int64), *got["cols"]]).astype(np.int64)
-    value = np.concatenate([np.zeros(0), *got["vals"]])
+    x = np.zeros((m, len(vocabulary)), dtype=np.float32)
+    x[row, col] = np.concatenate([np.zeros(0), *got["vals"]])
     fold = (np.arange(m) * 2654435761 >> 7) % folds
-    models, extra = [], np.zeros((m, 0))
+    apart = fold[:, None] != np.arange(folds)
+    models = []
     for i in range(len(names)):
         y = got[f"c{i}"].to_numpy(dtype=float)
-        models.append(fit_linear(row, col, value, extra, y, len(vocabulary)))
-        if i + 1 < len(names):
-            out = np.zeros(m)
-            for k in range(folds):
-                inside = fold != k
-                if not inside.all() and inside.any():
-                    new = np.cumsum(inside) - 1
-                    part = inside[row]
-                    fitted = fit_linear(new[row[part]], col[part], value[part], extra[inside], y[inside], len(vocabulary))
-                    out[~inside] = sigmoid(fitted.logit(row, col, value, m, extra))[~inside]
-            extra = np.column_stack((extra, out))
+        last = i + 1 == len(names)
+        inside = np.ones((m, 1), dtype=bool) if last else np.column_stack((np.ones(m, dtype=bool), apart))
+        model, *by_fold = fit_linear(x, y, inside)
+        models.append(model)
+        if not last:
+            unseen = np.array([f.weights for f in by_fold]).T, np.array([f.bias for f in by_fold])
+            out = sigmoid(x @ unseen[0].astype(np.float32) + unseen[1])[np.arange(m), fold]
+            x = np.column_stack((x, out.astype(np.float32)))
     return Chain(names, vocabulary, models)
 
 
