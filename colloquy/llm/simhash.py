@@ -161,7 +161,7 @@ BAND = 24  # bits of a band; 64 bands make up the 1536 bits
 
 
 def long_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(``id``, ``x``, ``sig``): a hash that names the text, and its 1536-bit SimHash over shingles of ``words`` words."""
+    """(``id``, ``x``, ``sig``): a hash that names the text, and its 1536-bit SimHash over the set of shingles of ``words`` words."""
     seeds = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
     def long_majority(h: np.ndarray) -> bytes:
@@ -178,7 +178,7 @@ def long_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = [long_majority(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
+            sig = [long_majority(np.unique(shingle_hashes(t.as_py(), words))) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary())], ["id", "x", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()

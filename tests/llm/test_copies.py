@@ -220,3 +220,10 @@ def test_edit_fingerprints_of_nothing_and_of_one(spark, empty):
     assert order_minhash.edit_fingerprints(empty).count() == 0
     one = spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")
     assert order_minhash.edit_fingerprints(one).first().near_next == 1.0
+
+
+def test_near_dedup_of_unlike_repeats(spark):
+    base, phrase = " ".join(f"w{i}" for i in range(100)), " ".join(["again and", "again"] * 3)
+    texts = [" ".join([base, *["over and over"] * n]) for n in (3, 30, 300)] + [" ".join([phrase] * n) for n in (2, 20)]
+    got = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 3]
