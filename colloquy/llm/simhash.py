@@ -6,6 +6,7 @@ fingerprints that link lie in neighbouring cells of the grid of segment counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,34 +157,57 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     return found.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
-WORDS = 24  # 64-bit fingerprints of a long one, each with its own seed
-BAND = 24  # bits of a band; 64 bands make up the 1536 bits
+SKETCH = 1 << 18  # hash buckets in which shingles are counted
+SAMPLE = 8  # one text of so many is counted
+MARKS = 1536  # bits of a text's parity bitmap
 
 
-def long_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(``id``, ``x``, ``sig``): a hash that names the text, and its 1536-bit SimHash over the set of shingles of ``words`` words."""
-    seeds = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+def shingle_rarity(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
+    """A frequency class for each of ``SKETCH`` hash buckets of shingles, 4 steps for each doubling, from a sample of the texts.
 
-    def long_majority(h: np.ndarray) -> bytes:
-        if not len(h):
-            return bytes(8 * WORDS)
-        ones = np.zeros(64 * WORDS, dtype=np.int64)
-        for at in range(0, len(h), 2048):
-            x = h[None, at : at + 2048] ^ seeds
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x = np.ascontiguousarray((x ^ (x >> np.uint64(31))).T)  # a row of all seeds' hashes for each shingle
-            ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+    Any fixed order of shingles gives an exact search; counts only serve to place widely shared shingles last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, dtype=np.int64)
         for b in batches:
-            sig = [long_majority(np.unique(shingle_hashes(t.as_py(), words))) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary())], ["id", "x", "sig"])
+            for t in b.column(0):
+                np.add.at(total, (np.unique(shingle_hashes(t.as_py(), words)) % np.uint64(SKETCH)).astype(np.int64), 1)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "n"])
+
+    some = docs.filter(F.pmod(text_name(text_col), F.lit(SAMPLE)) == 0).select(F.col(text_col).alias("text"))
+    counts = some.mapInArrow(run, "b int, n long").groupBy("b").agg(F.round(4 * F.log2(F.sum("n") + 1)).cast("tinyint").alias("c")).toArrow()
+    out = np.zeros(SKETCH, dtype=np.uint8)
+    out[counts["b"].to_numpy()] = counts["c"].to_numpy()
+    return out
+
+
+def shingle_prefixes(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(``id``, ``x``, ``n``, ``sig``, ``prefix``): a hash that names the text, its number of distinct shingles, bitmap and rarest shingles.
+
+    Two sets of Jaccard similarity s or more share one of the first ``n - ceil(s n) + 1`` shingles of each, in an order
+    that all sets follow. A bit of the bitmap says whether an odd number of shingles fall on it, so two bitmaps differ in at
+    most as many bits as the sets in members. Texts without words share the prefix 0.
+    """
+    rarity = docs.sparkSession.sparkContext.broadcast(shingle_rarity(docs, words, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = rarity.value
+        for b in batches:
+            sizes, sigs, firsts = [], [], []
+            for t in b.column(2):
+                h = np.unique(shingle_hashes(t.as_py(), words))
+                n = len(h)
+                order = np.argsort(classes[(h % np.uint64(SKETCH)).astype(np.int64)], kind="stable")  # h ascends, so ties go by hash
+                sizes.append(n)
+                sigs.append(np.packbits(np.bincount((h % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1).tobytes())
+                firsts.append(h[order[: n - math.ceil(similarity * n - 1e-9) + 1]].view(np.int64) if n else np.zeros(1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "x", "n", "sig", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_name(text_col).alias("x"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, x long, sig binary")
+    return rows.mapInArrow(run, f"id {kind}, x long, n int, sig binary, prefix array<long>")
 
 
 def text_name(text_col: str) -> Column:
@@ -191,14 +215,9 @@ def text_name(text_col: str) -> Column:
     return F.xxhash64(F.lit("text"), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def bands(sig: Column) -> Column:
-    """For each band of 24 bits its number and bits as one long: a grid whose segments are single bits, at radius 0."""
-    return F.array(*[F.conv(F.hex(F.concat(F.lit(bytes([k])), F.substring(sig, 3 * k + 1, 3))), 16, 10).cast("long") for k in range(64 * WORDS // BAND)])
-
-
 def differing_bits(a: Column, b: Column) -> Column:
     total = F.lit(0)
-    for k in range(4 * WORDS):
+    for k in range(MARKS // 16):
         total = total + F.bit_count(F.conv(F.hex(F.substring(a, 2 * k + 1, 2)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(b, 2 * k + 1, 2)), 16, 10).cast("long")))
     return total
 
@@ -206,27 +225,27 @@ def differing_bits(a: Column, b: Column) -> Column:
 def near_text_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Texts with their least document, and links between texts whose shingle sets have a Jaccard similarity of ``similarity``.
 
-    At that similarity about 15 % of SimHash bits differ, far more than the 2 of 64 bits that a grid of
-    neighbouring cells can reach. So a fingerprint of 1536 bits is cut into 64 bands of 24 bits; texts that agree in a band
-    are candidates, the whole fingerprint's distance rules out chance meetings, and shingle sets decide. In a band's
-    cell all texts are compared with the least; those that differ from it are then compared with the rest.
+    The search is an exact prefix filter: texts that share one of their rarest shingles are candidates, sizes and bitmaps
+    rule out most that cannot be similar, and shingle sets decide. Of the texts that share a shingle all are compared with
+    the least; those that differ from it are then compared with the rest.
     """
     spark = docs.sparkSession
-    found, found_path = save(long_fingerprints(docs, words, id_col, text_col), "long-fingerprints")
-    texts, _ = save(found.groupBy("x").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.max("sig").alias("sig")), "texts")
+    found, found_path = save(shingle_prefixes(docs, words, similarity, id_col, text_col), "prefixes")
+    texts, _ = save(found.groupBy("x").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.any_value(F.struct("n", "sig", "prefix")).alias("own")).select("x", "least", "rows", "own.*"), "texts")
     remove(spark, found_path)
-    placed = texts.select("x", F.explode(bands(F.col("sig"))).alias("cell"))
+    placed = texts.select("x", F.explode("prefix").alias("cell"))
     heads = placed.groupBy("cell").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("cell", "lo", "n")
     members, members_path = save(placed.join(heads, "cell").select("cell", "x", "lo", "n"), "members")
 
-    sigs = texts.select("x", "sig")
-    # at the wanted similarity a bit differs with probability acos(2 s / (1 + s)) / pi; five standard errors are added
-    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-    most = int(64 * WORDS * p + 5 * (64 * WORDS * p * (1 - p)) ** 0.5) + 1
+    sigs = texts.select("x", F.struct("n", "sig").alias("a"))
+    # sets of n and m shingles with similarity s have s / (1 + s) of n + m in common, and differ in what is left
+    both_n = F.col("a.n") + F.col("b.n")
+    apart_by = both_n - 2 * F.ceil(both_n * (similarity / (1 + similarity)) - 1e-9)
+    sizes_fit = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-9
 
     def verify(pairs: DataFrame) -> tuple[DataFrame, str]:
-        near = pairs.join(sigs, "x").join(sigs.select(F.col("x").alias("y"), F.col("sig").alias("other")), "y")
-        near, near_path = save(near.filter(differing_bits(F.col("sig"), F.col("other")) <= most).select("x", "y"), "near")
+        near = pairs.join(sigs, "x").join(sigs.withColumnsRenamed({"x": "y", "a": "b"}), "y").filter(sizes_fit)
+        near, near_path = save(near.filter(differing_bits(F.col("a.sig"), F.col("b.sig")) <= apart_by).select("x", "y"), "near")
         ends = near.select("x").unionByName(near.select(F.col("y").alias("x"))).distinct()
         named = docs.select(text_name(text_col).alias("x"), F.col(text_col).alias("text")).join(ends, "x", "left_semi")
 

@@ -227,3 +227,18 @@ def test_near_dedup_of_unlike_repeats(spark):
     texts = [" ".join([base, *["over and over"] * n]) for n in (3, 30, 300)] + [" ".join([phrase] * n) for n in (2, 20)]
     got = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == [0, 3]
+
+
+def test_near_text_links_find_all_short_pairs(spark):
+    rng = random.Random(7)
+    rows = []
+    for n in [8] * 40 + [10] * 40 + [16] * 40 + [60] * 40 + [200] * 20:
+        w = [f"v{rng.randrange(3000)}" for _ in range(n)]
+        rows += [" ".join(w), " ".join([*w, *(f"t{rng.random()}" for _ in range(max(1, (n - 4) // 4)))])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    texts, linked = simhash.near_text_links(docs)
+    ids = {r.x: r.least for r in texts.collect()}
+    sets = [shingles(t) for t in rows]
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {tuple(sorted((ids[r.x], ids[r.y]))) for r in linked.collect()}
+    assert len(want) >= 180 and got == want
