@@ -57,6 +57,8 @@ class Piece:
     item: object
     question: list[str]
     answer: list[str]
+    #: question and answer of the whole item, if this is a run of it
+    whole: tuple[list[str], list[str]] | None = None
 
 
 @dataclass
@@ -170,16 +172,32 @@ class Search:
     threshold: float = 0.6
     least_question: float = 0.5
     least_answer: float = 0.5
+    in_order: int = 8  # items of fewer words must occur as they are
 
 
 def items_to_pieces(item: object, text: str, most: int) -> list[Piece]:
-    """A short item is one piece; of a longer one each run of ``most`` words is, with its own halves as question and answer."""
+    """A short item is one piece; of a longer one each run of ``most`` words is, and knows the item's own question and answer.
+
+    A last run under a quarter of ``most``, which many texts could hold, is the last ``most`` words instead. The runs only serve
+    the search.
+    """
     question, answer = question_and_answer(text)
     words = question + answer
     if len(words) <= most:
         return [Piece(item, question, answer)] if words else []
     cut = [words[i : i + most] for i in range(0, len(words), most)]
-    return [Piece(item, c[: len(c) // 2], c[len(c) // 2 :]) for c in cut]
+    if 4 * len(cut[-1]) < most:
+        cut[-1] = words[-most:]
+    return [Piece(item, c[: len(c) // 2], c[len(c) // 2 :], (question, answer)) for c in cut]
+
+
+def overlaps(p: Piece, have: list[str], how: Search) -> tuple[float, float]:
+    """How much of the item's question and answer a stretch of text holds; an item of few words is there in one run or not at all."""
+    question, answer = p.whole or (p.question, p.answer)
+    if len(question) + len(answer) < how.in_order:
+        there = overlap(question + answer, have, how.in_order)
+        return there, there
+    return overlap(question, have), overlap(answer, have)
 
 
 def promising(index: BlockMaxIndex, window: np.ndarray, term: np.ndarray, windows: int, threshold: float) -> list[int]:
@@ -237,10 +255,12 @@ def search_texts(index: BlockMaxIndex, texts: pa.Array, how: Search) -> Iterator
             s, e = begin[row] + at, min(begin[row] + at + how.passage, begin[row + 1])
             matches = index.search(np.unique(term[s:e][term[s:e] >= 0]).tolist(), how.threshold)
             if matches:
-                have = [words[i] for i in np.asarray(coded.indices)[flat[s:e]]]
                 for number, score in matches:
                     p = index.pieces[number]
-                    q, a = overlap(p.question, have), overlap(p.answer, have)
+                    # the item that a run belongs to can reach as far as its own length to both sides
+                    far = sum(map(len, p.whole)) if p.whole else 0
+                    have = [words[i] for i in np.asarray(coded.indices)[flat[max(begin[row], s - far) : min(begin[row + 1], e + far)]]]
+                    q, a = overlaps(p, have, how)
                     if q >= how.least_question and a >= how.least_answer:
                         yield done + row, p.item, score, q, a, at
         done += len(part)
@@ -252,14 +272,19 @@ def build_indexes(bench: DataFrame, how: Search, id_col: str, text_col: str, mos
     size, kind = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], bench.schema[id_col].dataType.simpleString()
     shards = -(-size // most_bytes)
 
+    run = pa.struct([("question", pa.list_(pa.string())), ("answer", pa.list_(pa.string()))])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [p for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p in items_to_pieces(i, t, how.stride)]
+            found = [p for p in (items_to_pieces(i, t, how.stride) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) if p]
+            runs = [[{"question": p.question, "answer": p.answer} for p in ps] for ps in found]
+            whole = [ps[0].whole or (None, None) for ps in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p.item for p in found], b.column(0).type), pa.array([p.question for p in found], pa.list_(pa.string())), pa.array([p.answer for p in found], pa.list_(pa.string()))], ["id", "question", "answer"]
+                [pa.array([ps[0].item for ps in found], b.column(0).type), pa.array(runs, pa.list_(run)), *(pa.array([w[k] for w in whole], pa.list_(pa.string())) for k in range(2))], ["id", "runs", "question", "answer"]
             )
 
-    pieces = rows.mapInArrow(cut, f"id {kind}, question array<string>, answer array<string>")
+    items = rows.mapInArrow(cut, f"id {kind}, runs array<struct<question array<string>, answer array<string>>>, question array<string>, answer array<string>")
+    pieces = items.select("id", F.explode("runs").alias("run")).select("id", "run.*")
     every = F.concat("question", "answer")
     n, total = pieces.agg(F.count("*"), F.sum(F.size(every))).first()
     if not n:
@@ -269,7 +294,10 @@ def build_indexes(bench: DataFrame, how: Search, id_col: str, text_col: str, mos
         here = pieces.filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == k)
         own = here.select(F.explode(every).alias("w")).distinct().join(df, "w")
         counts = {r.w: r.df for r in own.collect()}  # the terms of one shard
-        held = [Piece(r.id, r.question, r.answer) for r in here.orderBy("id", "question", "answer").collect()]
+        held = []
+        for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).orderBy("id", "runs").collect():
+            whole = None if r.question is None else (r.question, r.answer)  # one copy for all runs
+            held += [Piece(r.id, x.question, x.answer, whole) for x in r.runs]
         if held:
             yield BlockMaxIndex.build(held, counts, n, total / n)
 
@@ -278,8 +306,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, how: Search = Search(), id_c
     """One row for each pair of a document and an item that it contains: ``id_col, item_col, score, question_overlap, answer_overlap, first_word``.
 
     The row is of the passage of the highest score. Every passage of every whole text is a query; a pair counts if a
-    passage reaches the threshold of the item's (or a piece of a long item's) own BM25 score, and holds enough of the word
-    3-grams of the question and of the answer. Items without words and null texts match nothing; null ids
+    passage reaches the threshold of the item's (or a run of a long item's) own BM25 score, and it (for a long item, with the
+    item's length around it) holds enough of the word 3-grams of the item's question and of its answer, or all of an item
+    of fewer than 8 words in one run. Items without words and null texts match nothing; null ids
     are kept as they are; repeated rows count once for each id; an empty table on either side gives an empty one.
     An index that is broadcast holds at most ``most_bytes`` of item text; more items make more indexes, each of which
     all texts are searched against.

@@ -159,6 +159,21 @@ def test_decontamination_of_edges(spark, edges, empty):
     assert [(r.doc_id, r.item_id) for r in sharded] == [(None, 1)]
 
 
+def test_long_and_tiny_items_need_their_own_question_and_answer(spark):
+    context, answer = [f"c{i}" for i in range(190)], [f"a{i}" for i in range(10)]
+    long_one = " ".join(context) + ". " + " ".join(answer) + "."
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(64)) + " house"), (2, long_one), (3, "red fox"), (4, "small blue boats sail. they never return")], "item_id long, text string")
+    pad = " ".join(f"p{i}" for i in range(150))
+    rows = [
+        (10, "a house by the sea"), (11, " ".join(context[:70])), (12, " ".join(context)), (13, f"{pad} {long_one} {pad}"), (14, " ".join(f"w{i}" for i in range(64)) + " house"),
+        (15, "fox and hound in red"), (16, "the red fox runs"), (17, "they never return but small blue boats sail"), (18, "Small blue boats sail; they never return."),
+        (19, " ".join(context[60:]) + " " + " ".join(answer)),
+    ]
+    got = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(13, 2), (14, 1), (16, 3), (18, 4), (19, 2)]
+    assert [(r.question_overlap, r.answer_overlap) for r in got if r.doc_id == 13] == [(1.0, 1.0)]
+
+
 def test_long_items_are_cut():
     p = dc.items_to_pieces(1, " ".join(f"w{i}" for i in range(150)), 64)
     assert [len(x.question + x.answer) for x in p] == [64, 64, 22]
