@@ -81,9 +81,10 @@ def scan_secrets(
 ) -> DataFrame:
     """Every document's secrets, each with the number of repositories and owners that hold the same one.
 
-    A secret seen with ``example_owners`` owners or in ``example_repos`` repositories is a widely copied example,
-    else it belongs to its owner and may be live. ``owner_col`` names the owner; a repository is ``repo_col``, or
-    the document if that is not given. Base matches always stay; a random-looking run that only the ``opaque``
+    A secret seen with ``example_owners`` owners is a widely copied example, and so is one in ``example_repos``
+    repositories of several owners if ``repo_col`` is given; else it belongs to its owner and may be live, however many
+    copies there are. ``owner_col`` names the owner; a repository is ``repo_col``, or the document, which is only counted, if
+    that is not given. Base matches always stay; a random-looking run that only the ``opaque``
     rule finds is kept where it belongs to its owner, not where many share it.
 
     Returns ``id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, secrets``; ``secrets`` lists
@@ -104,7 +105,8 @@ def scan_secrets(
     salted = held.groupBy("hash", "owner", F.pmod(F.xxhash64("repo"), F.lit(64)).alias("salt")).agg(F.count("*").alias("repos"))
     by_owner = salted.groupBy("hash", "owner").agg(F.sum("repos").alias("repos"))
     spread = by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
-    judged = each.join(spread, "hash").withColumn("live", (F.col("owners") < example_owners) & (F.col("repos") < example_repos))
+    copied = (F.col("owners") > 1) & (F.col("repos") >= example_repos) if repo_col else F.lit(False)
+    judged = each.join(spread, "hash").withColumn("live", (F.col("owners") < example_owners) & ~copied)
     judged = judged.filter((F.col("at.kind") != "opaque") | F.col("live"))
     per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("at.start").alias("start"), F.array_position(F.array(*map(F.lit, (*BASE, "opaque"))), F.col("at.kind")).alias("nth"), F.col("at.kind").alias("kind"), F.col("at.end").alias("end"), "repos", "owners", "live"))).alias("secrets"))
     out = kept.select("row", "id", "n_assign", "n_access", "n_hex", "base_sha256").join(per_row, "row", "left")

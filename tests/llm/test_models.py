@@ -48,6 +48,16 @@ def test_secrets_by_owner(spark):
     assert got[3].base_sha256 == hashlib.sha256(b"assign:2:22").hexdigest()
 
 
+def test_secrets_of_one_owner_with_many_copies_stay_live(spark):
+    odd, key = "Zx9Kq2Lm7Pw4Rt8Vb3Nc6Yd1", "token: livevalue99"
+    rows = [(i, f"{key} and {odd}", "s1", f"r{i}") for i in range(8)] + [(20 + i, "token: bothvalue11", f"s{i % 2}", f"r{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    for repo_col, both in ((None, (1, 0)), ("repo", (0, 1))):
+        got = {r.doc_id: r for r in secrets.scan_secrets(df, repo_col=repo_col).collect()}
+        assert all((got[i].n_live, got[i].n_example) == (2, 0) and "opaque" in got[i].spans for i in range(8))
+        assert (got[0].secrets[0].owners, got[0].secrets[0].repos) == (1, 8) and (got[20].n_live, got[20].n_example) == both
+
+
 def test_secrets_of_edges(edges, empty, edge_frame):
     got = secrets.scan_secrets(edges).collect()
     assert len(got) == len(edge_frame) and sum(r.n_assign for r in got) == 2 and secrets.scan_secrets(empty).count() == 0
