@@ -6,6 +6,7 @@ tokenizers crosses. The pieces repeat, so a worker computes each once and keeps
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -22,6 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+_LATIN = re.compile("[\0-\xff]*").fullmatch  # composed characters alone, which every library lower-cases alike
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = "".join(c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n")
 _ODD = f"  | \\n|\\n |^ | $|[{_ODD_SPACE}]"
@@ -57,10 +59,10 @@ class Cache:
     def __init__(self, most: int) -> None:
         self.most, self.new, self.old = most, {}, {}
 
-    def put(self, key: str, value) -> None:
-        if len(self.new) >= self.most:
+    def put(self, entries: dict) -> None:
+        if len(self.new) + len(entries) > self.most:
             self.old, self.new = self.new, {}
-        self.new[key] = value
+        self.new.update(entries)
 
 
 def slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
@@ -89,17 +91,17 @@ class PieceCoder:
         got = list(map(cache.new.get, words))
         lost = [i for i, v in enumerate(got) if v is None]
         if lost:
-            old, missing = cache.old, []
+            old, missing, again = cache.old, [], {}
             for i in lost:
                 if (v := old.get(words[i])) is None:
                     missing.append(i)
                 else:
-                    got[i] = v
-                    cache.put(words[i], v)
-            fresh = list(dict.fromkeys(words[i] for i in missing))
-            made = dict(zip(fresh, self.compute([before + w for w in fresh]), strict=True))
-            for w, v in made.items():
-                cache.put(w, v)
+                    got[i] = again[words[i]] = v
+            fresh = list(dict.fromkeys([words[i] for i in missing]))
+            made = dict(zip(fresh, self.compute([w if w[:1] == "\n" else before + w for w in fresh]), strict=True))
+            cache.put(again)
+            for at in range(0, len(fresh), max(1, cache.most // 2)):  # so that no more than the most are held
+                cache.put({w: made[w] for w in fresh[at : at + max(1, cache.most // 2)]})
             for i in missing:
                 got[i] = made[words[i]]
         return got
@@ -111,9 +113,9 @@ class PieceCoder:
     def spread(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
         """Values; for each piece of all texts the place of its value; for each text the place of its first piece.
 
-        Only for texts that ``plain`` accepts: they are cut and looked up together, each distinct piece once.
+        Only for texts that ``plain`` accepts: they are cut at spaces and before line ends, and looked up together, each distinct piece once.
         """
-        cut = pc.split_pattern(texts, " ")
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         begins = np.asarray(cut.offsets, dtype=np.int64)
         begins = begins - begins[0]
         coded = cut.flatten().dictionary_encode()
@@ -155,17 +157,22 @@ class IdCoder(PieceCoder):
 
     def compute(self, texts: list[str]) -> list[bytes]:
         if self.lower:
-            texts = [t.lower() if t.isascii() else self.library.normalizer.normalize_str(t) for t in texts]
-        found = list(map(self.pattern.findall, texts))
-        words = list(dict.fromkeys(w for ws in found for w in ws))
-        tokenize, ids = self.model.tokenize, {}
+            texts = [t.lower() if t.isascii() or _LATIN(t) else self.library.normalizer.normalize_str(t) for t in texts]
+            found = [(t[1:],) if t[:1] == " " and t[1:].isalpha() else self.pattern.findall(t) for t in texts]
+        else:
+            found = [(t,) if t[:1] == " " and t[1:].isalpha() else self.pattern.findall(t) for t in texts]
+        words = list(dict.fromkeys([w for ws in found for w in ws]))
+        tokenize, ids, again, fresh = self.model.tokenize, {}, {}, {}
         for w, v in zip(words, map(self.words.new.get, words), strict=True):
             if v is None:
                 v = self.words.old.get(w)
                 if v is None:
-                    v = array("I", [k.id for k in tokenize(letters(w))]).tobytes()
-                self.words.put(w, v)
+                    v = fresh[w] = array("I", [k.id for k in tokenize(letters(w))]).tobytes()
+                else:
+                    again[w] = v
             ids[w] = v
+        self.words.put(again)
+        self.words.put(fresh)
         return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in found]
 
     def encode(self, text: str | None) -> bytes:
@@ -206,5 +213,6 @@ _coders: dict[tuple, PieceCoder] = {}
 def coder(kind: type, path: str) -> PieceCoder:
     """One coder for each worker process, so that its caches outlive a task."""
     if (kind, path) not in _coders:
+        gc.set_threshold(100_000, 20, 20)  # the caches hold strings and bytes, no cycles; default sweeps take a sixth of the time
         _coders[kind, path] = kind(path)
     return _coders[kind, path]

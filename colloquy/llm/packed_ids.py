@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts
+from .common import remove, save, shuffle_parts
 from .encoding import IdCoder, coder
 
 MAGIC = b"CQID0001"
@@ -84,44 +84,67 @@ class Shard:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 2_000_000) -> None:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
+    """(``id``, ``ids``): every text's ids with the end id, as little-endian integers of two bytes, or four if the vocabulary needs them."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: IdCoder = coder(IdCoder, tokenizer)
+        whole = "<u2" if bits_for(max(c.n_ids, (end_id or 0) + 1)) <= 16 else "<u4"
+        tail = np.array([] if end_id is None else [end_id], dtype=whole)
+        for b in batches:
+            ids = [np.concatenate((x.astype(whole), tail)).tobytes() for x in c.encode_all(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, ids binary")
+
+
+def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 250_000) -> None:
     """Encode every text, append ``end_id``, and write packed shards of about ``shard_ids`` ids in ascending id order.
 
-    The table at ``path`` has a row for each shard: ``part, shard`` (its place: parts ascend by id, shards within
-    a part), ``before`` (ids of the part before it), ``n_docs, n_ids, doc_ids`` and ``data``. A null text is empty; null ids come first; rows with one id
-    are ordered by their text, so that repeats have a defined place. Texts are dealt out by ranges of the id, one
-    shuffle; a task holds the ids of one shard at a time, so that memory stays bounded however many rows it has.
+    The table at ``path`` has a row for each shard: ``part, shard`` (its place: parts ascend by id, shards within a part), ``before``
+    (ids of the part before it), ``n_docs, n_ids, doc_ids`` and ``data``. A null or empty text has the end id alone; null ids come
+    first; rows with one id are ordered by their ids' bytes, so that repeats have a defined place; other columns are not read; an
+    empty table gives no shard. Texts are encoded where they are read, whole, and only their ids, under half the bytes, are dealt out by
+    ranges of the document id, one shuffle. A task holds the ids of one shard, or of one very long document, at a time.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    rows, rows_path = save(encoded(docs, tokenizer, end_id, id_col, text_col), "encoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: IdCoder = coder(IdCoder, tokenizer)
-        bits, tail = bits_for(max(c.n_ids, (end_id or 0) + 1)), np.array([] if end_id is None else [end_id], dtype="<u4")
+        from tokenizers import Tokenizer
+
+        bits = bits_for(max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), (end_id or 0) + 1))
+        whole = "<u2" if bits <= 16 else "<u4"
         part, shard, before, held, names, n = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
-        def full() -> pa.RecordBatch:
+        def full(id_type: pa.DataType) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(id_type)), pa.array([write_shard(held, bits)], pa.binary())],
                 ["part", "shard", "before", "n_docs", "n_ids", "doc_ids", "data"],
             )
 
+        id_type = None
         for b in batches:
             id_type = b.column(0).type
-            for name, ids in zip(b.column(0).to_pylist(), c.encode_all(b.column(1)), strict=True):
-                held.append(np.concatenate((ids, tail)))
+            for name, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.append(np.frombuffer(ids.as_py(), dtype=whole))
                 names.append(name)
                 n += len(held[-1])
                 if n >= shard_ids:
-                    yield full()
+                    yield full(id_type)
                     shard, before, held, names, n = shard + 1, before + n, [], [], 0
         if held:
-            yield full()
+            yield full(id_type)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(shuffle_parts(spark), F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "text")
+    dealt = rows.repartitionByRange(shuffle_parts(spark), F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "ids")
     shards = dealt.mapInArrow(run, f"part int, shard int, before long, n_docs long, n_ids long, doc_ids array<{kind}>, data binary")
-    shards.write.option("compression", "zstd").parquet(path)
+    # rows are large: the writer must look at its size more often than every hundred rows, and small row groups do
+    small = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "16"}
+    shards.write.options(**small).parquet(path)
+    remove(spark, rows_path)
 
 
 def part_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -131,7 +154,10 @@ def part_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_packed(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Every document of a packed table: its id, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``."""
+    """Every document of a packed table: its id, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
+
+    Null and repeated ids give a row each, as they were written; a table without shards gives no row.
+    """
     kind = spark.read.parquet(path).schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
