@@ -1,11 +1,17 @@
-"""Helpers shared by the corpus operators: scratch tables in the shared folder."""
+"""Helpers shared by the corpus operators: scratch tables in the shared folder, joins with frequent keys, fresh names."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: scratch tables that are still there, by application
+_saved: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -24,7 +30,14 @@ def save(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet below the shared folder and read it again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # nothing reads the shuffles of a written table again, so their files can go at once
+    kept = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept) if kept is not None else spark.conf.unset(CLEANUP)
+    _saved.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -34,6 +47,33 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    left = _saved.get(spark.sparkContext.applicationId, [])
+    left[:] = [p for p in left if p not in paths]
+
+
+def sweep(spark: SparkSession, *keep: str) -> None:
+    """Delete the scratch tables of this application but ``keep``: for callers that have written the results which read them."""
+    remove(spark, *[p for p in _saved.get(spark.sparkContext.applicationId, []) if p not in keep])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it, so that ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_counted(rows: DataFrame, named: DataFrame, on: list[str], count: Column, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``named``, which has a row for each key and says in ``count`` how many rows hold the key.
+
+    Keys that more than 1 of ``share`` rows hold are at most ``share``, so those are broadcast and their rows stay where they are; the
+    others are joined by a shuffle in which no key is large.
+    """
+    total = named.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    often = F.broadcast(named.filter(count * share > total))
+    seldom = named.filter(~(count * share > total))
+    return rows.join(often, on).unionByName(rows.join(often.select(*on), on, "left_anti").join(seldom, on))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -1,13 +1,15 @@
 """SimHash near-duplicates: fingerprints joined on a grid of per-segment bit counts, and their components.
 
-Two fingerprints that differ in d bits have segment counts whose Manhattan distance is at most d. So all
-fingerprints that link lie in neighbouring cells of the grid of segment counts.
+Two fingerprints that differ in d bits have segment counts whose Manhattan distance is at most d, and so agree in all but d
+groups of segments. The grid's range join therefore meets fingerprints that agree in some choice of groups, keeps the
+pairs whose counts are near enough, and verifies those on the fingerprints themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, save
+from .common import fresh, join_counted, remove, save
 
-SEGMENT = 4  # bits of a segment; its count needs 3 bits, so a cell of 16 segments fits in a long
+GROUPS = 6  # groups of segments in the grid's keys
+CROWD = 64  # more distinct fingerprints than that in a cell are linked by their one-bit neighbours
 _PLANES = np.arange(64, dtype=np.uint64)
 
 
@@ -60,53 +63,59 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
+def long(x: int) -> Column:
+    """64 bits as a signed literal."""
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+
+
 def segment_counts(fp: Column) -> Column:
-    """The grid cell: the bit count of each of the 16 segments, three bits apiece."""
-    cell = F.lit(0).cast("long")
-    for i in range(64 // SEGMENT):
-        part = F.shiftrightunsigned(fp, i * SEGMENT).bitwiseAND(F.lit(2**SEGMENT - 1).cast("long"))
-        cell = cell + F.shiftleft(F.bit_count(part).cast("long"), 3 * i)
-    return cell
-
-
-def near_cells(cell: Column) -> Column:
-    """``cell`` and the cells at Manhattan distance 1. Cells at distance 2 or less share one of these."""
-    out = [cell]
-    for i in range(64 // SEGMENT):
-        count, one = F.shiftrightunsigned(cell, 3 * i).bitwiseAND(F.lit(7).cast("long")), F.lit(1 << 3 * i).cast("long")
-        out += [F.when(count < SEGMENT, cell + one), F.when(count > 0, cell - one)]
-    return F.array_compact(F.array(*out))
-
-
-def midpoints(fp: Column, own: Column, cell: Column) -> Column:
-    """The bit strings of ``cell`` that differ from ``fp`` in at most one bit; ``own`` is the cell of ``fp``."""
-    out = [F.when(cell == own, fp)]
-    for i in range(64 // SEGMENT):
-        step = F.lit(1 << 3 * i).cast("long")
-        for b in range(i * SEGMENT, (i + 1) * SEGMENT):
-            bit = F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")
-            is_set = fp.bitwiseAND(bit) != 0
-            out.append(F.when(((cell == own + step) & ~is_set) | ((cell == own - step) & is_set), fp.bitwiseXOR(bit)))
-    return F.array_compact(F.array(*out))
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b), a < b: links between distinct fingerprints with the same components as all pairs at 2 bits or less.
-
-    ``fps`` has one row for each fingerprint. Every fingerprint goes to its grid cell and the 32 cells at Manhattan
-    distance 1; two whose cells are at distance 2 or less meet in a cell, which is the lower bound's range join. In
-    cells with company the exact check follows: a fingerprint stands for itself and its one-bit neighbours in
-    that cell, and two fingerprints share such a midpoint exactly if they differ in 2 bits or less. All that share
-    one are linked to their least, so that a group of any size makes as many links as it has members.
+    """The bit counts of the 32 segments of two bits, each in unary: 00, 01 or 11.
+
+    Two such embeddings differ in as many bits as the Manhattan distance of their counts.
+    """
+    odd, high = long(0x5555555555555555), F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseOR(high).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(odd), 1))
+
+
+def grid_keys(counts: Column, apart: int = 2) -> Column:
+    """A key for each choice of ``apart`` of the groups of segments: the counts of all other groups, and which those are.
+
+    Counts at a Manhattan distance of ``apart`` or less differ in at most so many groups, so they share a key.
+    """
+    bounds = [2 * (32 * g // GROUPS) for g in range(GROUPS + 1)]
+    masks = [(1 << hi) - (1 << lo) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    keys = []
+    for k, out in enumerate(combinations(range(GROUPS), apart)):
+        keys.append(F.xxhash64(F.lit(k), counts.bitwiseAND(long(sum(m for g, m in enumerate(masks) if g not in out)))))
+    return F.array(*keys)
+
+
+def links(fps: DataFrame, apart: int = 2) -> DataFrame:
+    """(a, b), a < b: links between distinct fingerprints with the same components as all pairs at ``apart`` bits or less.
+
+    ``fps`` has one row for each fingerprint. Fingerprints that share a cell of the grid are a pair if the Manhattan distance of
+    their segment counts allows it and their own bits, which decide, differ in ``apart`` or less. Of a cell with over
+    ``CROWD`` fingerprints (copies with small changes) no pairs are made: there a fingerprint stands for itself and its 64 one-bit
+    neighbours, and all that share one, which are those at 2 bits or less, are linked to the least. So a group of any
+    size makes links in proportion to its members; both ways are exact.
     """
-    own = fps.withColumn("own", segment_counts(F.col("fp")))
-    placed = own.select("fp", "own", F.explode(near_cells(F.col("own"))).alias("cell"))
-    company = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("cell")
-    exact = placed.join(company, "cell").select("fp", F.explode(midpoints(F.col("fp"), F.col("own"), F.col("cell"))).alias("mid"))
-    exact, path = save(exact, "midpoints")
-    heads = exact.groupBy("mid").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("mid", "lo")
-    out, _ = save(exact.join(heads, "mid").filter("lo < fp").select(F.col("lo").alias("a"), F.col("fp").alias("b")).distinct(), "links")
-    remove(fps.sparkSession, path)
+    if apart != 2:
+        raise ValueError("crowded cells are linked at 2 bits")
+    spark = fps.sparkSession
+    placed = fps.select("fp", F.explode(grid_keys(segment_counts(F.col("fp")), apart)).alias("cell"))
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    shared, path = save(placed.join(sizes, "cell"), "cells")
+    few = shared.filter(F.col("n") <= CROWD)
+    a, b = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
+    near = F.bit_count(segment_counts(F.col("a")).bitwiseXOR(segment_counts(F.col("b")))) <= apart
+    exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= apart
+    pairs = a.join(b, "cell").filter((F.col("a") < F.col("b")) & near & exact).select("a", "b")
+    crowd = shared.filter(F.col("n") > CROWD).select("fp").distinct()
+    around, around_path = save(crowd.select("fp", F.explode(F.array("fp", *[F.col("fp").bitwiseXOR(long(1 << k)) for k in range(64)])).alias("mid")), "neighbours")
+    heads = around.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("hi")).filter("a < hi").select("mid", "a")
+    starred = around.join(heads, "mid").filter("a < fp").select("a", F.col("fp").alias("b"))
+    out, _ = save(pairs.unionByName(starred).distinct(), "links")
+    remove(spark, path, around_path)
     return out
 
 
@@ -149,21 +158,27 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     all its members are null; repeated rows stay; an empty table gives an empty one. Rows with one fingerprint are
     combined before any join, and no step makes pairs within a group.
     """
+    spark = docs.sparkSession
     found, _ = save(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    classes, _ = save(found.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n_copies")), "classes")
-    roots = components(links(classes.select("fp")))
-    rooted, _ = save(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n_copies", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n_copies", "component_id")
-    return found.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
+    classes, classes_path = save(found.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n_copies")), "classes")
+    edges = links(classes.select("fp"))
+    roots = components(edges)
+    rooted, rooted_path = save(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n_copies", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fingerprints"))
+    named, _ = save(join_counted(rooted, least, ["root"], F.col("fingerprints")).select("fp", "n_copies", "component_id"), "named")
+    remove(spark, classes_path, rooted_path)
+    out = join_counted(found, named, ["fp"], F.col("n_copies"))
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
-SKETCH = 1 << 18  # hash buckets in which shingles are counted
-SAMPLE = 8  # one text of so many is counted
-MARKS = 1536  # bits of a text's parity bitmap
+SKETCH = 1 << 17  # hash buckets in which shingles are counted
+MARKS = 1536  # bits of a text's parity fingerprint
+LONGS = MARKS // 64
+CELLS = 12  # segments of the parity fingerprint whose bits are counted
 
 
 def shingle_rarity(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
-    """A frequency class for each of ``SKETCH`` hash buckets of shingles, 4 steps for each doubling, from a sample of the texts.
+    """A frequency class for each of ``SKETCH`` hash buckets of shingles, 4 steps for each doubling, from the counts over all texts.
 
     Any fixed order of shingles gives an exact search; counts only serve to place widely shared shingles last.
     """
@@ -171,43 +186,46 @@ def shingle_rarity(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, dtype=np.int64)
         for b in batches:
-            for t in b.column(0):
-                np.add.at(total, (np.unique(shingle_hashes(t.as_py(), words)) % np.uint64(SKETCH)).astype(np.int64), 1)
+            each = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(0)]
+            total += np.bincount((np.concatenate(each) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "n"])
 
-    some = docs.filter(F.pmod(text_name(text_col), F.lit(SAMPLE)) == 0).select(F.col(text_col).alias("text"))
-    counts = some.mapInArrow(run, "b int, n long").groupBy("b").agg(F.round(4 * F.log2(F.sum("n") + 1)).cast("tinyint").alias("c")).toArrow()
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "b int, n long").groupBy("b").agg(F.round(4 * F.log2(F.sum("n") + 1)).cast("tinyint").alias("c")).toArrow()
     out = np.zeros(SKETCH, dtype=np.uint8)
     out[counts["b"].to_numpy()] = counts["c"].to_numpy()
     return out
 
 
 def shingle_prefixes(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(``id``, ``x``, ``n``, ``sig``, ``prefix``): a hash that names the text, its number of distinct shingles, bitmap and rarest shingles.
+    """(``id``, ``x``, ``n``, ``cells``, ``sig``, ``prefix``): a hash that names the text, its number of distinct shingles, parity fingerprint
+    with the bit counts of its segments, and rarest shingles.
 
     Two sets of Jaccard similarity s or more share one of the first ``n - ceil(s n) + 1`` shingles of each, in an order
-    that all sets follow. A bit of the bitmap says whether an odd number of shingles fall on it, so two bitmaps differ in at
-    most as many bits as the sets in members. Texts without words share the prefix 0.
+    that all sets follow. A bit of the fingerprint says whether an odd number of shingles fall on it, so two fingerprints differ in at
+    most as many bits as the sets in members, and the bit counts of their segments in at most as much again. Texts without
+    words share the prefix 0.
     """
     rarity = docs.sparkSession.sparkContext.broadcast(shingle_rarity(docs, words, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = rarity.value
         for b in batches:
-            sizes, sigs, firsts = [], [], []
+            sizes, cells, sigs, firsts = [], [], [], []
             for t in b.column(2):
                 h = np.unique(shingle_hashes(t.as_py(), words))
                 n = len(h)
                 order = np.argsort(classes[(h % np.uint64(SKETCH)).astype(np.int64)], kind="stable")  # h ascends, so ties go by hash
                 sizes.append(n)
-                sigs.append(np.packbits(np.bincount((h % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1).tobytes())
+                odd = (np.bincount((h % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1).astype(np.uint8)
+                cells.append(odd.reshape(CELLS, -1).sum(axis=1, dtype=np.int32))
+                sigs.append(np.packbits(odd).view(np.int64))
                 firsts.append(h[order[: n - math.ceil(similarity * n - 1e-9) + 1]].view(np.int64) if n else np.zeros(1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "x", "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(sigs, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], ["id", "x", "n", "cells", "sig", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_name(text_col).alias("x"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, x long, n int, sig binary, prefix array<long>")
+    return rows.mapInArrow(run, f"id {kind}, x long, n int, cells array<int>, sig array<long>, prefix array<long>")
 
 
 def text_name(text_col: str) -> Column:
@@ -215,29 +233,32 @@ def text_name(text_col: str) -> Column:
     return F.xxhash64(F.lit("text"), F.coalesce(F.col(text_col), F.lit("")))
 
 
+def cell_distance(a: Column, b: Column) -> Column:
+    """The Manhattan distance of two texts' segment counts: a lower bound of ``differing_bits``."""
+    return sum((F.abs(F.get(a, F.lit(k)) - F.get(b, F.lit(k))) for k in range(CELLS)), F.lit(0))
+
+
 def differing_bits(a: Column, b: Column) -> Column:
-    total = F.lit(0)
-    for k in range(MARKS // 16):
-        total = total + F.bit_count(F.conv(F.hex(F.substring(a, 2 * k + 1, 2)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(b, 2 * k + 1, 2)), 16, 10).cast("long")))
-    return total
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(LONGS)), F.lit(0))
 
 
 def near_text_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Texts with their least document, and links between texts whose shingle sets have a Jaccard similarity of ``similarity``.
 
-    The search is an exact prefix filter: texts that share one of their rarest shingles are candidates, sizes and bitmaps
-    rule out most that cannot be similar, and shingle sets decide. Of the texts that share a shingle all are compared with
-    the least; those that differ from it are then compared with the rest.
+    A range join of the parity fingerprints' segment counts: texts that share one of their rarest shingles (an exact prefix filter,
+    which loses no pair) meet, those whose sizes and segment counts are near enough under the Manhattan distance go on, the
+    fingerprints' own distance rules out most of the rest, and shingle sets decide. Of the texts that share a shingle all are
+    compared with the least; those that differ from it are then compared with the rest.
     """
     spark = docs.sparkSession
     found, found_path = save(shingle_prefixes(docs, words, similarity, id_col, text_col), "prefixes")
-    texts, _ = save(found.groupBy("x").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.any_value(F.struct("n", "sig", "prefix")).alias("own")).select("x", "least", "rows", "own.*"), "texts")
+    texts, _ = save(found.groupBy("x").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.any_value(F.struct("n", "cells", "sig", "prefix")).alias("own")).select("x", "least", "rows", "own.*"), "texts")
     remove(spark, found_path)
     placed = texts.select("x", F.explode("prefix").alias("cell"))
     heads = placed.groupBy("cell").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("cell", "lo", "n")
     members, members_path = save(placed.join(heads, "cell").select("cell", "x", "lo", "n"), "members")
 
-    sigs = texts.select("x", F.struct("n", "sig").alias("a"))
+    sigs = texts.select("x", F.struct("n", "cells", "sig").alias("a"))
     # sets of n and m shingles with similarity s have s / (1 + s) of n + m in common, and differ in what is left
     both_n = F.col("a.n") + F.col("b.n")
     apart_by = both_n - 2 * F.ceil(both_n * (similarity / (1 + similarity)) - 1e-9)
@@ -245,7 +266,8 @@ def near_text_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     def verify(pairs: DataFrame) -> tuple[DataFrame, str]:
         near = pairs.join(sigs, "x").join(sigs.withColumnsRenamed({"x": "y", "a": "b"}), "y").filter(sizes_fit)
-        near, near_path = save(near.filter(differing_bits(F.col("a.sig"), F.col("b.sig")) <= apart_by).select("x", "y"), "near")
+        near = near.filter((cell_distance(F.col("a.cells"), F.col("b.cells")) <= apart_by) & (differing_bits(F.col("a.sig"), F.col("b.sig")) <= apart_by))
+        near, near_path = save(near.select("x", "y"), "near")
         ends = near.select("x").unionByName(near.select(F.col("y").alias("x"))).distinct()
         named = docs.select(text_name(text_col).alias("x"), F.col(text_col).alias("text")).join(ends, "x", "left_semi")
 
@@ -279,13 +301,16 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     ``similarity`` or more. Null and empty texts, and texts without words, are alike; null ids come last; of rows with
     one id and text one stays; an empty table gives an empty one.
     """
+    spark = docs.sparkSession
     texts, linked = near_text_links(docs, words, similarity, id_col, text_col)
     roots = components(linked, "x", "y")
-    grouped, _ = save(texts.join(roots, texts.x == roots.node, "left").select("x", "least", F.coalesce("root", "x").alias("root")), "grouped")
+    grouped, *paths = save(texts.join(roots, texts.x == roots.node, "left").select("x", "least", F.coalesce("root", "x").alias("root")), "grouped")
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("null_id"), "least", "x")).alias("best")).select("best.least", "best.x")
-    named = docs.withColumn("__x", text_name(text_col))
-    kept = named.join(best.withColumnsRenamed({"least": "__least", "x": "__x"}), "__x").filter(F.col(id_col).eqNullSafe(F.col("__least")))
-    kept, _ = save(kept.select(*docs.columns, "__x"), "kept")
-    many = kept.groupBy("__x").agg(F.count("*").alias("__n")).filter("__n > 1").select("__x")
-    single = kept.join(many, "__x", "left_anti")
-    return single.unionByName(kept.join(many, "__x", "left_semi").dropDuplicates(["__x"])).select(docs.columns)
+    x, at = fresh(docs, "_x"), fresh(docs, "_least")
+    named = docs.withColumn(x, text_name(text_col))
+    kept = named.join(best.withColumnsRenamed({"least": at, "x": x}), x).filter(F.col(id_col).eqNullSafe(F.col(at)))
+    kept, _ = save(kept.select(*docs.columns, x), "kept")
+    remove(spark, *paths)
+    many = kept.groupBy(x).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(x)
+    single = kept.join(many, x, "left_anti")
+    return single.unionByName(kept.join(many, x, "left_semi").dropDuplicates([x])).select(docs.columns)
