@@ -1,24 +1,25 @@
 """Line deduplication by an exact set-similarity join of lines, in DataFrame operations alone.
 
 A line's tokens are ordered by rarity. Two lines of Jaccard similarity t or more share a token among the first
-``n - ceil(t n) + 1`` of each, so only those prefixes are joined; the lengths, the places of the shared token and a bitmap of
-the tokens rule out most pairs that meet, and the rest are verified on the tokens themselves.
+``n - ceil(t n) + 1`` of each, so only those prefixes are joined; the lengths, the places of the shared token and a parity
+bitmap rule out most pairs that meet, and the rest are verified on all tokens.
+
+Arrays are exploded with their empty ones (``explode_outer``): the plain form makes Spark test an array's size first, which
+computes it twice.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, save
-
-SKETCH = 1 << 16
-FILTER = 1 << 18  # bytes of the bitmap that says which lines are candidates
+from .common import fresh, join_counted, remove, save
 
+SKETCH = 1 << 16  # hash buckets in which tokens are counted
+UNROLLED = 96  # tokens of a line whose parity bits are taken in generated code; a loop takes the rest
 
 ODD_SPACE = "\t\r\f\v"
 
@@ -32,141 +33,153 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.when(odd, F.translate(line, ODD_SPACE, "    ")).otherwise(line)), " "), "")
 
 
-def rarity(docs: DataFrame, text_col: str) -> bytes:
-    """A byte for each hash bucket of tokens: its frequency class, 4 steps for each doubling.
+def spaced(line: Column) -> Column:
+    """Whether a line has a token."""
+    return F.regexp_like(line, F.lit(r"[^ \t\r\f\x0B]"))
+
 
-    Counts cover all tokens of all texts; the result has ``SKETCH`` bytes however many tokens there are. Any fixed order of
+def rarity(lines: DataFrame) -> Column:
+    """An array literal with a frequency class for each hash bucket of tokens, 4 steps for each doubling.
+
+    Counts cover all distinct lines with the token; there are ``SKETCH`` of them however many tokens there are. Any fixed order of
     tokens gives an exact join; tokens that share a bucket with a frequent one are only placed later than they could be.
     """
-    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-    each = lines.select(F.explode(tokens(F.col("line"))).alias("w"))
-    rows = each.groupBy(F.pmod(F.xxhash64("w"), F.lit(SKETCH)).alias("b")).agg(F.count("*").alias("n")).collect()
-    out = bytearray(SKETCH)
-    for r in rows:
-        out[r["b"]] = min(127, round(4 * math.log2(r["n"] + 1)))
-    return bytes(out)
+    each = lines.select(F.explode_outer("tokens").alias("w"))
+    counts = each.groupBy(F.col("w").bitwiseAND(F.lit(SKETCH - 1).cast("long")).alias("b")).agg(F.count("*").alias("n"))
+    classed = lines.sparkSession.range(SKETCH).join(counts, F.col("id") == F.col("b"), "left").select("id", F.least(F.lit(127), F.round(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int")).alias("c"))
+    row = classed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "c"))), lambda x: x.c.cast("string")), ",").alias("all")).first()
+    return F.split(F.lit(row["all"]), ",").cast("array<int>")
 
 
-def token_keys(line: Column, classes: bytes) -> Column:
-    """The distinct tokens of a line as longs that sort by rarity: 7 bits of frequency class, 56 bits of hash."""
-    table = F.lit(bytearray(classes))
+def token_keys(hashes: Column, classes: Column) -> Column:
+    """Token hashes as longs that sort by rarity: 7 bits of frequency class, 56 bits of hash."""
+    rank = lambda h: F.get(classes, h.bitwiseAND(F.lit(SKETCH - 1).cast("long")).cast("int"))
+    key = lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform(hashes, key))
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.ascii(F.substring(table, F.pmod(h, F.lit(SKETCH)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56) + F.shiftrightunsigned(h, 8)
 
-    return F.sort_array(F.array_distinct(F.transform(tokens(line), key)))
+def row_names(id_col: str, text_col: str) -> list[Column]:
+    """128 bits that name a row by its id and text."""
+    return [F.xxhash64(id_col, text_col), F.xxhash64(F.lit("row"), id_col, text_col)]
 
 
-def bitmap(keys: Column, half: int) -> Column:
-    """64 bits that mark the tokens of one half (by a bit of their hash)."""
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: F.when(k.bitwiseAND(F.lit(64).cast("long")) == 64 * half, s.bitwiseOR(bit(k))).otherwise(s))
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(``id``, ``doc``, ``doc2``, ``no``, ``line``, ``h``, ``g``): every line with a token; (doc, doc2) names the row, (h, g) the line."""
+    doc, doc2 = row_names(id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), doc2.alias("doc2"), F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("no", "line"))
+    return rows.filter(spaced(F.col("line"))).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit("line"), F.col("line")))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(``id``, ``doc``, ``no``, ``line``, ``h``, ``g``): every line; ``doc`` names the row by id and text, (h, g) the line by 128 bits."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    return rows.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit("line"), F.col("line")))
+def parity(keys: str) -> Column:
+    """64 bits that say whether an odd number of a line's tokens fall on them: two differ in at most as many as the token sets."""
 
+    def bits(lo: int, hi: int) -> str:
+        if hi - lo == 1:
+            return f"coalesce(shiftleft(1L, cast(get({keys}, {lo}) & 63L as int)), 0L)"
+        return f"({bits(lo, (lo + hi) // 2)} ^ {bits((lo + hi) // 2, hi)})"
 
-def shares(n: Column, m: Column, i: Column, j: Column, bits: Column, t: float) -> Column:
-    """Whether lines of n and m tokens that share their i-th and j-th can be similar: length, positional and bitmap filters."""
-    both = n + m
-    least = F.ceil(both * (t / (1 + t)) - 1e-9)
-    return (n >= F.ceil(m * t - 1e-9)) & (m >= F.ceil(n * t - 1e-9)) & (F.least(n - i, m - j) + F.least(i, j) >= least) & (bits <= both - 2 * least)
+    rest = f"aggregate(slice({keys}, {UNROLLED + 1}, size({keys})), 0L, (s, k) -> s ^ shiftleft(1L, cast(k & 63L as int)))"
+    return F.expr(f"{bits(0, UNROLLED)} ^ case when size({keys}) > {UNROLLED} then {rest} else 0L end")
+
+
+def fits(t: float) -> Column:
+    """Whether a posting and an earlier one (``e_`` columns) can be similar: length, positional and parity filters."""
+    n, m, i, j = (F.col(c) for c in ("n", "e_n", "i", "e_i"))
+    least = F.ceil((n + m) * (t / (1 + t)) - 1e-9)
+    sizes = (n >= F.ceil(m * t - 1e-9)) & (m >= F.ceil(n * t - 1e-9)) & (F.least(n - i, m - j) + F.least(i, j) >= least)
+    return sizes & (F.bit_count(F.col("marks").bitwiseXOR(F.col("e_marks"))) <= n + m - 2 * least)
 
 
 def similar_lines(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", hot: int = 16) -> tuple[DataFrame, list[str]]:
-    """(``h, g, id, no, doc, later``): every distinct line with tokens, its first place, and whether it matches an earlier one.
+    """(``h, g, id, no, doc, doc2, copies, later``): every distinct line with tokens, its first place, how many there are, and whether it
+    matches an earlier one.
 
-    Prefix tokens that ``hot`` lines or more share are first joined with the earliest of those lines alone; lines that match it are
-    settled. All lines that are not settled are then joined with all lines. So a line that has thousands of variants
-    is compared with as many, and no match is lost: a line is later if any earlier line matches, settled or not.
+    The texts are read once for this. Prefix tokens that ``hot`` lines or more share are first joined with the earliest of those lines
+    alone; lines that match it are settled. All lines that are not settled are then joined with all lines. So a line that has thousands
+    of variants is compared with as many, and no match is lost: a line is later if any earlier line matches, settled or not.
     """
     spark = docs.sparkSession
-    classes = rarity(docs, text_col)
     t = threshold
-    keyed = lines_of(docs, id_col, text_col).withColumn("keys", token_keys(F.col("line"), classes))
-    n = F.size("keys")
-    prefix = F.slice("keys", F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * t - 1e-9).cast("int") + 1))
-    what = F.struct(n.alias("n"), bitmap(F.col("keys"), 0).alias("s0"), bitmap(F.col("keys"), 1).alias("s1"), prefix.alias("prefix"))
-    firsts = keyed.withColumn("what", what).groupBy("h", "g").agg(F.min(F.struct("id", "no", "doc")).alias("at"), F.any_value("what").alias("what"))
-    lines, lines_path = save(firsts.select("h", "g", "at.*", "what.*"), "lines")
-    posted = lines.filter("n > 0").select(F.struct("id", "no", "h").alias("at"), "n", "s0", "s1", F.posexplode("prefix").alias("i", "key"))
+    firsts = lines_of(docs, id_col, text_col).groupBy("h", "g").agg(F.min(F.struct("id", "no", "doc", "doc2")).alias("at"), F.count("*").alias("copies"), F.any_value("line").alias("line"))
+    lines, lines_path = save(firsts.select("h", "g", "at.*", "copies", F.array_distinct(F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w))).alias("tokens")), "lines")
+    keyed = lines.select("h", "g", "id", "no", token_keys(F.col("tokens"), rarity(lines)).alias("keys")).withColumn("n", F.size("keys"))
+    long = F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1
+    short, short_path = save(keyed.select("h", "g", "id", "no", "n", parity("keys").alias("marks"), F.slice("keys", F.lit(1), long).alias("prefix")), "prefixes")
+    posted = short.select("h", "g", "id", "no", "n", "marks", F.posexplode_outer("prefix").alias("i", "key"))
+    held = ("h", "g", "id", "no", "n", "marks", "i")
 
     def meet(late: DataFrame, early: DataFrame) -> DataFrame:
-        early = early.select("key", *[F.col(c).alias("e_" + c) for c in ("at", "n", "s0", "s1", "i")])
-        bits = F.bit_count(F.col("s0").bitwiseXOR(F.col("e_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("e_s1")))
-        fits = (F.col("e_at") < F.col("at")) & shares(F.col("n"), F.col("e_n"), F.col("i"), F.col("e_i"), bits, t)
-        return late.join(early, "key").filter(fits).select(F.col("at.h").alias("h"), F.col("e_at.h").alias("e")).distinct()
-
-    heads = posted.groupBy("key").agg(F.min(F.struct("at", "n", "s0", "s1", "i")).alias("x"), F.count("*").alias("c")).filter(F.col("c") >= hot).select("key", "x.*")
-    settled, settled_path = verified(docs, meet(posted, heads), lines, t, id_col, text_col)
-    open_lines = posted.join(settled, posted["at.h"] == settled.h, "left_anti")
-    rest, rest_path = verified(docs, meet(open_lines, posted), lines, t, id_col, text_col)
+        early = early.select("key", *[F.col(c).alias("e_" + c) for c in held])
+        earlier = F.struct("e_id", "e_no", "e_h", "e_g") < F.struct("id", "no", "h", "g")
+        return late.join(early, "key").filter(earlier & fits(t)).select("h", "g", "e_h", "e_g").distinct()
+
+    often = posted.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= hot).select("key")
+    crowded = posted.join(often, "key")
+    leaders = crowded.groupBy("key").agg(F.min(F.struct("id", "no", "h", "g", "n", "marks", "i")).alias("x")).select("key", "x.*")
+    settled, settled_path = verified(meet(crowded, leaders), lines, t)
+    open_lines = posted.join(settled, ["h", "g"], "left_anti")
+    rest, rest_path = verified(meet(open_lines, posted), lines, t)
+    remove(spark, short_path)
     late = settled.unionByName(rest).distinct().withColumn("later", F.lit(True))
-    out = lines.filter("n > 0").join(late, "h", "left").select("h", "g", "id", "no", "doc", F.coalesce("later", F.lit(False)).alias("later"))
+    out = lines.drop("tokens").join(late, ["h", "g"], "left").withColumn("later", F.coalesce("later", F.lit(False)))
     return out, [lines_path, settled_path, rest_path]
 
 
-def verified(docs: DataFrame, pairs: DataFrame, lines: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """``h`` of every line with a candidate in ``pairs`` whose token sets have a Jaccard similarity of ``threshold``.
+def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, str]:
+    """(``h, g``) of every line with a candidate (``e_h, e_g``) in ``pairs`` whose token sets have a Jaccard similarity of ``threshold``.
 
-    The tokens are read from the texts again; a bitmap of ``FILTER`` bytes, whatever the number of candidates, keeps most lines that are
-    none out of the shuffle.
+    Sets are compared by their tokens' 64-bit hashes.
     """
-    spark = docs.sparkSession
+    spark = lines.sparkSession
     pairs, pairs_path = save(pairs, "pairs")
-    ends = pairs.select("h").unionByName(pairs.select(F.col("e").alias("h"))).distinct()
-    place = F.pmod(F.col("h"), F.lit(8 * FILTER))
-    rows = ends.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(7).cast("long")).cast("int"))).alias("bits")).collect()
-    marks = bytearray(FILTER)
-    for r in rows:
-        marks[r["byte"]] = r["bits"]
-    byte = F.conv(F.hex(F.substring(F.lit(marks), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7).cast("long")).cast("int")).bitwiseAND(F.lit(1)) == 1
-    found = lines_of(docs, id_col, text_col).filter(marked).groupBy("h").agg(F.any_value("line").alias("line"))
-    sets = found.select("h", F.array_distinct(tokens(F.col("line"))).alias("set"))
-    held, held_path = save(sets.join(ends, "h", "left_semi"), "sets")
-    both = pairs.join(held.withColumnRenamed("set", "a"), "h").join(held.select(F.col("h").alias("e"), F.col("set").alias("b")), "e")
+    ends = pairs.select("h", "g").unionByName(pairs.select(F.col("e_h").alias("h"), F.col("e_g").alias("g"))).distinct()
+    held, held_path = save(lines.select("h", "g", F.col("tokens").alias("a")).join(ends, ["h", "g"], "left_semi"), "sets")
+    both = pairs.join(held, ["h", "g"]).join(held.select(F.col("h").alias("e_h"), F.col("g").alias("e_g"), F.col("a").alias("b")), ["e_h", "e_g"])
     common = F.size(F.array_intersect("a", "b"))
-    good = both.filter(common >= F.lit(threshold) * (F.size("a") + F.size("b") - common) - 1e-9).select("h").distinct()
+    good = both.filter(common >= F.lit(threshold) * (F.size("a") + F.size("b") - common) - 1e-9).select("h", "g").distinct()
     out, path = save(good, "later")
     remove(spark, pairs_path, held_path)
     return out, path
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``doc``, ``removed``): for each document that loses lines, their numbers from 0, ascending.
+    """(``doc``, ``doc2``, ``removed``): for each document that loses lines, their numbers from 0, ascending.
 
     Lines are ordered by document id (null first) and number. A line goes if the same line, or one with a Jaccard similarity of
     ``threshold`` or more between their token sets, comes earlier anywhere; lines without tokens stay. Rows with the same id and
-    text count as one document; ``doc`` is a hash of both.
+    text count as one document, so that none of them loses a line to the others; (``doc``, ``doc2``) is a hash of both. Rows with one
+    id and unlike texts are ordered by that hash. A null text has no lines; an empty table gives an empty one; very long texts
+    and lines are compared whole. Lines that many rows hold are not gathered: see ``join_counted``.
     """
-    found, _ = similar_lines(docs, threshold, id_col, text_col)
-    first = found.select("h", "g", F.struct("id", "no", "doc").alias("first"), "later")
-    every = lines_of(docs, id_col, text_col).select("h", "g", F.struct("id", "no", "doc").alias("at"))
-    gone = every.join(first, ["h", "g"]).filter(F.col("later") | (F.col("at") != F.col("first")))
-    return gone.select("at.doc", "at.no").distinct().groupBy("doc").agg(F.sort_array(F.collect_list("no")).alias("removed"))
+    found, paths = similar_lines(docs, threshold, id_col, text_col)
+    gone_or_not, path = save(found.filter(F.col("later") | (F.col("copies") > 1)).select("h", "g", F.struct("id", "no", "doc", "doc2").alias("first"), "later", "copies"), "repeated")
+    remove(docs.sparkSession, *paths)
+    every = lines_of(docs, id_col, text_col).select("h", "g", F.struct("id", "no", "doc", "doc2").alias("at"))
+    gone = join_counted(every, gone_or_not, ["h", "g"], F.col("copies")).filter(F.col("later") | (F.col("at") != F.col("first")))
+    return gone.select("at.doc", "at.doc2", "at.no").distinct().groupBy("doc", "doc2").agg(F.sort_array(F.collect_list("no")).alias("removed"))
 
 
 def line_report(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_lines, n_removed, removed`` (numbers of removed lines, comma-joined) of every row. A null text has no lines."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc"), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = rows.join(removed_lines(docs, threshold, id_col, text_col), "doc", "left")
+    """``id_col, n_lines, n_removed, removed`` (numbers of removed lines, comma-joined) of every row, as ``removed_lines`` has them.
+
+    A null text has no lines; repeated rows each give the same row; a null id is kept.
+    """
+    doc, doc2 = row_names(id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), doc2.alias("doc2"), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    out = rows.join(removed_lines(docs, threshold, id_col, text_col), ["doc", "doc2"], "left")
     return out.select(F.col("id").alias(id_col), F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.greatest(F.coalesce(F.size("removed"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all rows and columns, with later lines taken out of ``text_col``.
+    """``docs``, all rows and columns, with later lines, as ``removed_lines`` has them, taken out of ``text_col``.
 
-    A null text stays null; a text all of whose lines go becomes empty; an empty table gives an empty one.
+    A null text stays null; a text all of whose lines go becomes empty; an empty table gives an empty one; columns may have any names.
     """
-    gone = removed_lines(docs, threshold, id_col, text_col).withColumnsRenamed({"doc": "__doc", "removed": "__removed"})
-    rows = docs.withColumn("__doc", F.xxhash64(id_col, text_col)).join(gone, "__doc", "left")
+    a, b, r = (fresh(docs, x) for x in ("_doc", "_doc2", "_removed"))
+    gone = removed_lines(docs, threshold, id_col, text_col).withColumnsRenamed({"doc": a, "doc2": b, "removed": r})
+    doc, doc2 = row_names(id_col, text_col)
+    rows = docs.withColumns({a: doc, b: doc2}).join(gone, [a, b], "left")
     lines = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(r))
+    text = F.when(F.col(r).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return rows.withColumn(text_col, text).select(docs.columns)
