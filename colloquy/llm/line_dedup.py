@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import fresh, join_counted, remove, save
 
 SKETCH = 1 << 16  # hash buckets in which tokens are counted
+FILTER = 1 << 18  # bytes of the bitmap that says which lines are candidates
 UNROLLED = 96  # tokens of a line whose parity bits are taken in generated code; a loop takes the rest
 
 ODD_SPACE = "\t\r\f\v"
@@ -38,24 +39,24 @@ def spaced(line: Column) -> Column:
     return F.regexp_like(line, F.lit(r"[^ \t\r\f\x0B]"))
 
 
-def rarity(lines: DataFrame) -> Column:
+def rarity(docs: DataFrame, text_col: str) -> Column:
     """An array literal with a frequency class for each hash bucket of tokens, 4 steps for each doubling.
 
-    Counts cover all distinct lines with the token; there are ``SKETCH`` of them however many tokens there are. Any fixed order of
+    Counts cover all tokens of all texts; there are ``SKETCH`` of them however many tokens there are. Any fixed order of
     tokens gives an exact join; tokens that share a bucket with a frequent one are only placed later than they could be.
     """
-    each = lines.select(F.explode_outer("tokens").alias("w"))
-    counts = each.groupBy(F.col("w").bitwiseAND(F.lit(SKETCH - 1).cast("long")).alias("b")).agg(F.count("*").alias("n"))
-    classed = lines.sparkSession.range(SKETCH).join(counts, F.col("id") == F.col("b"), "left").select("id", F.least(F.lit(127), F.round(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int")).alias("c"))
+    each = docs.select(F.explode_outer(tokens(F.translate(F.col(text_col), "\n", " "))).alias("w"))
+    counts = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1).cast("long")).alias("b")).agg(F.count("w").alias("n"))
+    classed = docs.sparkSession.range(SKETCH).join(counts, F.col("id") == F.col("b"), "left").select("id", F.least(F.lit(127), F.round(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int")).alias("c"))
     row = classed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "c"))), lambda x: x.c.cast("string")), ",").alias("all")).first()
     return F.split(F.lit(row["all"]), ",").cast("array<int>")
 
 
-def token_keys(hashes: Column, classes: Column) -> Column:
-    """Token hashes as longs that sort by rarity: 7 bits of frequency class, 56 bits of hash."""
+def token_keys(line: Column, classes: Column) -> Column:
+    """The distinct tokens of a line as longs that sort by rarity: 7 bits of frequency class, 56 bits of hash."""
     rank = lambda h: F.get(classes, h.bitwiseAND(F.lit(SKETCH - 1).cast("long")).cast("int"))
     key = lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.transform(hashes, key))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(tokens(line), lambda w: F.xxhash64(w)), key)))
 
 
 def row_names(id_col: str, text_col: str) -> list[Column]:
@@ -94,46 +95,51 @@ def similar_lines(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id
     """(``h, g, id, no, doc, doc2, copies, later``): every distinct line with tokens, its first place, how many there are, and whether it
     matches an earlier one.
 
-    The texts are read once for this. Prefix tokens that ``hot`` lines or more share are first joined with the earliest of those lines
-    alone; lines that match it are settled. All lines that are not settled are then joined with all lines. So a line that has thousands
-    of variants is compared with as many, and no match is lost: a line is later if any earlier line matches, settled or not.
+    Prefix tokens that ``hot`` lines or more share are first joined with the earliest of those lines alone; lines that match it are
+    settled. All lines that are not settled are then joined with all lines. So a line that has thousands of variants is compared
+    with as many, and no match is lost: a line is later if any earlier line matches, settled or not.
     """
     spark = docs.sparkSession
     t = threshold
-    firsts = lines_of(docs, id_col, text_col).groupBy("h", "g").agg(F.min(F.struct("id", "no", "doc", "doc2")).alias("at"), F.count("*").alias("copies"), F.any_value("line").alias("line"))
-    lines, lines_path = save(firsts.select("h", "g", "at.*", "copies", F.array_distinct(F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w))).alias("tokens")), "lines")
-    keyed = lines.select("h", "g", "id", "no", token_keys(F.col("tokens"), rarity(lines)).alias("keys")).withColumn("n", F.size("keys"))
-    long = F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1
-    short, short_path = save(keyed.select("h", "g", "id", "no", "n", parity("keys").alias("marks"), F.slice("keys", F.lit(1), long).alias("prefix")), "prefixes")
-    posted = short.select("h", "g", "id", "no", "n", "marks", F.posexplode_outer("prefix").alias("i", "key"))
-    held = ("h", "g", "id", "no", "n", "marks", "i")
+    n = F.size("keys")
+    prefix = F.slice("keys", F.lit(1), n - F.ceil(n * t - 1e-9).cast("int") + 1)
+    keyed = lines_of(docs, id_col, text_col).withColumn("keys", token_keys(F.col("line"), rarity(docs, text_col)))
+    what = F.struct(n.alias("n"), parity("keys").alias("marks"), prefix.alias("prefix"))
+    firsts = keyed.select("h", "g", F.struct("id", "no", "doc", "doc2").alias("at"), what.alias("what")).groupBy("h", "g").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.any_value("what").alias("what"))
+    lines, lines_path = save(firsts.select("h", "g", "at.*", "copies", "what.*"), "lines")
+    posted = lines.select(F.struct("id", "no", "h", "g").alias("at"), "n", "marks", F.posexplode_outer("prefix").alias("i", "key"))
 
     def meet(late: DataFrame, early: DataFrame) -> DataFrame:
-        early = early.select("key", *[F.col(c).alias("e_" + c) for c in held])
-        earlier = F.struct("e_id", "e_no", "e_h", "e_g") < F.struct("id", "no", "h", "g")
-        return late.join(early, "key").filter(earlier & fits(t)).select("h", "g", "e_h", "e_g").distinct()
-
-    often = posted.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= hot).select("key")
-    crowded = posted.join(often, "key")
-    leaders = crowded.groupBy("key").agg(F.min(F.struct("id", "no", "h", "g", "n", "marks", "i")).alias("x")).select("key", "x.*")
-    settled, settled_path = verified(meet(crowded, leaders), lines, t)
-    open_lines = posted.join(settled, ["h", "g"], "left_anti")
-    rest, rest_path = verified(meet(open_lines, posted), lines, t)
-    remove(spark, short_path)
+        early = early.select("key", *[F.col(c).alias("e_" + c) for c in ("at", "n", "marks", "i")])
+        return late.join(early, "key").filter((F.col("e_at") < F.col("at")) & fits(t)).select("at.h", "at.g", F.col("e_at.h").alias("e_h"), F.col("e_at.g").alias("e_g")).distinct()
+
+    leaders = posted.groupBy("key").agg(F.min(F.struct("at", "n", "marks", "i")).alias("x"), F.count("*").alias("c")).filter(F.col("c") >= hot).select("key", "x.*")
+    settled, settled_path = verified(docs, meet(posted, leaders), t, id_col, text_col)
+    open_lines = posted.join(settled, (F.col("at.h") == settled.h) & (F.col("at.g") == settled.g), "left_anti")
+    rest, rest_path = verified(docs, meet(open_lines, posted), t, id_col, text_col)
     late = settled.unionByName(rest).distinct().withColumn("later", F.lit(True))
-    out = lines.drop("tokens").join(late, ["h", "g"], "left").withColumn("later", F.coalesce("later", F.lit(False)))
+    out = lines.drop("n", "marks", "prefix").join(late, ["h", "g"], "left").withColumn("later", F.coalesce("later", F.lit(False)))
     return out, [lines_path, settled_path, rest_path]
 
 
-def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, str]:
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """(``h, g``) of every line with a candidate (``e_h, e_g``) in ``pairs`` whose token sets have a Jaccard similarity of ``threshold``.
 
-    Sets are compared by their tokens' 64-bit hashes.
+    The tokens are read from the texts again; a bitmap of ``8 * FILTER`` bits, whatever the number of candidates, keeps most lines that are
+    none out of the shuffle.
     """
-    spark = lines.sparkSession
+    spark = docs.sparkSession
     pairs, pairs_path = save(pairs, "pairs")
     ends = pairs.select("h", "g").unionByName(pairs.select(F.col("e_h").alias("h"), F.col("e_g").alias("g"))).distinct()
-    held, held_path = save(lines.select("h", "g", F.col("tokens").alias("a")).join(ends, ["h", "g"], "left_semi"), "sets")
+    place = F.pmod(F.col("h"), F.lit(8 * FILTER))
+    rows = ends.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(7).cast("long")).cast("int"))).alias("bits")).collect()
+    marks = bytearray(FILTER)
+    for r in rows:
+        marks[r["byte"]] = r["bits"]
+    byte = F.conv(F.hex(F.substring(F.lit(marks), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7).cast("long")).cast("int")).bitwiseAND(F.lit(1)) == 1
+    found = lines_of(docs, id_col, text_col).filter(marked).groupBy("h", "g").agg(F.any_value("line").alias("line"))
+    held, held_path = save(found.join(ends, ["h", "g"], "left_semi").select("h", "g", F.array_distinct(tokens(F.col("line"))).alias("a")), "sets")
     both = pairs.join(held, ["h", "g"]).join(held.select(F.col("h").alias("e_h"), F.col("g").alias("e_g"), F.col("a").alias("b")), ["e_h", "e_g"])
     common = F.size(F.array_intersect("a", "b"))
     good = both.filter(common >= F.lit(threshold) * (F.size("a") + F.size("b") - common) - 1e-9).select("h", "g").distinct()

@@ -171,23 +171,25 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
-SKETCH = 1 << 17  # hash buckets in which shingles are counted
+SKETCH = 1 << 18  # hash buckets in which shingles are counted
 MARKS = 1536  # bits of a text's parity fingerprint
 LONGS = MARKS // 64
 CELLS = 12  # segments of the parity fingerprint whose bits are counted
 
 
 def shingle_rarity(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
-    """A frequency class for each of ``SKETCH`` hash buckets of shingles, 4 steps for each doubling, from the counts over all texts.
+    """A frequency class for each of ``SKETCH`` hash buckets of shingles, 4 steps for each doubling, from all texts.
 
-    Any fixed order of shingles gives an exact search; counts only serve to place widely shared shingles last.
+    Any fixed order of shingles gives an exact search; counts only serve to place widely shared shingles last. So a batch of texts
+    counts the shingles that two of them share, and those that one text has alone, by far the most, do not fill the buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, dtype=np.int64)
         for b in batches:
             each = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(0)]
-            total += np.bincount((np.concatenate(each) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+            shingle, n = np.unique(np.concatenate(each), return_counts=True)
+            total += np.bincount((shingle[n > 1] % np.uint64(SKETCH)).astype(np.int64), n[n > 1], SKETCH).astype(np.int64)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "n"])
 
