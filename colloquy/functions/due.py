@@ -14,27 +14,45 @@ MONTHS = [("january", "janvier"), ("february", "fevrier"), ("march", "mars"), ("
 
 
 def due_date(text: Column, day: Column) -> Column:
-    """The date that a text names relative to ``day``; null if none. The more specific rule wins: a written date, a month's day, a
-    span of days or weeks, the end of a week or month, a weekday, tomorrow, today."""
+    """The date that a text names relative to ``day``; null if none.
+
+    Of all expressions found, the one that begins first counts, or the one among those that overlap it which reaches furthest. An
+    expression that gives no date (a 40th of May) gives null.
+    """
     x = fold(text)
-    number = lambda p: F.regexp_extract(x, p, 1).try_cast("int")
-    iso = F.regexp_extract(x, r"\b(\d{4}-\d{2}-\d{2})\b", 1).try_cast("date")
-    rules = [iso]
+    rules: list[tuple[str, Column]] = []
+
+    def rule(pattern: str, date: Column) -> None:
+        rules.append((pattern, date))
+
+    def number(pattern: str) -> Column:
+        return F.regexp_extract(x, pattern, 1).try_cast("int")
+
+    iso = r"\b(\d{4}-\d{2}-\d{2})\b"
+    rule(iso, F.regexp_extract(x, iso, 1).try_cast("date"))
     for k, names in enumerate(MONTHS, 1):
         for name in names:
-            d = F.coalesce(number(rf"\b(\d{{1,2}})(?:st|nd|rd|th|er)?(?: of)? {name}\b"), number(rf"\b{name} (\d{{1,2}})\b"))
-            rules.append(F.when(d.isNotNull(), calendar_date(d, F.lit(k), day)))
-    rules.append(F.date_add(day, number(r"\b(?:in|within|dans|sous) (\d{1,3}) (?:days?|jours?)\b")))
-    rules.append(F.date_add(day, 7 * number(r"\b(?:in|within|dans|sous) (\d{1,2}) (?:weeks?|semaines?)\b")))
-    months = number(r"\b(?:in|within|dans|sous) (\d{1,2}) (?:months?|mois)\b")
-    rules.append(F.last_day(F.add_months(day, months)))
-    rules.append(F.when(x.rlike(r"\bend of next month\b|\bfin du mois prochain\b"), end_of_month(day, 1)))
-    rules.append(F.when(x.rlike(r"\bend of (the |this )?month\b|\bfin (du|de) mois\b"), end_of_month(day)))
-    rules.append(F.when(x.rlike(r"\b(end of )?next week\b|\bla semaine prochaine\b"), end_of_week(day, 1)))
-    rules.append(F.when(x.rlike(r"\bend of (the |this )?week\b|\bthis week\b|\bfin de semaine\b|\bcette semaine\b"), end_of_week(day)))
+            for p in (rf"\b(\d{{1,2}})(?:st|nd|rd|th|er)?(?: of)? {name}\b", rf"\b{name} (\d{{1,2}})\b"):
+                rule(p, F.when(number(p).isNotNull(), calendar_date(number(p), F.lit(k), day)))
+    days, weeks, months = (rf"\b(?:in|within|dans|sous) (\d{{1,3}}) (?:{unit})\b" for unit in ("days?|jours?", "weeks?|semaines?", "months?|mois"))
+    rule(days, F.date_add(day, number(days)))
+    rule(weeks, F.date_add(day, 7 * number(weeks)))
+    rule(months, F.last_day(F.add_months(day, number(months))))
+    rule(r"\bend of next month\b|\bfin du mois prochain\b", end_of_month(day, 1))
+    rule(r"\bend of (?:the |this )?month\b|\bfin (?:du|de) mois\b", end_of_month(day))
+    rule(r"\b(?:end of )?next week\b|\bla semaine prochaine\b", end_of_week(day, 1))
+    rule(r"\bend of (?:the |this )?week\b|\bthis week\b|\bfin de semaine\b|\bcette semaine\b", end_of_week(day))
     for k, (en, fr) in enumerate(WEEKDAYS):
-        rules.append(F.when(x.rlike(rf"\bnext {en}\b|\b{fr} prochain\b"), weekday_after(day, k, True)))
-        rules.append(F.when(x.rlike(rf"\b({en}|{fr})\b"), weekday_after(day, k)))
-    rules.append(F.when(x.rlike(r"\btomorrow\b|\bdemain\b"), F.date_add(day, 1)))
-    rules.append(F.when(x.rlike(r"\btoday\b|\btonight\b|\baujourd'hui\b|\bce soir\b"), day))
-    return F.coalesce(*rules)
+        rule(rf"\bnext {en}\b|\b{fr} prochain\b", weekday_after(day, k, True))
+        rule(rf"\b(?:{en}|{fr})\b", weekday_after(day, k))
+    rule(r"\btomorrow\b|\bdemain\b", F.date_add(day, 1))
+    rule(r"\btoday\b|\btonight\b|\baujourd'hui\b|\bce soir\b", day)
+    found = []
+    for k, (pattern, date) in enumerate(rules):
+        start = F.regexp_instr(x, F.lit(pattern))
+        end = start + F.length(F.regexp_extract(x, pattern, 0))
+        found.append(F.when(start > 0, F.struct(start.alias("start"), (-end).alias("back"), F.lit(k).alias("rule"), date.alias("date"))))
+    spans = F.array_sort(F.array_compact(F.array(*found)))
+    near = F.filter(spans, lambda s: s.start <= -F.get(spans, F.lit(0)).back)
+    widest = F.array_sort(F.transform(near, lambda s: F.struct(s.back.alias("back"), s.start.alias("start"), s.rule.alias("rule"), s.date.alias("date"))))
+    return F.get(widest, F.lit(0)).date

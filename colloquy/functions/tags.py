@@ -6,14 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names for several languages, and for leaving the choice open.
-MIXED = ["mixed", "multi", "multilingual", "mul", "code-switched"]
-OPEN = ["auto", "detect", "", "none", "unknown"]
+MIXED = ["mixed", "multi", "multilingual", "bilingual", "mixte"]
+OPEN = ["auto", "detect", "automatic"]
 
 
 def normal_tag(tag: Column) -> Column:
     """``mixed``, null for an open choice, else the primary part of a tag in lower case."""
     clean = F.lower(F.trim(F.translate(tag, "_", "-")))
-    return F.when(clean.isNull() | clean.isin(OPEN), F.lit(None)).when(clean.isin(MIXED), F.lit("mixed")).otherwise(F.substring_index(clean, "-", 1))
+    return F.when(clean.isNull() | clean.isin(OPEN), F.lit(None)).when(clean.isin(MIXED), F.lit("mixed")).otherwise(F.nullif(F.substring_index(clean, "-", 1), F.lit("")))
+
+
+def resolved_language(*tags: Column) -> Column:
+    """The first of several candidates, from the most to the least telling, that says a language."""
+    return F.coalesce(*map(normal_tag, tags))
 
 
 def languages_of(tag: Column, every: tuple[str, ...] = ("en", "fr")) -> Column:

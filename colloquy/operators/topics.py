@@ -21,7 +21,7 @@ def keywords(terms: DataFrame, group: str, limit: int = 5) -> DataFrame:
 def text_rank(sentences: DataFrame, key: str, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(key, ``idx, score``) of sentences (key, ``idx, terms``): power iteration over shared terms, one meeting a group.
 
-    Two sentences are linked by shared terms over the sum of the logarithms of their numbers of terms plus one.
+    Two sentences of two terms or more are linked by their shared terms over the sum of the logarithms of their numbers of terms.
     """
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -32,8 +32,9 @@ def text_rank(sentences: DataFrame, key: str, damping: float = 0.85, rounds: int
         has = np.zeros((n, max(1, len(vocabulary))))
         for i, s in enumerate(sets):
             has[i, [vocabulary[w] for w in s]] = 1
-        size = np.log(np.array([len(s) for s in sets]) + 1.0)
-        weight = np.divide(has @ has.T, size[:, None] + size[None, :], out=np.zeros((n, n)), where=(size[:, None] + size[None, :]) > 0)
+        many = np.array([len(s) >= 2 for s in sets])
+        size = np.log(np.maximum([len(s) for s in sets], 1))
+        weight = np.divide(has @ has.T, size[:, None] + size[None, :], out=np.zeros((n, n)), where=many[:, None] & many[None, :])
         np.fill_diagonal(weight, 0)
         out = weight.sum(axis=1, keepdims=True)
         step = np.divide(weight, out, out=np.full((n, n), 1 / n), where=out > 0)

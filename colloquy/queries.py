@@ -561,7 +561,9 @@ def word_label_path(spark: SparkSession, d: str) -> DataFrame:
 def extract_candidates(spark: SparkSession, d: str) -> DataFrame:
     from .operators.minutes import candidates, sentence_rows
 
-    return candidates(sentence_rows(utterances(spark, d)))
+    cue = F.element_at(F.array(*map(F.lit, ["We agreed on the second plan.", "Could you send the figures to the team?", "You must check the budget numbers.", "Is the release date still open for everyone?", "Yes, exactly."])), (F.col("idx") % 5 + 1).cast("int"))
+    said = utterances(spark, d).withColumn("text", F.concat_ws(" ", cue, "text"))
+    return candidates(sentence_rows(said))
 
 
 @query()
@@ -570,3 +572,69 @@ def grounding_score(spark: SparkSession, d: str) -> DataFrame:
 
     said = utterances(spark, d)
     return grounding(sentence_rows(said).filter("unit % 3 = 0").select("meeting_id", F.col("text").alias("claim")), said.filter("idx % 2 = 0"))
+
+
+TAGS = ["FR_ca", " en-US ", "Bilingual", "mixte", "auto", "Automatic", "", "und"]
+
+
+@query(
+    """WITH t AS (SELECT doc_id, ['FR_ca', ' en-US ', 'Bilingual', 'mixte', 'auto', 'Automatic', '', 'und'][CAST(doc_id % 8 AS INT) + 1] AS raw, lang FROM documents),
+    c AS (SELECT doc_id, lang, lower(trim(replace(raw, '_', '-'))) AS x FROM t),
+    n AS (SELECT doc_id, lang, CASE WHEN x IN ('mixed', 'multi', 'multilingual', 'bilingual', 'mixte') THEN 'mixed' WHEN x IN ('auto', 'detect', 'automatic') THEN NULL
+      ELSE nullif(split_part(x, '-', 1), '') END AS tag FROM c)
+    SELECT doc_id, tag, coalesce(tag, nullif(split_part(lower(trim(lang)), '-', 1), '')) AS resolved FROM n"""
+)
+def language_tags(spark: SparkSession, d: str) -> DataFrame:
+    from .functions.tags import normal_tag, resolved_language
+
+    raw = F.element_at(F.array(*map(F.lit, TAGS)), (F.col("doc_id") % len(TAGS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", normal_tag(raw).alias("tag"), resolved_language(raw, F.col("lang")).alias("resolved"))
+
+
+@query(
+    f"""WITH {UTTERANCES_SQL}, e AS (SELECT meeting_id, CASE idx % 7 WHEN 0 THEN 'fr' WHEN 1 THEN NULL WHEN 2 THEN 'de' ELSE 'en' END AS l, n_words, end_ms - start_ms AS ms FROM utterances),
+    g AS (SELECT meeting_id, coalesce(l, 'und') AS lang, sum(n_words) AS n, sum(ms) / 1000.0 AS seconds FROM e GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY meeting_id) > 0 THEN n / sum(n) OVER (PARTITION BY meeting_id) END AS share FROM g),
+    b AS (SELECT *, coalesce(share > 0, false) AS counts, coalesce(share > 0, false) AND lang <> 'und' AND (share >= 0.1 OR seconds >= 20) AS big FROM s),
+    a AS (SELECT meeting_id, coalesce(list(lang ORDER BY share DESC, lang) FILTER (counts), []) AS names, coalesce(list(lang ORDER BY share DESC, lang) FILTER (big), []) AS chosen FROM b GROUP BY meeting_id)
+    SELECT meeting_id, names[1] AS dominant, array_to_string(names[2:], ',') AS secondary, array_to_string(chosen, ',') AS significant,
+      CASE WHEN len(chosen) > 1 THEN 'mixed' ELSE coalesce(chosen[1], names[1]) END AS tag FROM a"""
+)
+def language_profiles(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.profiles import language_profile
+
+    lang = F.when(F.col("idx") % 7 == 0, "fr").when(F.col("idx") % 7 == 1, None).when(F.col("idx") % 7 == 2, "de").otherwise("en")
+    return language_profile(utterances(spark, d).select("meeting_id", lang.alias("lang"), "n_words", (F.col("end_ms") - F.col("start_ms")).alias("ms")), "meeting_id", "lang", "n_words", "ms")
+
+
+@query(
+    f"""WITH {TURNS_SQL}, r AS (SELECT meeting_id, start_ms, end_ms + 400 * (idx % 5) AS end_ms FROM utterances), h AS (SELECT meeting_id, start_ms, end_ms + 300 * (pos % 4) AS end_ms FROM turns),
+    m AS (SELECT meeting_id, max(end_ms) AS last FROM (SELECT meeting_id, end_ms FROM r UNION ALL SELECT meeting_id, end_ms FROM h) GROUP BY meeting_id),
+    f AS (SELECT meeting_id, 1000 * k + 500 AS t FROM (SELECT meeting_id, last, unnest(range(0, last // 1000 + 1)) AS k FROM m) WHERE 1000 * k + 500 < last),
+    a AS (SELECT f.meeting_id, f.t, count(r.meeting_id) AS n FROM f LEFT JOIN r ON r.meeting_id = f.meeting_id AND r.start_ms <= f.t AND f.t < r.end_ms GROUP BY ALL),
+    b AS (SELECT f.meeting_id, f.t, count(h.meeting_id) AS n FROM f LEFT JOIN h ON h.meeting_id = f.meeting_id AND h.start_ms <= f.t AND f.t < h.end_ms GROUP BY ALL),
+    c AS (SELECT meeting_id, count(*) AS frames, count(*) FILTER (a.n >= 2) AS t, count(*) FILTER (b.n >= 2) AS s, count(*) FILTER (a.n >= 2 AND b.n >= 2) AS hit FROM a JOIN b USING (meeting_id, t) GROUP BY meeting_id)
+    SELECT meeting_id, frames, round(100.0 * t / frames, 6) AS reference_overlap_percent, round(100.0 * s / frames, 6) AS predicted_overlap_percent,
+      round(100.0 * hit / greatest(t, 1), 6) AS recall_percent, round(100.0 * hit / greatest(s, 1), 6) AS precision_percent FROM c"""
+)
+def overlap_agreement(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.profiles import overlap_agreement as agreement
+
+    reference = utterances(spark, d).select("meeting_id", "start_ms", (F.col("end_ms") + 400 * (F.col("idx") % 5)).alias("end_ms"))
+    predicted = turns(spark, d).select("meeting_id", "start_ms", (F.col("end_ms") + 300 * (F.col("pos") % 4)).alias("end_ms"))
+    return agreement(reference, predicted, "meeting_id")
+
+
+@query(
+    f"""WITH {UTTERANCES_SQL}, o AS (SELECT meeting_id, speaker, sum(end_ms - start_ms) / 1000.0 AS seconds, sum(n_words) AS w, sum(n_words // 9) AS s, sum(n_words // 7) AS del, sum(idx % 2) AS ins,
+      CASE WHEN meeting_id % 5 = 0 THEN NULL ELSE speaker END AS matched FROM utterances GROUP BY meeting_id, speaker),
+    b AS (SELECT *, w - s - del AS hits, CASE WHEN seconds < 15 THEN 'under_15s' WHEN seconds < 60 THEN '15s_to_60s' WHEN seconds < 300 THEN '1m_to_5m' ELSE 'over_5m' END AS bucket FROM o)
+    SELECT bucket, count(*) AS speakers, count(*) FILTER (matched IS NOT NULL AND hits > 0) AS found, CAST(sum(w) AS BIGINT) AS reference_words, CAST(sum(hits) AS BIGINT) AS hits,
+      round(CASE WHEN sum(w) > 0 THEN sum(s + del + ins) / sum(w) ELSE 0 END, 6) AS wer FROM b GROUP BY bucket"""
+)
+def errors_by_speaking_time(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.profiles import errors_by_speaking_time as by_time
+
+    sums = {"seconds": (F.sum(F.col("end_ms") - F.col("start_ms")) / 1000.0), "reference_words": F.sum("n_words"), "substitutions": F.sum(F.floor(F.col("n_words") / 9)), "deletions": F.sum(F.floor(F.col("n_words") / 7)), "insertions": F.sum(F.col("idx") % 2)}
+    outcomes = utterances(spark, d).groupBy("meeting_id", "speaker").agg(*[c.alias(n) for n, c in sums.items()])
+    return by_time(outcomes.withColumn("matched", F.when(F.col("meeting_id") % 5 != 0, F.col("speaker"))).withColumn("hits", F.col("reference_words") - F.col("substitutions") - F.col("deletions")))

@@ -60,10 +60,10 @@ def latest(records: DataFrame, key: str = "id", order: str = "updated_at") -> Da
 
 
 def unique_names(files: DataFrame, folder: str, name: str) -> DataFrame:
-    """``files`` with ``unique_name``: a name that a folder has already, in any case, gets ``-2``, ``-3`` and so on before its suffix."""
+    """``files`` with ``unique_name``: a name that a folder has already, in any case, gets ``-1``, ``-2`` and so on before its suffix."""
     nth = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy(name))
     stem, suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return files.withColumn("unique_name", F.when(nth == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), nth.cast("string"), suffix)))
+    return files.withColumn("unique_name", F.when(nth == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), (nth - 1).cast("string"), suffix)))
 
 
 def recipients(address: Column) -> Column:

@@ -33,7 +33,7 @@ def test_word_xml(spark, tmp_path):
 
 def test_sink_helpers(spark):
     df = spark.createDataFrame([("d", "a.txt"), ("d", "A.txt"), ("e", "a.txt")], "f string, n string")
-    assert sorted(r.unique_name for r in corpora.unique_names(df, "f", "n").collect()) == ["A.txt", "a-2.txt", "a.txt"]
+    assert sorted(r.unique_name for r in corpora.unique_names(df, "f", "n").collect()) == ["A.txt", "a-1.txt", "a.txt"]
     keys = spark.createDataFrame([("a/b.txt",), ("/a",), ("a/../b",), ("",), (None,), ("a//b",)], "k string")
     assert [r.v for r in keys.select(corpora.valid_key(F.col("k")).alias("v")).collect()] == [True, False, False, False, False, False]
     r = spark.range(1).select(corpora.recipients(F.lit("a@b.co; bad, c@d.org,a@b.co")).alias("r"), corpora.plain_of_html(F.lit("<p>a &amp; <b>b</b></p><script>x</script>")).alias("h")).first()

@@ -14,6 +14,7 @@ def test_due_dates(spark):
         "by Friday please": "2026-06-05", "next monday": "2026-06-08", "on wednesday": "2026-06-10", "pour vendredi": "2026-06-05", "lundi prochain": "2026-06-08",
         "end of the week": "2026-06-05", "fin du mois": "2026-06-30", "end of next month": "2026-07-31", "in 10 days": "2026-06-13", "dans 2 semaines": "2026-06-17",
         "in 1 month": "2026-07-31", "demain": "2026-06-04", "today": "2026-06-03", "2026-12-24, not friday": "2026-12-24", "15th of March": "2027-03-15", "le 14 août": "2026-08-14", "May 40": None, "soon": None,
+        "Tomorrow, at the latest by 3 March": "2026-06-04", "by 3 March, not tomorrow": "2027-03-03",
     }
     df = spark.createDataFrame([(k, DAY) for k in want], "t string, d date")
     assert {r.t: r.x and str(r.x) for r in df.select("t", due_date(F.col("t"), F.col("d")).alias("x")).collect()} == want
@@ -22,6 +23,8 @@ def test_due_dates(spark):
 def test_tags(spark):
     df = spark.createDataFrame([(" FR_ca ", ["en", "EN-us", None]), ("Multi", ["en", "fr"]), ("auto", []), (None, ["mixed"])], "t string, a array<string>")
     got = df.select(normal_tag(F.col("t")).alias("n"), languages_of(F.col("t")).alias("l"), merged_tag(F.col("a")).alias("m"), agree(F.col("t"), F.lit("x")).alias("g")).collect()
+    df2 = spark.createDataFrame([("bilingual",), ("Mixte",), ("automatic",), ("mul",), (" ",)], "t string")
+    assert [r.n for r in df2.select(normal_tag(F.col("t")).alias("n")).collect()] == ["mixed", "mixed", None, "mul", None]
     assert [tuple(r) for r in got] == [("fr", ["fr"], "en", False), ("mixed", ["en", "fr"], "mixed", False), (None, ["en", "fr"], None, False), (None, ["en", "fr"], "mixed", True)]
 
 
