@@ -216,3 +216,8 @@ def coder(kind: type, path: str) -> PieceCoder:
         gc.set_threshold(100_000, 20, 20)  # the caches hold strings and bytes, no cycles; default sweeps take a sixth of the time
         _coders[kind, path] = kind(path)
     return _coders[kind, path]
+
+
+def forget_coders() -> None:
+    """Free the caches in a worker process that an earlier step filled: for steps that do not encode and need the memory."""
+    _coders.clear()

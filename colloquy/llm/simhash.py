@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, join_counted, remove, save
+from .encoding import forget_coders
 
 GROUPS = 6  # groups of segments in the grid's keys
 CROWD = 64  # more distinct fingerprints than that in a cell are linked by their one-bit neighbours
@@ -212,6 +213,7 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = rarity.value
+        forget_coders()
         for b in batches:
             sizes, cells, sigs, firsts = [], [], [], []
             for t in b.column(2):

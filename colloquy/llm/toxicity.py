@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, remove, save
-from .encoding import slices
+from .encoding import forget_coders, slices
 
 _SPLIT = r"[^\p{L}\p{N}_]+"
 PREFIXES = range(4, 9)
@@ -165,6 +165,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
     kinds = ", ".join(f"{c} int" for c in conditions)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_coders()
         for b in batches:
             found = [sorted({f for w in ws for f in word_features(w) if w}) for ws in words_of(b.column(0)).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), *b.columns[1:]], ["features", *b.schema.names[1:]])
@@ -242,6 +243,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(text_col).alias(fresh(docs, "_text")), F.col(id_col), *[c for c in keep if c != id_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_coders()
         for b in batches:
             p = model.value.score(b.column(0))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(p[:, i]) for i in range(p.shape[1]))], [*b.schema.names[1:], *(f"p_{c}" for c in chain.categories)])
