@@ -10,6 +10,7 @@ computes it twice.
 
 from __future__ import annotations
 
+import struct
 from functools import reduce
 from operator import or_
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import fresh, join_counted, remove, save
 
 SKETCH = 1 << 16  # hash buckets in which tokens are counted
-FILTER = 1 << 18  # bytes of the bitmap that says which lines are candidates
+FILTER = 1 << 17  # bytes of the bitmap that says which lines are candidates
 UNROLLED = 96  # tokens of a line whose parity bits are taken in generated code; a loop takes the rest
 
 ODD_SPACE = "\t\r\f\v"
@@ -132,10 +133,11 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, id_col: str, t
     pairs, pairs_path = save(pairs, "pairs")
     ends = pairs.select("h", "g").unionByName(pairs.select(F.col("e_h").alias("h"), F.col("e_g").alias("g"))).distinct()
     place = F.pmod(F.col("h"), F.lit(8 * FILTER))
-    rows = ends.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(7).cast("long")).cast("int"))).alias("bits")).collect()
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    rows = ends.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()  # at most ``FILTER / 8``
     marks = bytearray(FILTER)
     for r in rows:
-        marks[r["byte"]] = r["bits"]
+        struct.pack_into("<q", marks, 8 * r["word"], r["bits"])
     byte = F.conv(F.hex(F.substring(F.lit(marks), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7).cast("long")).cast("int")).bitwiseAND(F.lit(1)) == 1
     found = lines_of(docs, id_col, text_col).filter(marked).groupBy("h", "g").agg(F.any_value("line").alias("line"))
