@@ -32,7 +32,8 @@ def tokens(line: Column) -> Column:
     Only lines that hold a white-space character other than the space pay for its replacement.
     """
     odd = reduce(or_, [F.contains(line, F.lit(c)) for c in ODD_SPACE])
-    return F.array_remove(F.split(F.lower(F.when(odd, F.translate(line, ODD_SPACE, "    ")).otherwise(line)), " "), "")
+    plain = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), ODD_SPACE, line)
+    return F.array_remove(F.split(F.lower(F.when(odd, plain).otherwise(line)), " "), "")
 
 
 def spaced(line: Column) -> Column:
@@ -46,7 +47,7 @@ def rarity(docs: DataFrame, text_col: str) -> Column:
     Counts cover all tokens of all texts; there are ``SKETCH`` of them however many tokens there are. Any fixed order of
     tokens gives an exact join; tokens that share a bucket with a frequent one are only placed later than they could be.
     """
-    each = docs.select(F.explode_outer(tokens(F.translate(F.col(text_col), "\n", " "))).alias("w"))
+    each = docs.select(F.explode_outer(tokens(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("w"))
     counts = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1).cast("long")).alias("b")).agg(F.count("w").alias("n"))
     classed = docs.sparkSession.range(SKETCH).join(counts, F.col("id") == F.col("b"), "left").select("id", F.least(F.lit(127), F.round(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int")).alias("c"))
     row = classed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "c"))), lambda x: x.c.cast("string")), ",").alias("all")).first()
