@@ -29,16 +29,18 @@ ODD_SPACE = "\t\r\f\v"
 def tokens(line: Column) -> Column:
     """Lower-cased runs of characters other than space, tab, carriage return, form feed and vertical tab.
 
-    Only lines that hold a white-space character other than the space pay for its replacement.
+    Only lines that hold a white-space character other than the space pay for its replacement, and only lines with a space that parts no
+    two tokens for the removal of empty strings.
     """
     odd = reduce(or_, [F.contains(line, F.lit(c)) for c in ODD_SPACE])
     plain = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), ODD_SPACE, line)
-    return F.array_remove(F.split(F.lower(F.when(odd, plain).otherwise(line)), " "), "")
+    loose = odd | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (line == "")
+    return F.when(loose, F.array_remove(F.split(F.lower(F.when(odd, plain).otherwise(line)), " "), "")).otherwise(F.split(F.lower(line), " "))
 
 
 def spaced(line: Column) -> Column:
     """Whether a line has a token."""
-    return F.regexp_like(line, F.lit(r"[^ \t\r\f\x0B]"))
+    return F.ltrim(line, F.lit(" " + ODD_SPACE)) != ""
 
 
 def rarity(docs: DataFrame, text_col: str) -> Column:
@@ -55,8 +57,11 @@ def rarity(docs: DataFrame, text_col: str) -> Column:
 
 
 def token_keys(line: Column, classes: Column) -> Column:
-    """The distinct tokens of a line as longs that sort by rarity: 7 bits of frequency class, 56 bits of hash."""
-    rank = lambda h: F.get(classes, h.bitwiseAND(F.lit(SKETCH - 1).cast("long")).cast("int"))
+    """The distinct tokens of a line as longs that sort by rarity: 7 bits of frequency class, 56 bits of hash.
+
+    Every bucket has a class; saying so (``coalesce``) lets Spark sort plain longs.
+    """
+    rank = lambda h: F.coalesce(F.get(classes, h.bitwiseAND(F.lit(SKETCH - 1).cast("long")).cast("int")), F.lit(0))
     key = lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.array_distinct(F.transform(F.transform(tokens(line), lambda w: F.xxhash64(w)), key)))
 
