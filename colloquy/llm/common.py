@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: scratch tables that are still there, by application
 _saved: dict[str, list[str]] = {}
@@ -26,17 +29,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs that run inside."""
+    kept = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, kept) if kept is not None else spark.conf.unset(key)
+
+
 def save(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet below the shared folder and read it again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     # nothing reads the shuffles of a written table again, so their files can go at once
-    kept = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with setting(spark, CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, kept) if kept is not None else spark.conf.unset(CLEANUP)
     _saved.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, shuffle_parts
+from .common import BATCH, save, setting, shuffle_parts
 
 COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -149,7 +149,8 @@ def edit_fingerprints(docs: DataFrame, sketch: OrderMinHash = OrderMinHash(), id
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(shuffle_parts(docs.sparkSession), F.desc_nulls_last("id")).sortWithinPartitions(F.desc_nulls_last("id"), F.desc("text"))
-    found, _ = save(dealt.mapInArrow(run, f"id {kind}, {COLUMNS}, part int, last_text string, first_text string"), "order-minhash")
+    with setting(docs.sparkSession, BATCH, "500"):  # a task's texts need not stand in memory beside their sorted rows
+        found, _ = save(dealt.mapInArrow(run, f"id {kind}, {COLUMNS}, part int, last_text string, first_text string"), "order-minhash")
     ends = found.filter("part is not null")
     order = Window.orderBy("part")  # over part numbers alone, as many as there were tasks
     after = ends.select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())).alias("after"))
