@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import clock, text
 from .operators import intervals, languages, scoring, topics
 from .plans.inputs import TURNS_SQL, UTTERANCES_SQL, observations, table, turns, utterances
@@ -240,12 +241,12 @@ def der_components(spark: SparkSession, d: str) -> DataFrame:
     return scoring.diarization_errors(*_sides(spark, d), M).select("meeting_id", "missed_ms", "false_alarm_ms", "total_ms")
 
 
-@query()
+@query(oracles.der_sql(REGIONS_SQL))
 def diarization_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return scoring.diarization_errors(*_sides(spark, d), M).withColumn("der", F.round("der", 6))
 
 
-@query()
+@query(oracles.jer_sql(REGIONS_SQL))
 def jaccard_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return scoring.jaccard_errors(*_sides(spark, d), M).withColumn("jer", F.round("jer", 6))
 
@@ -407,13 +408,13 @@ def textrank_scores(spark: SparkSession, d: str) -> DataFrame:
     return topics.text_rank(rows, "meeting_id").withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(oracles.TEXTTILING)
 def texttiling_similarity(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(text.folded_tokens(F.col("text"))).alias("pos", "term"))
     return topics.block_similarity(rows, "doc_id")
 
 
-@query()
+@query(oracles.CHUNK_PLAN)
 def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
     return topics.chunk_plan(utterances(spark, d).withColumnRenamed("n_words", "n_tokens"), "meeting_id", 120, 20)
 
@@ -478,12 +479,12 @@ def rttm_lines(spark: SparkSession, d: str) -> DataFrame:
     return formats.rttm_lines(turns(spark, d), "meeting_id", "label").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query(oracles.VTT)
 def vtt_documents(spark: SparkSession, d: str) -> DataFrame:
     return formats.subtitles(utterances(spark, d), "meeting_id", "vtt")
 
 
-@query()
+@query(oracles.JSON)
 def json_export(spark: SparkSession, d: str) -> DataFrame:
     return formats.transcript_json(utterances(spark, d), "meeting_id")
 
@@ -503,7 +504,7 @@ def due_dates(spark: SparkSession, d: str) -> DataFrame:
     return day.select(*[x.cast("string").alias(n) for n, x in (("day", c), ("next_monday", clock.weekday_after(c, 0)), ("friday_next_week", clock.weekday_after(c, 4, True)), ("end_of_week", clock.end_of_week(c)), ("end_of_month", clock.end_of_month(c)))])
 
 
-@query()
+@query(oracles.SPEAKER_NAMES)
 def speaker_names(spark: SparkSession, d: str) -> DataFrame:
     from .operators.attribution import name_speakers
 
@@ -522,7 +523,7 @@ def absorbed_speakers(spark: SparkSession, d: str) -> DataFrame:
     return absorb_small_speakers(turns(spark, d), least_ms=20_000).select("meeting_id", "pos", "absorbed")
 
 
-@query()
+@query(oracles.COVERED_SPEECH)
 def covered_speech(spark: SparkSession, d: str) -> DataFrame:
     from .operators.attribution import fill_uncovered_speech
 
@@ -557,16 +558,19 @@ def word_label_path(spark: SparkSession, d: str) -> DataFrame:
     return viterbi_labels(scores)
 
 
-@query()
+CUES = ["We agreed on the second plan.", "Could you send the figures to the team?", "You must check the budget numbers.", "Is the release date still open for everyone?", "Yes, exactly."]
+
+
+@query(oracles.candidates_sql(CUES))
 def extract_candidates(spark: SparkSession, d: str) -> DataFrame:
     from .operators.minutes import candidates, sentence_rows
 
-    cue = F.element_at(F.array(*map(F.lit, ["We agreed on the second plan.", "Could you send the figures to the team?", "You must check the budget numbers.", "Is the release date still open for everyone?", "Yes, exactly."])), (F.col("idx") % 5 + 1).cast("int"))
+    cue = F.element_at(F.array(*map(F.lit, CUES)), (F.col("idx") % 5 + 1).cast("int"))
     said = utterances(spark, d).withColumn("text", F.concat_ws(" ", cue, "text"))
-    return candidates(sentence_rows(said))
+    return candidates(sentence_rows(said)).withColumn("answered", F.coalesce("answered", F.lit(False)))
 
 
-@query()
+@query(oracles.GROUNDING)
 def grounding_score(spark: SparkSession, d: str) -> DataFrame:
     from .operators.minutes import grounding, sentence_rows
 
