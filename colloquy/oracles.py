@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .functions import text
+import re
+
+from .functions import normal, numbers, text
 from .operators import minutes
 from .plans.inputs import TURNS_SQL, UTTERANCES_SQL
 
@@ -137,3 +139,63 @@ def candidates_sql(cues: list[str]) -> str:
  e AS (SELECT meeting_id, unit, strong, answered, CASE WHEN decides THEN 'decision' WHEN NOT asks AND does THEN 'action' WHEN asks AND len(t) >= 2 AND len({folded_tokens_sql('text')}) >= 4 THEN 'question' END AS kind FROM k),
  r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, kind ORDER BY unit) AS nth FROM e WHERE kind IS NOT NULL)
 SELECT meeting_id, unit, kind, strong, kind = 'question' AND answered AS answered FROM r WHERE nth <= CASE kind WHEN 'decision' THEN 20 WHEN 'action' THEN 30 ELSE 12 END"""
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def replaced_sql(column: str, rules: list[tuple[str, str]]) -> str:
+    """Replacements one after the other; groups are written ``$1`` in the rules."""
+    for pattern, to in rules:
+        column = f"regexp_replace({column}, {_quoted(pattern)}, {_quoted(re.sub('[$]([0-9])', chr(92) * 2 + chr(92) + '1', to))}, 'g')"
+    return column
+
+
+def basic_sql(column: str) -> str:
+    return f"trim({replaced_sql(f'lower({replaced_sql(column, [(normal.BRACKETED, chr(32)), (normal.PARENTHESISED, chr(32))])})', [(NOT_WORD, ' '), (SPACES, ' ')])})"
+
+
+NOT_WORD, SPACES = r"[^\p{L}\p{N}\s]", r"\s+"
+ENGLISH_CUES = ["Okay, I won't go, um, Mr. Smith;", "They'd been [noise] at the centre (twice), hadn't they?", "It's 1,200 metres or 5%.", "Let's see etc. and so on", "You're right: we've 3.5 or $20"]
+FRENCH_CUES = ["M. Dupont et Mme Durand, euh,", "c'est n° 3 (ou 4) &", "25 % de l'oeuvre", "vingts okay, hein", "Dr. No et Mlle Oui [bruit] etc."]
+
+
+def cued_sql(cues: list[str]) -> str:
+    """CTE ``cued``: a cue and the folded text of each utterance."""
+    return f"{UTTERANCES_SQL}, cued AS (SELECT meeting_id, idx, [{', '.join(map(_quoted, cues))}][idx % {len(cues)} + 1] || ' ' || replace({fold_sql('text')}, 'ß', 'ss') AS text FROM utterances)"
+
+
+def english_sql() -> str:
+    x = replaced_sql("lower(text)", [(normal.BRACKETED, ""), (normal.PARENTHESISED, ""), (normal.ENGLISH_FILLERS, ""), (SPACES + "'", "'"), *normal.word_rules(normal.CONTRACTIONS), *normal.word_rules(normal.TITLES, " "), *normal.ending_rules()])
+    x = replaced_sql(x, [("([0-9]),([0-9])", "$1$2"), (r"\.([^0-9]|$)", " $1"), (r"[^\p{L}\p{N}\s.%$¢€£]", " "), (SPACES, " ")])
+    american = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in normal.AMERICAN.items()) + "}"
+    y = f"array_to_string(list_transform(string_split(x, ' '), lambda w: coalesce({american}[w], w)), ' ')"
+    y = replaced_sql(replaced_sql(y, [("[.$¢€£]([^0-9])", " $1"), ("([^0-9])%", "$1 "), (SPACES, " ")]), normal.SPELLINGS)
+    return f"WITH {cued_sql(ENGLISH_CUES)}, a AS (SELECT meeting_id, idx, trim({x}) AS x FROM cued) SELECT meeting_id, idx, trim({y}) AS text FROM a"
+
+
+def french_sql() -> str:
+    """Titles and the number sign take the character after them along, as this dialect cannot look ahead."""
+    titles = [(p.replace(r"(?!\p{L})", r"(\P{L}|$)"), to + "$1") for p, to in normal.french_title_rules()]
+    x = replaced_sql("lower(text)", [(normal.BRACKETED, " "), (normal.PARENTHESISED, " "), *titles, (r"n\s*[°ºo]\s*([0-9])", "numéro $1")])
+    for sign, said in normal.FRENCH_SIGNS.items():
+        x = f"replace({x}, '{sign}', ' {said} ')"
+    x = replaced_sql(x, [(r"\betc\b\.?", " et cetera "), (r"\bpour[-\s]?cents?\b", " pour cent "), ("'", " "), (NOT_WORD, " "), (r"\b(vingt|cent)s\b", "$1"), *normal.SPELLINGS, (rf"\b({'|'.join(normal.FRENCH_FILLERS)})\b", " "), (SPACES, " ")])
+    return f"WITH {cued_sql(FRENCH_CUES)} SELECT meeting_id, idx, trim({x}) AS text FROM cued"
+
+
+#: Hundreds and smaller by a CASE over the digits, independently of the expression that is tested.
+_UNITS = "[" + ", ".join(f"'{w}'" for w in numbers.FRENCH_UNITS) + "]"
+FRENCH_CARDINALS = rf"""WITH k AS (SELECT o_orderkey AS n FROM orders UNION SELECT o_orderkey * 997 FROM orders), d AS (SELECT n, part, CASE part WHEN 0 THEN n // 1000000 WHEN 1 THEN n // 1000 % 1000 ELSE n % 1000 END AS x FROM k, range(3) AS r(part)),
+ t AS (SELECT *, x // 100 AS h, x % 100 AS s, CASE WHEN x % 100 >= 80 THEN 80 WHEN x % 100 >= 60 THEN 60 ELSE x % 100 // 10 * 10 END AS ten FROM d),
+ w AS (SELECT *, CASE WHEN s < 20 THEN {_UNITS}[s + 1] ELSE CASE ten WHEN 20 THEN 'vingt' WHEN 30 THEN 'trente' WHEN 40 THEN 'quarante' WHEN 50 THEN 'cinquante' WHEN 60 THEN 'soixante' ELSE 'quatre-vingt' END
+    || CASE WHEN s = 80 THEN 's' WHEN s = ten THEN '' ELSE CASE WHEN ten < 80 AND s - ten IN (1, 11) THEN '-et-' ELSE '-' END || {_UNITS}[s - ten + 1] END END AS low FROM t),
+ v AS (SELECT *, CASE WHEN h = 0 THEN low WHEN h = 1 THEN 'cent' || CASE WHEN s = 0 THEN '' ELSE '-' || low END ELSE {_UNITS}[h + 1] || CASE WHEN s = 0 THEN '-cents' ELSE '-cent-' || low END END AS small FROM w),
+ p AS (SELECT *, CASE part WHEN 0 THEN small || CASE WHEN x > 1 THEN '-millions' ELSE '-million' END WHEN 1 THEN CASE WHEN x = 1 THEN 'mille' ELSE small || '-mille' END ELSE small END AS said FROM v WHERE x > 0 OR (part = 2 AND n = 0))
+SELECT n, string_agg(said, '-' ORDER BY part) AS words FROM p GROUP BY n"""
+
+ENGLISH_NUMBERS = "SELECT o_orderkey AS n, 'we sold ' || o_orderkey || ' of them' AS text FROM orders"
+
+NORMALIZED_ERRORS = rf"""WITH t AS (SELECT item_id, CAST(len(list_filter(string_split({basic_sql('text')}, ' '), lambda w: w <> '')) AS BIGINT) AS n FROM benchmark)
+SELECT item_id, n // 7 AS substitutions, CAST(0 AS BIGINT) AS deletions, n // 11 AS insertions, n - n // 7 AS hits, n AS reference_words, round((n // 7 + n // 11) / greatest(n, 1), 6) AS wer FROM t"""

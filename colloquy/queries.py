@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracles
-from .functions import clock, text
+from .functions import clock, normal, numbers, text
 from .operators import intervals, languages, scoring, topics
 from .plans.inputs import TURNS_SQL, UTTERANCES_SQL, observations, table, turns, utterances
 from .sources import formats
@@ -642,3 +642,56 @@ def errors_by_speaking_time(spark: SparkSession, d: str) -> DataFrame:
     sums = {"seconds": (F.sum(F.col("end_ms") - F.col("start_ms")) / 1000.0), "reference_words": F.sum("n_words"), "substitutions": F.sum(F.floor(F.col("n_words") / 9)), "deletions": F.sum(F.floor(F.col("n_words") / 7)), "insertions": F.sum(F.col("idx") % 2)}
     outcomes = utterances(spark, d).groupBy("meeting_id", "speaker").agg(*[c.alias(n) for n, c in sums.items()])
     return by_time(outcomes.withColumn("matched", F.when(F.col("meeting_id") % 5 != 0, F.col("speaker"))).withColumn("hits", F.col("reference_words") - F.col("substitutions") - F.col("deletions")))
+
+
+def _cued(spark: SparkSession, d: str, cues: list[str]) -> DataFrame:
+    """A cue and the folded text of each utterance."""
+    cue = F.get(F.array(*map(F.lit, cues)), (F.col("idx") % len(cues)).cast("int"))
+    return utterances(spark, d).select("meeting_id", "idx", F.concat(cue, F.lit(" "), F.replace(text.fold(F.col("text")), F.lit("ß"), F.lit("ss"))).alias("text"))
+
+
+@query(f"WITH {UTTERANCES_SQL} SELECT meeting_id, idx, {oracles.basic_sql('text')} AS text FROM utterances")
+def normalized_basic(spark: SparkSession, d: str) -> DataFrame:
+    return utterances(spark, d).select("meeting_id", "idx", normal.basic(F.col("text")).alias("text"))
+
+
+@query(oracles.english_sql())
+def normalized_english(spark: SparkSession, d: str) -> DataFrame:
+    return _cued(spark, d, oracles.ENGLISH_CUES).withColumn("text", normal.english(F.col("text"), numbers=False))
+
+
+@query(oracles.french_sql())
+def normalized_french(spark: SparkSession, d: str) -> DataFrame:
+    return _cued(spark, d, oracles.FRENCH_CUES).withColumn("text", normal.french(F.col("text"), numbers=False))
+
+
+@query(oracles.FRENCH_CARDINALS)
+def french_cardinals(spark: SparkSession, d: str) -> DataFrame:
+    key = table(spark, d, "orders").select(F.col("o_orderkey").alias("n"))
+    return key.unionByName(key.select((F.col("n") * 997).alias("n"))).distinct().select("n", numbers.french_cardinal(F.col("n")).alias("words"))
+
+
+@query(oracles.ENGLISH_NUMBERS)
+def english_number_words(spark: SparkSession, d: str) -> DataFrame:
+    """Order keys said in English words inside a sentence, and read back as digits."""
+    small = F.array(*[F.lit(w) for w in [*numbers.ENGLISH_UNITS, *[t if u == 0 else f"{t} {numbers.ENGLISH_UNITS[u]}" for t in numbers.ENGLISH_TENS for u in range(10)]]])
+
+    def below_thousand(x: Column) -> Column:
+        h, s = F.floor(x / 100).cast("int"), F.pmod(x, F.lit(100)).cast("int")
+        return F.concat_ws(" ", F.when(h > 0, F.concat(F.get(small, h), F.lit(" hundred"))), F.when((h > 0) & (s > 0), "and"), F.when((s > 0) | (x == 0), F.get(small, s)))
+
+    n = F.col("n")
+    parts = [F.when(F.floor(n / size) % 1000 > 0, F.concat(below_thousand(F.floor(n / size) % 1000), F.lit(f" {name}"))) for size, name in ((10**9, "billion"), (10**6, "million"), (1000, "thousand"))]
+    said = F.concat_ws(" ", F.lit("we sold"), *parts, F.when((n % 1000 > 0) | (n == 0), below_thousand(n % 1000)), F.lit("of them"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("n")).select("n", numbers.words_to_digits(said).alias("text"))
+
+
+@query(oracles.NORMALIZED_ERRORS)
+def normalized_word_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised benchmark texts against capitals with commas, every seventh word another one and a word more after every eleventh."""
+    ref = table(spark, d, "benchmark").select("item_id", text.words(normal.basic(F.col("text"))).alias("ref"))
+    said = F.flatten(F.transform("ref", lambda w, i: F.concat(F.array(F.when(i % 7 == 6, "zzq").otherwise(w)), F.when(i % 11 == 10, F.array(F.lit("qqz"))).otherwise(F.array().cast("array<string>")))))
+    heard = ref.withColumn("hyp", text.words(normal.basic(F.translate(F.array_join(said, ", "), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))))
+    counts = scoring.align_pairs(heard, "ref", "hyp", ["item_id"]).withColumn("reference_words", F.col("substitutions") + F.col("deletions") + F.col("hits"))
+    errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    return counts.withColumn("wer", F.round(errors / F.greatest("reference_words", F.lit(1)), 6))
