@@ -111,3 +111,28 @@ def chunk_plan(units: DataFrame, key: str, budget: int, overlap: int = 0) -> Dat
 
     kind, idx = units.schema[key].dataType.simpleString(), units.schema["idx"].dataType.simpleString()
     return units.select(key, "idx", F.col("n_tokens").cast("long").alias("n_tokens")).groupBy(key).applyInPandas(solve, f"{key} {kind}, chunk int, first_idx {idx}, last_idx {idx}, n_tokens long")
+
+
+def topic_gaps(similarity: DataFrame, key: str, width: int = 2, passes: int = 1, cutoff: float = 0.5) -> DataFrame:
+    """(key, ``gap, smoothed, depth, candidate``) of TextTiling's (key, ``gap, similarity``), gaps numbered from 0.
+
+    Each pass averages ``2 width + 1`` values, the first and last standing in beyond the ends. A gap's depth is how far it lies below
+    the peaks reached by going up on either side, level stretches included. Candidates are deeper than 0 and than the mean less ``cutoff``
+    standard deviations of their ``key``.
+    """
+    w = Window.partitionBy(key).orderBy("gap")
+    whole, edge = Window.partitionBy(key), F.count("*").over(Window.partitionBy(key)) - 1
+    x = similarity.select(key, "gap", F.col("similarity").alias("smoothed"))
+    for _ in range(passes):
+        inside = F.sum("smoothed").over(w.rowsBetween(-width, width))
+        before, after = F.greatest(width - F.col("gap"), F.lit(0)), F.greatest(F.col("gap") + width - edge, F.lit(0))
+        ends = before * F.first("smoothed").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + after * F.last("smoothed").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        x = x.select(key, "gap", F.round((inside + ends) / (2 * width + 1), 9).alias("smoothed"))
+    # a stretch that falls to the right begins at its left peak, one that rises ends at its right peak
+    rises, falls = F.lag("smoothed").over(w) < F.col("smoothed"), F.lag("smoothed").over(w) > F.col("smoothed")
+    x = x.withColumn("r", F.when(rises, 1).otherwise(0)).withColumn("f", F.when(falls, 1).otherwise(0))
+    x = x.withColumn("down", F.sum("r").over(w)).withColumn("up", F.sum("f").over(w))
+    left, right = F.max("smoothed").over(Window.partitionBy(key, "down")), F.max("smoothed").over(Window.partitionBy(key, "up"))
+    x = x.withColumn("depth", F.round(left + right - 2 * F.col("smoothed"), 9)).select(key, "gap", "smoothed", "depth")
+    least = F.greatest(F.avg("depth").over(whole) - cutoff * F.stddev_pop("depth").over(whole), F.lit(0.0))
+    return x.withColumn("candidate", F.col("depth") > least + 1e-9)

@@ -199,3 +199,29 @@ ENGLISH_NUMBERS = "SELECT o_orderkey AS n, 'we sold ' || o_orderkey || ' of them
 
 NORMALIZED_ERRORS = rf"""WITH t AS (SELECT item_id, CAST(len(list_filter(string_split({basic_sql('text')}, ' '), lambda w: w <> '')) AS BIGINT) AS n FROM benchmark)
 SELECT item_id, n // 7 AS substitutions, CAST(0 AS BIGINT) AS deletions, n // 11 AS insertions, n - n // 7 AS hits, n AS reference_words, round((n // 7 + n // 11) / greatest(n, 1), 6) AS wer FROM t"""
+
+#: Two of three items are found: one without its last word, or in another order; the others are invented.
+ITEM_MATCHES = rf"""WITH {UTTERANCES_SQL}, {sentences_sql('utterances')}, i AS (SELECT meeting_id, unit, row_number() OVER (PARTITION BY meeting_id ORDER BY unit) - 1 AS k FROM units WHERE unit % 4 = 0),
+ t AS (SELECT meeting_id, count(*) AS n, count(*) FILTER (k % 3 < 2) AS m, count(*) FILTER (k % 3 = 0) AS own FROM i GROUP BY meeting_id)
+SELECT meeting_id, m AS matched, n AS reference_count, n AS hypothesis_count, round(m / n, 6) AS precision, round(m / n, 6) AS recall, round(m / n, 6) AS f1, round(own / m, 6) AS owner_accuracy FROM t"""
+
+_RUN = r"[A-ZÀ-ÖØ-Þ][\p{L}\p{N}_’''-]*(?:\s+[A-ZÀ-ÖØ-Þ][\p{L}\p{N}_’''-]*)*"
+_DIGITS = "[0-9]+(?:[.,][0-9]+)*"
+HALLUCINATIONS = rf"""WITH {UTTERANCES_SQL}, {sentences_sql('utterances')},
+ said AS (SELECT meeting_id, list_distinct(flatten(list(list_concat(regexp_extract_all({fold_sql('text')}, '[\p{{L}}\p{{N}}]+'), list_transform(regexp_extract_all(text, '{_DIGITS}'), lambda n: regexp_replace(n, '[.,]', '', 'g')))))) AS v
+   FROM utterances WHERE idx % 2 = 0 GROUP BY meeting_id),
+ c AS (SELECT meeting_id, CASE WHEN unit % 6 = 0 THEN 'So ' || text || ' for 1,' || unit || ' in Paris Nord' ELSE text END AS s FROM units WHERE unit % 3 = 0),
+ r AS (SELECT meeting_id, regexp_extract_all(s, '{_DIGITS}') AS d, regexp_extract_all(s, '{_RUN}') AS runs, regexp_matches(s, '^[A-ZÀ-ÖØ-Þ]') AS cap FROM c),
+ m AS (SELECT meeting_id, unnest(list_concat(d, CASE WHEN cap AND NOT contains(coalesce(runs[1], ''), ' ') THEN runs[2:] ELSE runs END)) AS m FROM r),
+ x AS (SELECT m.meeting_id, CASE WHEN regexp_full_match(m, '{_DIGITS}') THEN list_contains(v, regexp_replace(m, '[.,]', '', 'g')) ELSE len(list_filter(regexp_extract_all({fold_sql('m')}, '[\p{{L}}\p{{N}}]+'), lambda w: NOT list_contains(v, w))) = 0 END AS ok
+   FROM m JOIN said USING (meeting_id)),
+ s AS (SELECT meeting_id, count(*) AS mentions, count(*) FILTER (NOT ok) AS unsupported FROM x GROUP BY meeting_id)
+SELECT DISTINCT meeting_id, coalesce(mentions, 0) AS mentions, coalesce(unsupported, 0) AS unsupported, round(CASE WHEN mentions > 0 THEN unsupported / mentions ELSE 0 END, 6) AS rate FROM c LEFT JOIN s USING (meeting_id)"""
+
+#: Peaks by looking at every gap on either side, without runs.
+TOPIC_GAPS = rf"""WITH b AS ({TEXTTILING}), e AS (SELECT doc_id, max(gap) AS edge FROM b GROUP BY doc_id),
+ s AS (SELECT b.doc_id, b.gap, round(avg(o.similarity), 9) AS smoothed FROM (SELECT doc_id, gap, edge, unnest(range(-2, 3)) AS k FROM b JOIN e USING (doc_id)) b JOIN b o ON o.doc_id = b.doc_id AND o.gap = least(greatest(b.gap + k, 0), edge) GROUP BY ALL),
+ l AS (SELECT doc_id, list(smoothed ORDER BY gap) AS z FROM s GROUP BY doc_id),
+ p AS (SELECT s.doc_id, gap, smoothed, z[coalesce(list_max(list_filter(range(2, gap + 2), lambda i: z[i - 1] < z[i])), 1)] AS l, z[coalesce(list_min(list_filter(range(gap + 1, len(z)), lambda i: z[i + 1] < z[i])), len(z))] AS r FROM s JOIN l USING (doc_id)),
+ d AS (SELECT doc_id, gap, smoothed, round(l + r - 2 * smoothed, 9) AS depth FROM p)
+SELECT *, depth > greatest(avg(depth) OVER w - 0.5 * stddev_pop(depth) OVER w, 0) + 1e-9 AS candidate FROM d WINDOW w AS (PARTITION BY doc_id)"""

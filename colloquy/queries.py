@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .functions import clock, normal, numbers, text
-from .operators import intervals, languages, scoring, topics
+from .operators import intervals, languages, quality, scoring, topics
 from .plans.inputs import TURNS_SQL, UTTERANCES_SQL, observations, table, turns, utterances
 from .sources import formats
 from .streaming import events as live
@@ -695,3 +695,34 @@ def normalized_word_errors(spark: SparkSession, d: str) -> DataFrame:
     counts = scoring.align_pairs(heard, "ref", "hyp", ["item_id"]).withColumn("reference_words", F.col("substitutions") + F.col("deletions") + F.col("hits"))
     errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
     return counts.withColumn("wer", F.round(errors / F.greatest("reference_words", F.lit(1)), 6))
+
+
+@query(oracles.ITEM_MATCHES)
+def minutes_item_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth sentence as an item, against itself without its last word, in another order, or replaced; each second owner in capitals."""
+    from .operators.minutes import sentence_rows
+
+    nth = F.row_number().over(Window.partitionBy("meeting_id").orderBy("unit")) - 1
+    said = F.concat(F.lit("item"), F.col("unit").cast("string"), F.lit(" "), F.col("text"), F.lit(" end"))
+    items = sentence_rows(utterances(spark, d)).filter("unit % 4 = 0").select("meeting_id", nth.alias("k"), said.alias("text"), F.col("speaker").alias("owner"))
+    w = F.split("text", " ")
+    other = F.when(F.col("k") % 3 == 0, F.array_join(F.slice(w, F.lit(1), F.size(w) - 1), " ")).when(F.col("k") % 3 == 1, F.array_join(F.reverse(w), " ")).otherwise(F.concat(F.lit("0123456789 "), F.col("k").cast("string")))
+    heard = items.select("meeting_id", other.alias("text"), F.when(F.col("k") % 3 == 0, F.upper("owner")).otherwise("nobody").alias("owner"))
+    found = quality.item_matches(items, heard)
+    return found.select("meeting_id", "matched", "reference_count", "hypothesis_count", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "owner_accuracy")])
+
+
+@query(oracles.HALLUCINATIONS)
+def hallucination_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Every third sentence as a claim, each second of them with a number and a name more, against every second utterance."""
+    from .operators.minutes import sentence_rows
+
+    said = utterances(spark, d)
+    more = F.concat(F.lit("So "), F.col("text"), F.lit(" for 1,"), F.col("unit").cast("string"), F.lit(" in Paris Nord"))
+    claims = sentence_rows(said).filter("unit % 3 = 0").select("meeting_id", F.when(F.col("unit") % 6 == 0, more).otherwise(F.col("text")).alias("claim"))
+    return quality.hallucination_rate(claims, said.filter("idx % 2 = 0")).withColumn("rate", F.round("rate", 6))
+
+
+@query(oracles.TOPIC_GAPS)
+def topic_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return topics.topic_gaps(texttiling_similarity(spark, d), "doc_id")
