@@ -77,11 +77,11 @@ def seam_repeats(rows: DataFrame, key: str = "meeting_id", most: int = 8, max_ga
     return held.withColumn("repeated", F.when(close, F.coalesce(F.array_max(sizes), F.lit(0))).otherwise(0)).drop("__next", "__gap")
 
 
-def merge_like_labels(centroids: DataFrame, threshold: float = 0.6, label: str = "label") -> DataFrame:
-    """(label, ``cluster``): labels whose centroids (a row for each dimension) join, the most alike pair first.
+def merge_like_labels(centroids: DataFrame, threshold: float = 0.6, label: str = "label", key: str = "meeting_id") -> DataFrame:
+    """(key, label, ``cluster``): labels of a meeting whose centroids (a row for each dimension) join, the most alike pair first.
 
-    A joined pair's centroid is the mean of its members'; joining ends below ``threshold``. There are as many rows as speakers,
-    times dimensions; they are one group.
+    A joined pair's centroid is the mean of its members'; joining ends below ``threshold``. Meetings are apart; a group holds one
+    meeting's speakers, times dimensions.
     """
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -97,10 +97,10 @@ def merge_like_labels(centroids: DataFrame, threshold: float = 0.6, label: str =
                 break
             members[a] += members.pop(b)
             sums[a] = sums[a] + sums.pop(b)
-        return pd.DataFrame([(x, min(m)) for m in members for x in m], columns=[label, "cluster"])
+        return pd.DataFrame([(group[key].iloc[0], x, min(m)) for m in members for x in m], columns=[key, label, "cluster"])
 
     kind = centroids.schema[label].dataType.simpleString()
-    return centroids.groupBy().applyInPandas(solve, f"{label} {kind}, cluster {kind}")
+    return centroids.groupBy(key).applyInPandas(solve, f"{key} {centroids.schema[key].dataType.simpleString()}, {label} {kind}, cluster {kind}")
 
 
 def viterbi_labels(scores: DataFrame, key: str = "meeting_id", switch: float = 0.05) -> DataFrame:

@@ -68,6 +68,54 @@ def edit_counts(reference: list[str], hypothesis: list[str]) -> tuple[int, int,
     return subs, n - hits - subs, m - hits - subs, hits
 
 
+def aligned_places(reference: list[str], hypothesis: list[str]) -> list[tuple[int, int]]:
+    """Places of the words that a least-edits alignment puts on each other, equal or not; on a tie words meet rather than go missing.
+
+    Holds a byte for each pair of words.
+    """
+    n, m = len(reference), len(hypothesis)
+    ids = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
+    hyp, steps = np.array([ids[w] for w in hypothesis], dtype=np.int64), np.arange(m + 1)
+    value, moves = steps.copy(), np.zeros((n + 1, m + 1), dtype=np.uint8)
+    moves[0, 1:] = 2
+    for i, w in enumerate(reference, 1):
+        meet, drop = value[:-1] + (hyp != ids[w]), value + 1
+        best = drop.copy()
+        best[1:] = np.minimum(meet, drop[1:])
+        new = np.minimum.accumulate(best - steps) + steps
+        moves[i] = np.where(drop == new, 1, 2)
+        moves[i, 1:] = np.where(meet == new[1:], 0, moves[i, 1:])
+        moves[i, 0], value = 1, new
+    i, j, found = n, m, []
+    while i or j:
+        move = moves[i, j]
+        i, j = i - (move != 2), j - (move != 1)
+        if move == 0:
+            found.append((i, j))
+    return found[::-1]
+
+
+def word_diarization_errors(reference: DataFrame, hypothesis: DataFrame, key: str) -> DataFrame:
+    """(key, ``wrong, aligned, wder``): aligned words whose speakers are not paired, speakers being paired for the most such words.
+
+    Both sides have ``idx, speaker, tokens``; 0 of no words is 0. One meeting is one group.
+    """
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        said = [[(w, row.speaker) for row in group[group["side"] == n].sort_values("idx").itertuples() for w in row.tokens] for n in (0, 1)]
+        places = aligned_places(*([w for w, _ in s] for s in said))
+        rows, columns = ({x: i for i, x in enumerate(dict.fromkeys(x for _, x in s))} for s in said)
+        agree = np.zeros((len(rows), len(columns)))
+        for i, j in places:
+            agree[rows[said[0][i][1]], columns[said[1][j][1]]] += 1
+        right = sum(agree[r, c] for r, c in assignment(-agree))
+        return pd.DataFrame([[group[key].iloc[0], len(places) - int(right), len(places)]], columns=[key, "wrong", "aligned"])
+
+    side = lambda df, n: df.select(key, F.lit(n).alias("side"), "speaker", "idx", "tokens")
+    found = side(reference, 0).unionByName(side(hypothesis, 1)).groupBy(key).applyInPandas(solve, f"{key} {reference.schema[key].dataType.simpleString()}, wrong long, aligned long")
+    return found.withColumn("wder", F.when(F.col("aligned") > 0, F.col("wrong") / F.col("aligned")).otherwise(0.0))
+
+
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """Edit distance of two token arrays, on the JVM: each distinct token becomes one letter.
 

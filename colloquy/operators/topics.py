@@ -70,12 +70,12 @@ def block_similarity(tokens: DataFrame, key: str, width: int = 20, block: int =
     return dots.select(key, "gap", F.round(F.when(norm > 0, F.col("lr") / norm).otherwise(0.0), 6).alias("similarity"))
 
 
-def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
-    """(label, ``dim, value``): the mean of the vectors of a label, scaled to length one, a row for each dimension."""
-    each = vectors.select(label, F.posexplode(vector).alias("dim", "v"))
-    mean = each.groupBy(label, "dim").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    norm = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(label)))
-    return mean.select(label, "dim", F.when(norm > 0, F.col("m") / norm).otherwise(0.0).alias("value"))
+def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, label, ``dim, value``): the mean of the vectors of a label, scaled to length one, a row for each dimension."""
+    each = vectors.select(*keys, label, F.posexplode(vector).alias("dim", "v"))
+    mean = each.groupBy(*keys, label, "dim").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    norm = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(*keys, label)))
+    return mean.select(*keys, label, "dim", F.when(norm > 0, F.col("m") / norm).otherwise(0.0).alias("value"))
 
 
 def centroid_cosines(found: DataFrame, label: str = "label") -> DataFrame:

@@ -546,7 +546,8 @@ def seam_repeat_trim(spark: SparkSession, d: str) -> DataFrame:
 def agglomerate_clusters(spark: SparkSession, d: str) -> DataFrame:
     from .operators.attribution import merge_like_labels
 
-    return merge_like_labels(topics.centroids(table(spark, d, "embeddings")), threshold=0.2)
+    vectors = table(spark, d, "embeddings").withColumn("meeting_id", F.floor(F.col("vec_id") / 100))
+    return merge_like_labels(topics.centroids(vectors, keys=("meeting_id",)), threshold=0.2)
 
 
 @query()
@@ -726,3 +727,11 @@ def hallucination_rate(spark: SparkSession, d: str) -> DataFrame:
 @query(oracles.TOPIC_GAPS)
 def topic_gaps(spark: SparkSession, d: str) -> DataFrame:
     return topics.topic_gaps(texttiling_similarity(spark, d), "doc_id")
+
+
+@query(oracles.WORD_DIARIZATION)
+def word_diarization_errors(spark: SparkSession, d: str) -> DataFrame:
+    base = utterances(spark, d).select("meeting_id", "idx", "speaker", text.words(F.col("text")).alias("tokens"))
+    heard = base.join(turns(spark, d).select("meeting_id", F.col("pos").alias("idx"), "label"), ["meeting_id", "idx"])
+    heard = heard.select("meeting_id", "idx", F.col("label").alias("speaker"), F.transform("tokens", lambda w, i: F.when(i % 9 == 8, "zzq").otherwise(w)).alias("tokens"))
+    return scoring.word_diarization_errors(base, heard, "meeting_id").withColumn("wder", F.round("wder", 6))

@@ -57,7 +57,7 @@ def test_repeats_at_seams(spark):
 
 def test_merging_of_like_labels(spark):
     rows = [(k, i, v) for k, vec in {1: (1.0, 0.0), 2: (0.9, 0.1), 3: (0.0, 1.0)}.items() for i, v in enumerate(vec)]
-    got = {r.label: r.cluster for r in attribution.merge_like_labels(spark.createDataFrame(rows, "label int, dim int, value double")).collect()}
+    got = {r.label: r.cluster for r in attribution.merge_like_labels(spark.createDataFrame([(1, *r) for r in rows], "meeting_id int, label int, dim int, value double")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
 
 
