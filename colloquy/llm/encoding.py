@@ -26,7 +26,7 @@ WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN = re.compile("[\0-\xff]*").fullmatch  # composed characters alone, which every library lower-cases alike
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = "".join(c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n")
-_ODD = f"  | \\n|\\n |^ | $|[{_ODD_SPACE}]"
+_ODD = f"  | \\n|\\n |\\n\\n\\n|\\n\\n$|^ | $|[{_ODD_SPACE}]"  # runs of line ends are one pre-token but for the last before a word
 
 
 def byte_letters() -> list[str]:

@@ -14,7 +14,7 @@ from colloquy.llm.packing import best_fit, configurations, pack_documents, packe
 from colloquy.llm.token_counts import CountCoder, RankMerger, token_counts
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", " ", "  a  b ", "\n\n x", "a \n b", "don't  <|endoftext|> x<|endoftext|>", "<|endoftext|>", "ÀÉ́ é", "a\xa0b\x85c　d", "日本語 テスト 🙂", "a\tb \t c\r\nd", "'s 't x's", "İstanbul ΣΑΣ", "x" * 3000, "a" * 777 + " aaaa", "12 345", "a  ", "\x1c a"]
+ODD = ["", " ", "  a  b ", "\n\n x", "a \n b", "don't  <|endoftext|> x<|endoftext|>", "<|endoftext|>", "ÀÉ́ é", "a\xa0b\x85c　d", "日本語 テスト 🙂", "a\tb \t c\r\nd", "'s 't x's", "İstanbul ΣΑΣ", "x" * 3000, "a" * 777 + " aaaa", "12 345", "a  ", "\x1c a", "a\n\n\nb", "a\n\n", "\n\n\n", "a b\n\nc d\n", "\n\nab\n\n\n\nc"]
 
 
 def library(path):
