@@ -63,7 +63,7 @@ def in_duckdb(sql: str, by: str, reads: dict[str, str], adds: list[str]) -> Call
                 rows = batch.slice(at, len(part))
                 at += len(part)
                 con.register("batch", pa.table({k: rows.column(v) for k, v in reads.items()}))
-                made = con.execute(sql).to_arrow_table().combine_chunks()
+                made = con.sql(sql).to_arrow_table().combine_chunks()
                 con.unregister("batch")
                 yield pa.RecordBatch.from_arrays([*rows.columns, *[made.column(k).chunk(0) for k in range(len(adds))]], names=[*batch.schema.names, *adds])
 

@@ -93,6 +93,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, chain).withColumn("rejected", F.col("p_toxic") >= 0.5)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cross_align import link_report
+
+    return link_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle_digests
+
+    return fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_search import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash_groups": op2_simhash_groups,
@@ -104,8 +122,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_order_minhash": op10_order_minhash,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
+#: the contract of op12 reorders all texts (h3 % 100 < 100), so its SQL has no draw for that
 SQL: dict[str, str] = {
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
@@ -120,5 +142,21 @@ q AS (SELECT DISTINCT a.id, b.id AS early FROM p a JOIN p b ON a.w = b.w AND b.i
 v AS (SELECT DISTINCT q.id FROM q JOIN u a ON a.id = q.id JOIN u b ON b.id = q.early WHERE len(list_intersect(a.t, b.t)) >= 0.9 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) - 1e-9),
 g AS (SELECT f.doc_id, f.no FROM f JOIN u USING (line) LEFT JOIN v ON v.id = u.id WHERE len(u.t) > 0 AND (f.nth > 1 OR v.id IS NOT NULL)),
 x AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS removed FROM g GROUP BY doc_id)
-SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN x USING (doc_id)"""
+SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN x USING (doc_id)""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS c, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT *, list_filter(list_transform(range(1, len(c) + 1), lambda i: c[i] || CASE WHEN i < len(c) THEN chr(10) ELSE '' END), lambda x: x <> '') AS ls FROM d),
+p AS (SELECT *, len(ls) AS k, list_sort([CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(ls) + 1), CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(ls) + 1)]) AS ab, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS o FROM u),
+q AS (SELECT *, CAST(coalesce(list_sum(list_transform(ls[:ab[1]], lambda x: length(x))), 0) AS BIGINT) AS np, CAST(coalesce(list_sum(list_transform(ls[:ab[2]], lambda x: length(x))), 0) AS BIGINT) AS nm, t = '' OR regexp_matches(t, '<[PSM]>') AS whole FROM p)
+SELECT doc_id, CAST(k AS BIGINT) AS n, CASE WHEN whole THEN 'plain' WHEN o < 50 THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT whole THEN np END AS prefix_chars, CASE WHEN NOT whole THEN nm - np END AS middle_chars,
+  sha256(CASE WHEN whole THEN t WHEN o < 50 THEN '<S>' || substr(t, nm + 1) || '<P>' || substr(t, 1, np) || '<M>' || substr(t, np + 1, nm - np)
+    ELSE '<P>' || substr(t, 1, np) || '<S>' || substr(t, nm + 1) || '<M>' || substr(t, np + 1, nm - np) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM q""",
+    "op13_exact_top_k": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }

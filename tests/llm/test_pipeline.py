@@ -1,9 +1,10 @@
 import os
 
+import duckdb
 import pytest
 
 import corpus_pipeline
-from colloquy.llm.queries import QUERIES
+from colloquy.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,9 +23,19 @@ def test_stages_keep_the_columns_and_their_decisions_hold(spark, docs):
     assert rows["toxicity"] > rows["simhash_near_dedup"] >= rows["decontamination"] > 0.5 * len(ids)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(SQL[name])
+    assert sorted(map(repr, QUERIES[name](spark, SF).select(want.columns).toPandas().astype(object).fillna("null").values.tolist())) == sorted(map(repr, want.df().astype(object).fillna("null").values.tolist()))
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "decontamination", "best_fit_packing"]
