@@ -22,7 +22,8 @@ from .common import fresh, join_counted, save
 from .encoding import IdCoder, PieceCoder, byte_letters, coder, slices
 
 SIDE = 20  # bits of an id in a pair of ids
-CACHED = 150_000  # pieces that each of the two coders of a worker keeps at least
+CACHED = 250_000  # pieces that each of the two coders of a worker keeps at least
+RUN = 1_500_000  # bytes of text that are aligned together
 
 
 class SpacedCoder(IdCoder):
@@ -193,7 +194,7 @@ def _mapped(docs: DataFrame, a_path: str, b_path: str, text_col: str, types: dic
         a, b = coder(SpacedCoder, a_path), coder(SentenceCoder, b_path)
         for batch in batches:
             at = 0
-            for part in slices(batch.column(text_col)):
+            for part in slices(batch.column(text_col), RUN):
                 rows = batch.slice(at, len(part)).select(keep)
                 at += len(part)
                 x = align(part, a, b)
