@@ -68,42 +68,70 @@ def edit_counts(reference: list[str], hypothesis: list[str]) -> tuple[int, int,
     return subs, n - hits - subs, m - hits - subs, hits
 
 
-def aligned_places(reference: list[str], hypothesis: list[str]) -> list[tuple[int, int]]:
-    """Places of the words that a least-edits alignment puts on each other, equal or not; on a tie words meet rather than go missing.
+EQUAL, SUBSTITUTED, DELETED, INSERTED = "equal", "substitute", "delete", "insert"
 
-    Holds a byte for each pair of words.
+
+def least_edits(reference: np.ndarray, hypothesis: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None, meet_first: bool = False) -> list[tuple[str, int, int]]:
+    """The steps (outcome, reference place, hypothesis place; -1 for none) of a least-edits alignment of two sequences of numbers.
+
+    With ``low`` and ``high`` a reference word may only meet the hypothesis words from the one to the other, both included. Of equal costs, seen from
+    the end, a word is dropped first, then added where that was cheaper before, then two words meet; or, with ``meet_first``, two meet, one is
+    dropped, one is added. Holds two bits for each pair of words.
     """
     n, m = len(reference), len(hypothesis)
-    ids = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
-    hyp, steps = np.array([ids[w] for w in hypothesis], dtype=np.int64), np.arange(m + 1)
-    value, moves = steps.copy(), np.zeros((n + 1, m + 1), dtype=np.uint8)
-    moves[0, 1:] = 2
-    for i, w in enumerate(reference, 1):
-        meet, drop = value[:-1] + (hyp != ids[w]), value + 1
-        best = drop.copy()
-        best[1:] = np.minimum(meet, drop[1:])
+    steps = np.arange(m + 1)
+    value, bits = steps.copy(), []
+    for i in range(n):
+        meet = value[:-1] + (hypothesis != reference[i])
+        if low is not None:
+            meet[: low[i]] = meet[high[i] + 1 :] = n + m + 1
+        best = value + 1
+        best[1:] = np.minimum(meet, best[1:])
         new = np.minimum.accumulate(best - steps) + steps
-        moves[i] = np.where(drop == new, 1, 2)
-        moves[i, 1:] = np.where(meet == new[1:], 0, moves[i, 1:])
-        moves[i, 0], value = 1, new
-    i, j, found = n, m, []
+        drop, add, met = new == value + 1, np.append(False, new[1:] == new[:-1] + 1), np.append(False, new[1:] == meet)
+        if meet_first:
+            drop &= ~met
+            add &= ~met & ~drop
+        else:
+            add &= ~drop & (~met | np.append(False, new[:-1] < value[:-1]))
+        bits.append((np.packbits(drop), np.packbits(add)))
+        value = new
+    i, j, out = n, m, []
     while i or j:
-        move = moves[i, j]
-        i, j = i - (move != 2), j - (move != 1)
-        if move == 0:
-            found.append((i, j))
-    return found[::-1]
+        drop, add = ((side[j >> 3] >> (7 - (j & 7))) & 1 for side in bits[i - 1]) if i else (0, 1)
+        i, j = i - (not add), j - (not drop)
+        out.append((DELETED, i, -1) if drop else (INSERTED, -1, j) if add else (EQUAL if reference[i] == hypothesis[j] else SUBSTITUTED, i, j))
+    return out[::-1]
+
+
+def numbered(reference: list[str], hypothesis: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Words as numbers, equal words alike."""
+    ids = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
+    return tuple(np.array([ids[w] for w in side], dtype=np.int64) for side in (reference, hypothesis))
+
+
+def align_words(reference: list[str], hypothesis: list[str]) -> list[tuple[str, int, int]]:
+    """``least_edits`` of two lists of words; words that both begin or end with are equal without a search."""
+    a, b = numbered(reference, hypothesis)
+    short = min(len(a), len(b))
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[::-1][: short - head] != b[::-1][: short - head])
+    tail = int(differ[0]) if len(differ) else short - head
+    inner = least_edits(a[head : len(a) - tail], b[head : len(b) - tail])
+    shift = lambda k: k + head if k >= 0 else k
+    return [(EQUAL, k, k) for k in range(head)] + [(op, shift(i), shift(j)) for op, i, j in inner] + [(EQUAL, len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
 def word_diarization_errors(reference: DataFrame, hypothesis: DataFrame, key: str) -> DataFrame:
-    """(key, ``wrong, aligned, wder``): aligned words whose speakers are not paired, speakers being paired for the most such words.
+    """(key, ``wrong, aligned, wder``): equal aligned words whose speakers are not paired, speakers being paired for the most equal words.
 
     Both sides have ``idx, speaker, tokens``; 0 of no words is 0. One meeting is one group.
     """
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         said = [[(w, row.speaker) for row in group[group["side"] == n].sort_values("idx").itertuples() for w in row.tokens] for n in (0, 1)]
-        places = aligned_places(*([w for w, _ in s] for s in said))
+        places = [(i, j) for op, i, j in align_words(*([w for w, _ in s] for s in said)) if op == EQUAL]
         rows, columns = ({x: i for i, x in enumerate(dict.fromkeys(x for _, x in s))} for s in said)
         agree = np.zeros((len(rows), len(columns)))
         for i, j in places:

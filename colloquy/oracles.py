@@ -227,6 +227,6 @@ TOPIC_GAPS = rf"""WITH b AS ({TEXTTILING}), e AS (SELECT doc_id, max(gap) AS edg
 SELECT *, depth > greatest(avg(depth) OVER w - 0.5 * stddev_pop(depth) OVER w, 0) + 1e-9 AS candidate FROM d WINDOW w AS (PARTITION BY doc_id)"""
 
 #: The same words on both sides, every ninth of an utterance another one: all align in place.
-WORD_DIARIZATION = f"""WITH RECURSIVE {TURNS_SQL}, sh AS (SELECT u.meeting_id, u.speaker, t.label, sum(n_words) AS v FROM utterances u JOIN turns t ON u.meeting_id = t.meeting_id AND u.idx = t.pos GROUP BY ALL HAVING sum(n_words) > 0),
- {pairing_sql('sh', 'speaker', 'label', 'v')}, n AS (SELECT meeting_id, CAST(sum(n_words) AS BIGINT) AS aligned FROM utterances GROUP BY meeting_id)
+WORD_DIARIZATION = f"""WITH RECURSIVE {TURNS_SQL}, sh AS (SELECT u.meeting_id, u.speaker, t.label, sum(n_words - n_words // 9) AS v FROM utterances u JOIN turns t ON u.meeting_id = t.meeting_id AND u.idx = t.pos GROUP BY ALL HAVING sum(n_words) > 0),
+ {pairing_sql('sh', 'speaker', 'label', 'v')}, n AS (SELECT meeting_id, CAST(sum(n_words - n_words // 9) AS BIGINT) AS aligned FROM utterances GROUP BY meeting_id)
 SELECT meeting_id, CAST(aligned - coalesce(total, 0) AS BIGINT) AS wrong, aligned, round(CASE WHEN aligned > 0 THEN (aligned - coalesce(total, 0)) / aligned ELSE 0 END, 6) AS wder FROM n LEFT JOIN best USING (meeting_id)"""

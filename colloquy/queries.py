@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, oracles_errors
 from .functions import clock, normal, numbers, text
 from .operators import intervals, languages, quality, scoring, topics
 from .plans.inputs import TURNS_SQL, UTTERANCES_SQL, observations, table, turns, utterances
@@ -735,3 +735,37 @@ def word_diarization_errors(spark: SparkSession, d: str) -> DataFrame:
     heard = base.join(turns(spark, d).select("meeting_id", F.col("pos").alias("idx"), "label"), ["meeting_id", "idx"])
     heard = heard.select("meeting_id", "idx", F.col("label").alias("speaker"), F.transform("tokens", lambda w, i: F.when(i % 9 == 8, "zzq").otherwise(w)).alias("tokens"))
     return scoring.word_diarization_errors(base, heard, "meeting_id").withColumn("wder", F.round("wder", 6))
+
+
+@query(oracles_errors.DECOMPOSITION)
+def error_decomposition(spark: SparkSession, d: str) -> DataFrame:
+    """Utterances with names, numbers, fillers and foreign words; of twenty words one is dropped, one replaced, and one comes more."""
+    from .operators.decomposition import category_counts, decompose
+
+    more = F.when(F.col("idx") % 3 == 0, " Then Marie Curie said: Voila euh les Bruxelles").when(F.col("idx") % 3 == 1, " the douze Curie. Nantes and Nantes? is 42 the").otherwise(" nous avec Zoé Élan")
+    raw = utterances(spark, d).select("meeting_id", "idx", F.when(F.col("idx") % 2 == 0, "en").otherwise("fr").alias("language"), F.concat("text", more).alias("raw"))
+    pairs = raw.withColumn("ref", text.words(normal.basic(F.col("raw"))))
+    heard = F.transform("ref", lambda w, i: F.when(i % 20 == 7, F.array().cast("array<string>")).when(i % 20 == 14, F.array(F.lit("zzq"))).when(i % 20 == 0, F.array(w, F.lit("qqz"))).otherwise(F.array(w)))
+    steps = decompose(pairs.withColumn("hyp", F.flatten(heard)), ["meeting_id", "idx"], "ref", "hyp", "raw", "language", spark.createDataFrame([("Bruxelles",)], "term string"))
+    return category_counts(steps, ["language"]).withColumn("error_rate", F.round("error_rate", 6)).withColumn("recall", F.round("recall", 6))
+
+
+def timed_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Utterances, and what was heard: another label now and then, every ninth word another, each fourth utterance 20 s late, each sixth cut in two."""
+    said = utterances(spark, d).select("meeting_id", "idx", "speaker", "start_ms", "end_ms", text.words(F.col("text")).alias("tokens"))
+    heard = said.drop("speaker", "start_ms", "end_ms").join(turns(spark, d).select("meeting_id", F.col("pos").alias("idx"), F.col("label").alias("speaker"), "start_ms", "end_ms"), ["meeting_id", "idx"])
+    late = F.when(F.col("idx") % 4 == 3, 20_000).otherwise(0)
+    heard = heard.select("meeting_id", "idx", "speaker", (F.col("start_ms") + late).alias("start_ms"), (F.col("end_ms") + late).alias("end_ms"), F.transform("tokens", lambda w, i: F.when(i % 9 == 8, "zzq").otherwise(w)).alias("tokens"))
+    half, middle = F.floor(F.size("tokens") / 2).cast("int"), F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
+    cut = (F.col("idx") % 6 == 5) & (F.size("tokens") > 1)
+    parts = F.when(cut, F.array(F.struct(F.col("start_ms").alias("s"), middle.alias("e"), F.slice("tokens", F.lit(1), half).alias("t")), F.struct(middle.alias("s"), F.col("end_ms").alias("e"), F.slice("tokens", half + 1, F.size("tokens") - half).alias("t"))))
+    parts = parts.otherwise(F.array(F.struct(F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col("tokens").alias("t"))))
+    each = heard.select("meeting_id", "idx", "speaker", F.explode(parts).alias("p"))
+    return said, each.select("meeting_id", "idx", "speaker", F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms"), F.col("p.t").alias("tokens"))
+
+
+@query()
+def time_constrained_cpwer(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.timed import time_constrained_wer
+
+    return time_constrained_wer(*timed_inputs(spark, d), M).withColumn("tcpwer", F.round("tcpwer", 6))
