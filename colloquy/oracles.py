@@ -167,7 +167,7 @@ def cued_sql(cues: list[str]) -> str:
 
 
 def english_sql() -> str:
-    x = replaced_sql("lower(text)", [(normal.BRACKETED, ""), (normal.PARENTHESISED, ""), (normal.ENGLISH_FILLERS, ""), (SPACES + "'", "'"), *normal.word_rules(normal.CONTRACTIONS), *normal.word_rules(normal.TITLES, " "), *normal.ending_rules()])
+    x = replaced_sql("lower(text)", [(normal.BRACKETED, ""), (normal.PARENTHESISED, ""), (normal.ENGLISH_FILLERS, ""), (SPACES + "'", "'"), *normal.ENGLISH_FORMS])
     x = replaced_sql(x, [("([0-9]),([0-9])", "$1$2"), (r"\.([^0-9]|$)", " $1"), (r"[^\p{L}\p{N}\s.%$¢€£]", " "), (SPACES, " ")])
     american = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in normal.AMERICAN.items()) + "}"
     y = f"array_to_string(list_transform(string_split(x, ' '), lambda w: coalesce({american}[w], w)), ' ')"
@@ -177,11 +177,11 @@ def english_sql() -> str:
 
 def french_sql() -> str:
     """Titles and the number sign take the character after them along, as this dialect cannot look ahead."""
-    titles = [(p.replace(r"(?!\p{L})", r"(\P{L}|$)"), to + "$1") for p, to in normal.french_title_rules()]
+    titles = [(p.replace(r"(?!\p{L})", r"(\P{L}|$)"), to + "$1") for p, to in normal.FRENCH_TITLES]
     x = replaced_sql("lower(text)", [(normal.BRACKETED, " "), (normal.PARENTHESISED, " "), *titles, (r"n\s*[°ºo]\s*([0-9])", "numéro $1")])
     for sign, said in normal.FRENCH_SIGNS.items():
         x = f"replace({x}, '{sign}', ' {said} ')"
-    x = replaced_sql(x, [(r"\betc\b\.?", " et cetera "), (r"\bpour[-\s]?cents?\b", " pour cent "), ("'", " "), (NOT_WORD, " "), (r"\b(vingt|cent)s\b", "$1"), *normal.SPELLINGS, (rf"\b({'|'.join(normal.FRENCH_FILLERS)})\b", " "), (SPACES, " ")])
+    x = replaced_sql(x, [(r"\betc\b\.?", " et cetera "), (r"\bpour[-\s]?cents?\b", " pour cent "), ("'", " "), (NOT_WORD, " "), (normal.FRENCH_PLURALS, "$1"), *normal.SPELLINGS, (normal.FRENCH_FILLERS, " "), (SPACES, " ")])
     return f"WITH {cued_sql(FRENCH_CUES)} SELECT meeting_id, idx, trim({x}) AS text FROM cued"
 
 
