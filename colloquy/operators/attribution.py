@@ -77,30 +77,38 @@ def seam_repeats(rows: DataFrame, key: str = "meeting_id", most: int = 8, max_ga
     return held.withColumn("repeated", F.when(close, F.coalesce(F.array_max(sizes), F.lit(0))).otherwise(0)).drop("__next", "__gap")
 
 
-def merge_like_labels(centroids: DataFrame, threshold: float = 0.6, label: str = "label", key: str = "meeting_id") -> DataFrame:
-    """(key, label, ``cluster``): labels of a meeting whose centroids (a row for each dimension) join, the most alike pair first.
+def label_cosines(centroids: DataFrame, label: str = "label", key: str = "meeting_id") -> DataFrame:
+    """(key, ``a, b, cosine``) of each two labels of a meeting (``a < b``) from centroids with a row for each dimension; none for a centroid of zeros."""
+    v = F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x.value.cast("double"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    rows = centroids.groupBy(key, label).agg(v.alias("_v")).withColumn("_norm", F.sqrt(dot(F.col("_v"), F.col("_v")))).filter("_norm > 0")
+    side = lambda n: rows.select(key, F.col(label).alias(n), F.col("_v").alias("_v" + n), F.col("_norm").alias("_n" + n))
+    return side("a").join(side("b"), key).filter("a < b").select(key, "a", "b", (dot(F.col("_va"), F.col("_vb")) / (F.col("_na") * F.col("_nb"))).alias("cosine"))
 
-    A joined pair's centroid is the mean of its members'; joining ends below ``threshold``. Meetings are apart; a group holds one
-    meeting's speakers, times dimensions.
+
+def merge_like_labels(centroids: DataFrame, threshold: float = 0.6, ceiling: int | None = None, label: str = "label", key: str = "meeting_id") -> DataFrame:
+    """(key, label, ``cluster``): single linkage of a meeting's labels, each cluster named by its least label.
+
+    Labels whose centroids have a cosine of ``threshold`` or more are joined, and so are the groups they are in. While a meeting has more than ``ceiling``
+    groups, the most alike ones are joined below the threshold as well. Labels without a centroid stay by themselves. A group holds one number for each
+    two labels of a meeting.
     """
+    kind, of = centroids.schema[label].dataType.simpleString(), centroids.schema[key].dataType.simpleString()
+    alone = centroids.select(key, F.col(label).alias("a"), F.col(label).alias("b"), F.lit(None).cast("double").alias("cosine")).distinct()
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot_table(index=label, columns="dim", values="value", aggfunc="first", fill_value=0.0)
-        members = [[x] for x in table.index]
-        sums = [v for v in table.to_numpy(dtype=float)]
-        while len(members) > 1:
-            unit = np.array([v / max(np.linalg.norm(v), 1e-12) for v in sums])
-            like = unit @ unit.T
-            np.fill_diagonal(like, -2)
-            a, b = sorted(divmod(int(like.argmax()), len(members)))
-            if like[a, b] < threshold:
-                break
-            members[a] += members.pop(b)
-            sums[a] = sums[a] + sums.pop(b)
-        return pd.DataFrame([(group[key].iloc[0], x, min(m)) for m in members for x in m], columns=[key, label, "cluster"])
-
-    kind = centroids.schema[label].dataType.simpleString()
-    return centroids.groupBy(key).applyInPandas(solve, f"{key} {centroids.schema[key].dataType.simpleString()}, {label} {kind}, cluster {kind}")
+        own = sorted(group.loc[group["cosine"].isna(), "a"])
+        cluster = {x: x for x in own}
+        pairs = group[group["cosine"].notna()].sort_values(["cosine", "a", "b"], ascending=False)
+        for a, b, cosine in pairs[["a", "b", "cosine"]].itertuples(index=False, name=None):
+            one, other = sorted((cluster[a], cluster[b]))
+            groups = len(set(cluster.values()))
+            if one != other and (cosine >= threshold or (ceiling is not None and groups > ceiling)):
+                cluster = {x: one if c == other else c for x, c in cluster.items()}
+        return pd.DataFrame([(group[key].iloc[0], x, cluster[x]) for x in own], columns=[key, label, "cluster"])
+
+    both = label_cosines(centroids, label, key).unionByName(alone)
+    return both.groupBy(key).applyInPandas(solve, f"{key} {of}, {label} {kind}, cluster {kind}")
 
 
 def viterbi_labels(scores: DataFrame, key: str = "meeting_id", switch: float = 0.05) -> DataFrame:

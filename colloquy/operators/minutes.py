@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import coverage, fold, folded_tokens, jaccard, sentences
+from ..functions.text import fold, folded_tokens, jaccard, sentences
 
 _WE, _WHO = r"(?:we|the team|everyone|the group)", r"(?:i|we|you|he|she|they|[a-z]+)"
 #: Cues over folded text, English and French, by what they show: an explicit decision, a likely one, a task, a reply.
@@ -13,13 +13,18 @@ STRONG_DECISION = [rf"\b{_WE} (?:all )?(?:just )?(?:agreed|decided|settled|chose
 WEAK_DECISION = [rf"\b{_WE} (?:go|goes|will go|move|moves) (?:for|with|ahead)\b", r"\b(?:agreed|settled|adopted|accepted)\b", r"\b(?:adopte|accepte|convenu)e?s?\b"]
 ACTION = [rf"\b{_WHO} (?:will|shall|must|should|has to|have to) [a-z]", r"\b(?:could|would|can) (?:you|someone|anyone) [a-z]", r"\b(?:action|todo|task)\b *:", r"\b(?:tu|vous|nous|on) (?:dois|devez|devons|doit) [a-z]", r"\b(?:merci de|charge de|a faire)\b"]
 ANSWER = [r"^(?:yes|yep|no|nope|ok|okay|of course|exactly|oui|non|bien sur|exactement)\b"]
-#: Words that carry no topic, folded.
+#: Words that carry no topic, folded: a short list of our own, which callers can replace.
 STOP_WORDS = ["the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "at", "by", "for", "with", "from", "as", "is", "are", "was", "were", "be", "it", "this", "that", "we", "you", "they", "he", "she", "not", "le", "la", "les", "un", "une", "des", "et", "ou", "de", "du", "en", "que", "qui", "est", "ce"]
 
 
+def content(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
+    """Folded tokens of three letters or more, or with a digit, that are no stop words; repeats are kept."""
+    return F.filter(folded_tokens(text), lambda w: ~w.isin(stop_words) & ((F.length(w) >= 3) | w.rlike("[0-9]")))
+
+
 def terms(text: Column) -> Column:
-    """Distinct folded tokens of three letters or more, or with a digit, that are no stop words."""
-    return F.array_distinct(F.filter(folded_tokens(text), lambda w: ~w.isin(STOP_WORDS) & ((F.length(w) >= 3) | w.rlike("[0-9]"))))
+    """Distinct words of ``content``."""
+    return F.array_distinct(content(text))
 
 
 def sentence_rows(utterances: DataFrame, key: str = "meeting_id") -> DataFrame:
@@ -64,9 +69,15 @@ def candidates(units: DataFrame, key: str = "meeting_id", decisions: int = 20, a
     return found.withColumn("nth", nth).filter(F.col("nth") <= most).select(key, "unit", "kind", "strong", F.when(F.col("kind") == "question", F.col("answered")).alias("answered"))
 
 
-def grounding(claims: DataFrame, utterances: DataFrame, key: str = "meeting_id", support: float = 0.7) -> DataFrame:
-    """(key, ``n_claims, supported, score``): claims (key, ``claim``) of which ``support`` of the terms occur in the meeting; 1 for none."""
-    said = utterances.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(terms(F.col("text"))))).alias("said"))  # one meeting's vocabulary
-    rows = claims.join(said, key, "left").withColumn("ok", coverage(terms(F.col("claim")), F.coalesce("said", F.array().cast("array<string>"))) >= support)
-    held = rows.groupBy(key).agg(F.count("*").alias("n_claims"), F.count_if("ok").alias("supported"))
+def grounding(claims: DataFrame, utterances: DataFrame, key: str = "meeting_id", support: float = 0.7, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """(key, ``n_claims, supported, score``): claims (key, ``claim``) of which ``support`` of the content words, repeats counted, occur in the meeting.
+
+    Claims without content words are not scored; a meeting whose claims have none scores 1. Words of claims meet the meeting's words in a join.
+    """
+    numbered = claims.select(key, F.monotonically_increasing_id().alias("_claim"), content(F.col("claim"), stop_words).alias("_words"))
+    named = numbered.select(key, "_claim", F.explode_outer("_words").alias("_word"))
+    said = utterances.select(key, F.explode(F.array_distinct(folded_tokens(F.col("text")))).alias("_word")).distinct().withColumn("_said", F.lit(1))
+    each = named.join(said, [key, "_word"], "left").groupBy(key, "_claim").agg(F.count("_word").alias("_n"), F.count(F.when(F.col("_word").isNotNull(), F.col("_said"))).alias("_m"))
+    scored = F.col("_n") > 0
+    held = each.groupBy(key).agg(F.count_if(scored).alias("n_claims"), F.count_if(scored & (F.col("_m") >= support * F.col("_n") - 1e-9)).alias("supported"))
     return held.withColumn("score", F.when(F.col("n_claims") > 0, F.col("supported") / F.col("n_claims")).otherwise(1.0))

@@ -65,6 +65,13 @@ def item_matches(reference: DataFrame, hypothesis: DataFrame, key: str = "meetin
     return scored.withColumn("f1", F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0)).withColumn("owner_accuracy", F.when(m > 0, F.col("right") / m).otherwise(0.0)).drop("right")
 
 
+def decision_recall(reference: DataFrame, hypothesis: DataFrame, key: str = "meeting_id", threshold: float = 0.7) -> DataFrame:
+    """(key, ``recall``): the share of expected decisions (key, ``text``) that were found; 1 where none was expected."""
+    named = lambda df: df.select(key, "text", F.lit(None).cast("string").alias("owner"))
+    found = item_matches(named(reference), named(hypothesis), key, threshold)
+    return found.select(key, F.when(F.col("reference_count") > 0, F.col("matched") / F.col("reference_count")).otherwise(1.0).alias("recall"))
+
+
 def mentions(sentence: Column) -> Column:
     """Numbers and capitalised runs of a sentence; a single capitalised word at its start is none."""
     runs = F.regexp_extract_all(sentence, F.lit(f"({CAPITALISED})"), 1)

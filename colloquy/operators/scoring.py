@@ -145,12 +145,13 @@ def word_diarization_errors(reference: DataFrame, hypothesis: DataFrame, key: st
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of two token arrays, on the JVM: each distinct token becomes one letter.
+    """Edit distance of two token arrays, on the JVM: each distinct token becomes one code point, from U+0100 on and past the surrogates.
 
-    Letters start at U+3400; the first 41,984 distinct tokens of a pair stay below the surrogates.
+    There are over a million of them, more distinct tokens than the distance of a pair could be computed for.
     """
     both = F.array_distinct(F.concat(reference, hypothesis))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x33FF), 4, "0")), "UTF-16BE")
+    point = lambda w: F.array_position(both, w) + 0xFF + F.when(F.array_position(both, w) + 0xFF >= 0xD800, 0x800).otherwise(0)
+    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 8, "0")), "UTF-32")
     text = lambda a: F.array_join(F.transform(a, code), "")
     return F.levenshtein(text(reference), text(hypothesis)).cast("long")
 

@@ -17,9 +17,13 @@ def folded_tokens_sql(column: str) -> str:
     return f"list_filter(string_split(regexp_replace({fold_sql(column)}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
-def terms_sql(column: str) -> str:
+def content_sql(column: str) -> str:
     stop = ", ".join(f"'{w}'" for w in minutes.STOP_WORDS)
-    return f"list_distinct(list_filter({folded_tokens_sql(column)}, lambda w: w NOT IN ({stop}) AND (len(w) >= 3 OR regexp_matches(w, '[0-9]'))))"
+    return f"list_filter({folded_tokens_sql(column)}, lambda w: w NOT IN ({stop}) AND (len(w) >= 3 OR regexp_matches(w, '[0-9]')))"
+
+
+def terms_sql(column: str) -> str:
+    return f"list_distinct({content_sql(column)})"
 
 
 def clock_sql(ms: str) -> str:
@@ -113,10 +117,10 @@ def sentences_sql(source: str) -> str:
    CAST(start_ms + floor((end_ms - start_ms) * list_sum(z[1:nth + 1]) / list_sum(z)) AS BIGINT) AS end_ms, text FROM each)"""
 
 
-GROUNDING = rf"""WITH {UTTERANCES_SQL}, {sentences_sql('utterances')}, claims AS (SELECT meeting_id, {terms_sql('text')} AS t FROM units WHERE unit % 3 = 0),
- said AS (SELECT meeting_id, list_distinct(flatten(list({terms_sql('text')}))) AS said FROM utterances WHERE idx % 2 = 0 GROUP BY meeting_id),
- k AS (SELECT meeting_id, CASE WHEN len(t) = 0 THEN 1 ELSE len(list_filter(t, lambda w: list_contains(coalesce(said, []), w))) / len(t) END >= 0.7 AS ok FROM claims LEFT JOIN said USING (meeting_id))
-SELECT meeting_id, count(*) AS n_claims, count(*) FILTER (ok) AS supported, count(*) FILTER (ok) / count(*) AS score FROM k GROUP BY meeting_id"""
+GROUNDING = rf"""WITH {UTTERANCES_SQL}, {sentences_sql('utterances')}, claims AS (SELECT meeting_id, {content_sql("CASE WHEN unit % 2 = 0 THEN text || ' zebra budget zebra' WHEN unit % 9 = 3 THEN 'it is to be' ELSE text END")} AS t FROM units WHERE unit % 3 = 0),
+ said AS (SELECT meeting_id, list_distinct(flatten(list({folded_tokens_sql('text')}))) AS said FROM utterances WHERE idx % 2 = 0 GROUP BY meeting_id),
+ k AS (SELECT meeting_id, len(t) AS n, len(list_filter(t, lambda w: list_contains(coalesce(said, []), w))) >= 0.7 * len(t) - 1e-9 AS ok FROM claims LEFT JOIN said USING (meeting_id))
+SELECT meeting_id, count(*) FILTER (n > 0) AS n_claims, count(*) FILTER (n > 0 AND ok) AS supported, CASE WHEN count(*) FILTER (n > 0) > 0 THEN count(*) FILTER (n > 0 AND ok) / count(*) FILTER (n > 0) ELSE 1 END AS score FROM k GROUP BY meeting_id"""
 
 
 def _any(column: str, patterns: list[str]) -> str:

@@ -29,3 +29,34 @@ DECOMPOSITION = rf"""WITH {UTTERANCES_SQL}, raw AS (SELECT meeting_id, idx, CASE
    FROM f LEFT JOIN names n ON n.meeting_id = f.meeting_id AND n.idx = f.idx AND n.name = folded)
 SELECT language, category, count(*) AS reference_words, count(*) FILTER (i % 20 NOT IN (7, 14)) AS hits, count(*) FILTER (i % 20 = 14) AS substitutions, count(*) FILTER (i % 20 = 7) AS deletions,
   round(count(*) FILTER (i % 20 IN (7, 14)) / count(*), 6) AS error_rate, round(count(*) FILTER (i % 20 NOT IN (7, 14)) / count(*), 6) AS recall FROM c GROUP BY ALL"""
+
+#: Single linkage as what one can reach over pairs of centroids that are alike.
+CLUSTERS = r"""WITH RECURSIVE x AS (SELECT vec_id // 100 AS meeting_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+ c AS (SELECT meeting_id, label, list(v ORDER BY dim) AS v FROM (SELECT meeting_id, label, dim, avg(CAST(v AS DOUBLE)) AS v FROM x GROUP BY ALL) GROUP BY ALL),
+ p AS (SELECT a.meeting_id, a.label AS a, b.label AS b FROM c a JOIN c b ON a.meeting_id = b.meeting_id WHERE a.label = b.label OR list_cosine_similarity(a.v, b.v) >= 0.12),
+ r AS (SELECT meeting_id, a AS label, a AS b FROM p WHERE a = b UNION SELECT r.meeting_id, r.label, p.b FROM r JOIN p ON p.meeting_id = r.meeting_id AND p.a = r.b)
+SELECT meeting_id, label, min(b) AS cluster FROM r GROUP BY ALL"""
+
+_DAY = "CAST(d AS DATE)"
+
+
+def _weekday(k: int) -> str:
+    return f"{_DAY} + CAST((({k} - (isodow(d) - 1)) % 7 + 7 + 6) % 7 + 1 AS INTEGER)"
+
+
+def _past(date: str, later: str) -> str:
+    return f"CASE WHEN {date} >= {_DAY} THEN {date} ELSE {later} END"
+
+
+_NEXT_MONTH = "date_trunc('month', d) + INTERVAL 1 MONTH"
+#: Phrases and the date that each means.
+MEANT = {
+    "let us finish by Friday": _weekday(4), "on sunday please": _weekday(6), "pour lundi": _weekday(0), "next monday": f"{_DAY} + CAST(8 - isodow(d) AS INTEGER)", "jeudi prochain": f"{_DAY} + CAST(11 - isodow(d) AS INTEGER)",
+    "Tomorrow, not friday": f"{_DAY} + 1", "the day after tomorrow": f"{_DAY} + 2", "d’ici après-demain": f"{_DAY} + 2", "demain": f"{_DAY} + 1", "by end of day": _DAY, "ce soir": _DAY, "2031-02-28 at noon": "DATE '2031-02-28'", "2031-02-30": "NULL",
+    "March 3rd, 2028": "DATE '2028-03-03'", "le 3 mars 2028": "DATE '2028-03-03'", "the 7th of Sept": _past("make_date(year(d), 9, 7)", "make_date(year(d) + 1, 9, 7)"), "le 1er août": _past("make_date(year(d), 8, 1)", "make_date(year(d) + 1, 8, 1)"),
+    "15/02 or so": _past("make_date(year(d), 2, 15)", "make_date(year(d) + 1, 2, 15)"), "01/02/97": "DATE '2097-02-01'", "by the 15th": _past("make_date(year(d), month(d), 15)", f"CAST({_NEXT_MONTH} + INTERVAL 14 DAY AS DATE)"),
+    "avant le 2": _past("make_date(year(d), month(d), 2)", f"CAST({_NEXT_MONTH} + INTERVAL 1 DAY AS DATE)"), "next month": f"last_day({_NEXT_MONTH})", "EOM": "last_day(d)", "fin du mois": "last_day(d)", "in 2 months": "last_day(date_trunc('month', d) + INTERVAL 2 MONTH)",
+    "dans 10 jours": f"{_DAY} + 10", "in 3 weeks": f"{_DAY} + 21", "end of the week": f"{_DAY} + CAST((12 - isodow(d)) % 7 AS INTEGER)", "la semaine prochaine": f"{_DAY} + CAST((12 - isodow(d)) % 7 + 7 AS INTEGER)", "le 14 h": "NULL", "soon, May 40": "NULL", "someday": "NULL",
+}
+PHRASES = list(MEANT)
+DUE_PHRASES = "SELECT CAST(d AS VARCHAR) AS day, phrase, CAST(CASE phrase " + " ".join("WHEN '" + p.replace("'", "''") + f"' THEN CAST({m} AS DATE)" for p, m in MEANT.items()) + " END AS VARCHAR) AS due FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), (SELECT unnest([" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + "]) AS phrase)"

@@ -542,12 +542,21 @@ def seam_repeat_trim(spark: SparkSession, d: str) -> DataFrame:
     return seam_repeats(rows, max_gap=1 << 40).select("meeting_id", "idx", F.col("repeated").cast("long").alias("repeated"))
 
 
-@query()
+@query(oracles_errors.CLUSTERS)
 def agglomerate_clusters(spark: SparkSession, d: str) -> DataFrame:
     from .operators.attribution import merge_like_labels
 
     vectors = table(spark, d, "embeddings").withColumn("meeting_id", F.floor(F.col("vec_id") / 100))
-    return merge_like_labels(topics.centroids(vectors, keys=("meeting_id",)), threshold=0.2)
+    return merge_like_labels(topics.centroids(vectors, keys=("meeting_id",)), threshold=0.12)
+
+
+@query(oracles_errors.DUE_PHRASES)
+def due_date_phrases(spark: SparkSession, d: str) -> DataFrame:
+    from .functions.due import due_date
+
+    days = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+    said = days.select("d", F.explode(F.array(*map(F.lit, oracles_errors.PHRASES))).alias("phrase"))
+    return said.select(F.col("d").cast("string").alias("day"), "phrase", due_date(F.col("phrase"), F.col("d")).cast("string").alias("due"))
 
 
 @query()
@@ -576,7 +585,8 @@ def grounding_score(spark: SparkSession, d: str) -> DataFrame:
     from .operators.minutes import grounding, sentence_rows
 
     said = utterances(spark, d)
-    return grounding(sentence_rows(said).filter("unit % 3 = 0").select("meeting_id", F.col("text").alias("claim")), said.filter("idx % 2 = 0"))
+    claim = F.when(F.col("unit") % 2 == 0, F.concat("text", F.lit(" zebra budget zebra"))).when(F.col("unit") % 9 == 3, "it is to be").otherwise(F.col("text"))
+    return grounding(sentence_rows(said).filter("unit % 3 = 0").select("meeting_id", claim.alias("claim")), said.filter("idx % 2 = 0"))
 
 
 TAGS = ["FR_ca", " en-US ", "Bilingual", "mixte", "auto", "Automatic", "", "und"]

@@ -60,10 +60,31 @@ def latest(records: DataFrame, key: str = "id", order: str = "updated_at") -> Da
 
 
 def unique_names(files: DataFrame, folder: str, name: str) -> DataFrame:
-    """``files`` with ``unique_name``: a name that a folder has already, in any case, gets ``-1``, ``-2`` and so on before its suffix."""
-    nth = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy(name))
-    stem, suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return files.withColumn("unique_name", F.when(nth == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), (nth - 1).cast("string"), suffix)))
+    """``files`` with ``unique_name``: in order of ``name``, a name that its folder has already, in any case, gets the first of ``-1``, ``-2`` and so on that is free.
+
+    Names that differ in more than such numbers and case cannot meet, so a group is what shares folder, stem and suffix without them.
+    """
+    parts = r"(?s)^(.*?)((?:-\d+)*)(\.[^.]*)?$"
+    root = F.struct(F.lower(F.regexp_extract(name, parts, 1)), F.lower(F.regexp_extract(name, parts, 3)))
+    row, group = "_row", "_root"
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        made, tried = {}, {}
+        for at, wanted in rows.sort_values([name, row])[name].items():
+            base, dot, tail = wanted.rpartition(".")
+            base, tail = (base, dot + tail) if dot else (wanted, "")
+            free, k = wanted, tried.get(wanted.lower(), 1)
+            while free.lower() in taken:
+                free, k = f"{base}-{k}{tail}", k + 1
+            tried[wanted.lower()] = k
+            taken.add(free.lower())
+            made[at] = free
+        return pd.DataFrame({row: rows[row], "unique_name": pd.Series(made)})
+
+    numbered = files.withColumn(row, F.monotonically_increasing_id()).withColumn(group, root)
+    named = numbered.filter(F.col(name).isNotNull()).select(row, folder, name, F.to_json(group).alias(group)).groupBy(folder, group).applyInPandas(solve, f"{row} long, unique_name string")
+    return numbered.drop(group).join(named, row, "left").drop(row)
 
 
 def recipients(address: Column) -> Column:

@@ -44,3 +44,16 @@ def test_sink_helpers(spark):
     assert sorted(map(tuple, newest.collect())) == [("x", 2), ("y", 1)]
     page = corpora.html(spark.createDataFrame([(1, 0, "A<b", "x & y", "T")], "k int, block int, speaker string, text string, title string"), "k", "title").first().document
     assert "<strong>A&lt;b</strong> x &amp; y</p>" in page and "<title>T</title>" in page
+
+
+def test_no_name_is_handed_out_twice(spark):
+    from colloquy.sources.corpora import unique_names
+
+    names = ["a-1.txt", "a.txt", "A.txt", "a.txt", "b", "b", "b-1", ".env", ".env", None]
+    df = spark.createDataFrame([("f", n) for n in names] + [("g", "a.txt")], "folder string, name string")
+    got = [(r.folder, r.name, r.unique_name) for r in unique_names(df, "folder", "name").collect()]
+    assert len(got) == 11
+    for folder in ("f", "g"):
+        given = [u.lower() for f, n, u in got if f == folder and n]
+        assert len(set(given)) == len(given)
+    assert ("g", "a.txt", "a.txt") in got and ("f", None, None) in got and ("f", "a-1.txt", "a-1.txt") in got

@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from colloquy.operators import scoring
 
 
@@ -62,3 +64,24 @@ def test_gates(spark):
     metrics = spark.createDataFrame([("wer", 0.1), ("der", 0.3)], "metric string, value double")
     gates = spark.createDataFrame([("wer", "<=", 0.1), ("der", "<", 0.3), ("jer", ">", 0.0)], "metric string, op string, threshold double")
     assert {r.metric: r.status for r in scoring.evaluate_gates(metrics, gates).collect()} == {"wer": "passed", "der": "failed", "jer": "missing"}
+
+
+def test_word_edits_past_the_surrogates(spark):
+    many = [f"w{k}" for k in range(60_000)]
+    df = spark.createDataFrame([(many[:500], many[:499] + ["x"]), ([], ["a"]), (["a", "b"], ["b"])], "r array<string>, h array<string>")
+    assert [r.e for r in df.select(scoring.word_edits(F.col("r"), F.col("h")).alias("e")).collect()] == [1, 1, 1]
+    wide = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda k: k.cast("string")).alias("r"))
+    point = wide.select(scoring.word_edits(F.slice("r", 1, 10), F.slice("r", 1, 9)).alias("e"), F.length(F.array_join(F.transform("r", lambda w: F.decode(F.unhex(F.lpad(F.hex(w.cast("int") + 0xFF + F.when(w.cast("int") + 0xFF >= 0xD800, 0x800).otherwise(0)), 8, "0")), "UTF-32")), "")).alias("n")).first()
+    assert (point.e, point.n) == (1, 60_000)
+
+
+def test_single_linkage_with_a_ceiling(spark):
+    from colloquy.operators.attribution import merge_like_labels
+
+    at = {"a": (1.0, 0.0), "b": (0.9, 0.1), "c": (0.7, 0.7), "d": (-1.0, 0.2), "z": (0.0, 0.0)}
+    rows = [(1, label, dim, v) for label, xs in at.items() for dim, v in enumerate(xs)]
+    df = spark.createDataFrame(rows, "meeting_id int, label string, dim int, value double")
+    clusters = lambda **how: {r.label: r.cluster for r in merge_like_labels(df, **how).collect()}
+    assert clusters(threshold=0.9) == {"a": "a", "b": "a", "c": "c", "d": "d", "z": "z"}
+    assert clusters(threshold=0.75) == {"a": "a", "b": "a", "c": "a", "d": "d", "z": "z"}  # c is like b alone
+    assert clusters(threshold=0.99, ceiling=2) == {"a": "a", "b": "a", "c": "a", "d": "a", "z": "z"}
