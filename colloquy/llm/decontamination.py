@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .encoding import slices
 
 _SPLIT = r"[^\p{L}\p{N}_]+"
@@ -339,7 +340,12 @@ def contaminated(docs: DataFrame, bench: DataFrame, how: Search = Search(), id_c
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, how: Search = Search(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns. Rows with a null id are searched by text too."""
-    hits = contaminated(docs.withColumn("__key", F.xxhash64(text_col)), bench, how, "__key", text_col, item_col, item_text_col)
-    bad = hits.select(F.col("__key")).distinct()
-    return docs.withColumn("__key", F.xxhash64(text_col)).join(bad, "__key", "left_anti").drop("__key")
+    """The rows of ``docs`` that hold no benchmark item, with all their columns, whatever their names.
+
+    A text is judged whole, however long, and by itself: rows with a null id or a repeated one are searched too, and rows with one text, named by 128 bits of
+    hashes, go or stay together. Null and empty texts stay; without items all rows stay; an empty table gives an empty one.
+    """
+    key = fresh(docs, "_key")
+    name = F.concat(F.hex(F.xxhash64(text_col)), F.lit("-"), F.hex(F.xxhash64(F.lit("text"), text_col)))
+    hits = contaminated(docs.select(name.alias(key), F.col(text_col)), bench, how, key, text_col, item_col, item_text_col)
+    return docs.withColumn(key, name).join(hits.select(key).distinct(), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

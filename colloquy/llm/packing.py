@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, shuffle_parts
+from .common import fresh, save, shuffle_parts
 from .encoding import IdCoder, coder
 
 
@@ -236,7 +236,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
 
 
 def pack(pieces: DataFrame, capacity: int, most_groups: int = 64) -> DataFrame:
-    """``pieces`` (any columns, ``id``, ``piece``, ``length`` among them) with ``sequence_id`` and ``offset``.
+    """``pieces`` (any columns, ``id``, ``piece``, ``length`` among them) with ``sequence_id`` and ``offset``, which get underscores before them if ``pieces`` has them.
+
+    Lengths are from 1 to ``capacity``; ids may be null or repeat; no pieces give none.
 
     Items are ranked within their length, hashed into buckets so that a length that a third of the rows share is spread over
     many tasks; the plan then says where each rank goes. Only the counts of the lengths reach the driver.
@@ -246,32 +248,33 @@ def pack(pieces: DataFrame, capacity: int, most_groups: int = 64) -> DataFrame:
     counts = {r["length"]: r["count"] for r in rows}
     table = spark.sparkContext.broadcast(places(plan_runs(counts, capacity, most_groups), capacity))
     buckets = max(shuffle_parts(spark), sum(counts.values()) // 1_000_000)
-    key = ["length", "bucket"]
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
+    bucket, nth, before, n, sequence_name, offset_name = (fresh(pieces, x) for x in ("bucket", "nth", "before", "n", "sequence_id", "offset"))
+    key = ["length", bucket]
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("id", "piece"))
-    sizes = dealt.groupBy(*key).agg(F.count("*").alias("n"))
-    before = sizes.select(*key, (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    ranked = dealt.withColumn("nth", rank).join(before, key).withColumn("nth", F.col("nth") - 1 + F.col("before")).drop("before", "bucket")
+    sizes = dealt.groupBy(*key).agg(F.count("*").alias(n))
+    begins = sizes.select(*key, (F.sum(n).over(Window.partitionBy("length").orderBy(bucket)) - F.col(n)).alias(before))
+    ranked = dealt.withColumn(nth, rank).join(begins, key).withColumn(nth, F.col(nth) - 1 + F.col(before)).drop(before, bucket)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, nth = np.asarray(b.column("length")), np.asarray(b.column("nth"))
-            sequence, offset = np.zeros(len(nth), dtype=np.int64), np.zeros(len(nth), dtype=np.int64)
+            length, turn = np.asarray(b.column("length")), np.asarray(b.column(nth))
+            sequence, offset = np.zeros(len(turn), dtype=np.int64), np.zeros(len(turn), dtype=np.int64)
             order = np.argsort(length, kind="stable")
             ends = np.nonzero(np.diff(length[order], append=-1))[0] + 1
             for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 k = order[s:e]
                 at = table.value[int(length[k[0]])]
-                row = at[np.searchsorted(at[:, 0], nth[k], side="right") - 1]
-                past = nth[k] - row[:, 0]
+                row = at[np.searchsorted(at[:, 0], turn[k], side="right") - 1]
+                past = turn[k] - row[:, 0]
                 sequence[k] = row[:, 3] + past // row[:, 1]
                 offset[k] = row[:, 2] + past % row[:, 1] * length[k]
-            i = b.schema.get_field_index("nth")
-            cols, names = [c for j, c in enumerate(b.columns) if j != i], [x for x in b.schema.names if x != "nth"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            i = b.schema.get_field_index(nth)
+            cols, names = [c for j, c in enumerate(b.columns) if j != i], [x for x in b.schema.names if x != nth]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], [*names, sequence_name, offset_name])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "nth")
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != nth)
+    return ranked.mapInArrow(place, f"{kinds}, {sequence_name} long, {offset_name} long").select(*[F.col(f"`{c}`") for c in pieces.columns], sequence_name, offset_name)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, most_groups: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
