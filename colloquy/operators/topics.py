@@ -51,18 +51,20 @@ def text_rank(sentences: DataFrame, key: str, damping: float = 0.85, rounds: int
     return sentences.select(key, "idx", "terms").groupBy(key).applyInPandas(solve, f"{key} {kind}, idx {idx}, score double")
 
 
-def block_similarity(tokens: DataFrame, key: str, width: int = 20, block: int = 6) -> DataFrame:
+def block_similarity(tokens: DataFrame, key: str, width: int = 20, block: int = 6, sizes: DataFrame | None = None) -> DataFrame:
     """TextTiling's (key, ``gap, similarity``): the cosine of term counts in the ``block`` pseudo-sentences on either side of a gap.
 
     ``tokens`` has (key, ``pos, term``). A term's count goes to the gaps near its pseudo-sentence, so nothing is
-    collected; a remainder shorter than ``width`` at the end is left out.
+    collected; a remainder shorter than ``width`` at the end is left out. With ``sizes`` (key, ``width, block``) each key has its own, and keys
+    without a row have no gaps.
     """
-    n = tokens.groupBy(key).agg(F.floor(F.count("*") / width).alias("n"))
-    cells = tokens.withColumn("row", F.floor(F.col("pos") / width)).join(n, key).filter(F.col("row") < F.col("n"))
-    counts = cells.groupBy(key, "n", "row", "term").agg(F.count("*").alias("c"))
+    sized = tokens.select(key, "pos", "term", F.lit(width).alias("width"), F.lit(block).alias("block")) if sizes is None else tokens.select(key, "pos", "term").join(sizes.select(key, "width", "block"), key)
+    n = sized.groupBy(key).agg(F.floor(F.count("*") / F.max("width")).alias("n"))
+    cells = sized.withColumn("row", F.floor(F.col("pos") / F.col("width"))).join(n, key).filter(F.col("row") < F.col("n"))
+    counts = cells.groupBy(key, "n", "row", "block", "term").agg(F.count("*").alias("c"))
     # pseudo-sentence r lies left of the gaps r .. r + block - 1 and right of r - block .. r - 1
-    left = counts.select(key, "n", "term", "c", F.lit(0).alias("side"), F.explode(F.sequence("row", F.col("row") + block - 1)).alias("gap"))
-    right = counts.select(key, "n", "term", "c", F.lit(1).alias("side"), F.explode(F.sequence(F.col("row") - block, F.col("row") - 1)).alias("gap"))
+    left = counts.select(key, "n", "term", "c", F.lit(0).alias("side"), F.explode(F.sequence("row", F.col("row") + F.col("block") - 1)).alias("gap"))
+    right = counts.select(key, "n", "term", "c", F.lit(1).alias("side"), F.explode(F.sequence(F.col("row") - F.col("block"), F.col("row") - 1)).alias("gap"))
     near = left.unionByName(right).filter((F.col("gap") >= 0) & (F.col("gap") < F.col("n") - 1))
     sums = near.groupBy(key, "gap", "term").agg(F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).alias("l"), F.sum(F.when(F.col("side") == 1, F.col("c")).otherwise(0)).alias("r"))
     dots = sums.groupBy(key, "gap").agg(F.sum(F.col("l") * F.col("r")).alias("lr"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(F.col("r") * F.col("r")).alias("rr"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import oracles, oracles_errors
+from . import oracles, oracles_errors, oracles_outline
 from .functions import clock, normal, numbers, text
 from .operators import intervals, languages, quality, scoring, topics
 from .plans.inputs import TURNS_SQL, UTTERANCES_SQL, observations, table, turns, utterances
@@ -779,3 +779,40 @@ def time_constrained_cpwer(spark: SparkSession, d: str) -> DataFrame:
     from .operators.timed import time_constrained_wer
 
     return time_constrained_wer(*timed_inputs(spark, d), M).withColumn("tcpwer", F.round("tcpwer", 6))
+
+
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Ten conversations in a row as one meeting, ten minutes apart."""
+    part = F.col("meeting_id") % 10
+    rows = utterances(spark, d)
+    return rows.select(F.floor(F.col("meeting_id") / 10).alias("meeting_id"), (part * 1000 + F.col("idx")).alias("idx"), "speaker", "text", "n_words", (part * 600_000 + F.col("start_ms")).alias("start_ms"), (part * 600_000 + F.col("end_ms")).alias("end_ms"))
+
+
+@query(oracles_outline.TOPIC_SEGMENTS)
+def topic_segments(spark: SparkSession, d: str) -> DataFrame:
+    from .operators import outline
+
+    said = sessions(spark, d)
+    tokens = outline.token_stream(said)
+    found = outline.segment_keywords(outline.segment_topics(said, tokens), said, tokens)
+    return found.withColumn("keywords", F.array_join("keywords", ", "))
+
+
+@query(oracles_outline.SUMMARY)
+def summary_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """At most eight sentences of a session; a sentence scores its number of terms."""
+    from .operators import outline
+    from .operators.minutes import sentence_rows, terms
+
+    said = sessions(spark, d)
+    place = said.select("meeting_id", "idx", (F.row_number().over(Window.partitionBy("meeting_id").orderBy("idx")) - 1).alias("i"))
+    units = sentence_rows(said).join(place, ["meeting_id", "idx"]).withColumn("terms", terms(F.col("text")))
+    ranked = units.select("meeting_id", "unit", "i", "terms", F.size("terms").cast("double").alias("score"), text.word_count(F.col("text")).alias("n_words"), F.endswith("text", F.lit("?")).alias("is_question"), F.lit(False).alias("is_boilerplate"))
+    return outline.summary_sentences(ranked, outline.segment_topics(said, outline.token_stream(said)), limit=8)
+
+
+@query(oracles_outline.CAPTIONS)
+def caption_cues(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.captions import caption_cues as cues
+
+    return cues(utterances(spark, d))
