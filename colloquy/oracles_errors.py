@@ -60,3 +60,26 @@ MEANT = {
 }
 PHRASES = list(MEANT)
 DUE_PHRASES = "SELECT CAST(d AS VARCHAR) AS day, phrase, CAST(CASE phrase " + " ".join("WHEN '" + p.replace("'", "''") + f"' THEN CAST({m} AS DATE)" for p, m in MEANT.items()) + " END AS VARCHAR) AS due FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), (SELECT unnest([" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + "]) AS phrase)"
+
+#: What utterances are said with, so that evidence of every kind and none of it occurs.
+LANGUAGE_CUES = ["Well, I don't think that they'll agree, which is nothing", "Mais nous avons déjà trouvé l'idée, d'accord", "zeta", "C'est gentiment noté", "merci", "They're morning things, qui sont bonnes"]
+
+
+def _count(pattern: str) -> str:
+    return f"len(regexp_extract_all(lower(x), '{pattern.replace(chr(39), chr(39) * 2)}'))"
+
+
+_SCORES = rf"""sc AS (SELECT *, round(len(list_filter(t, lambda w: w IN {FRENCH_ONLY})) + 0.9 * {_count("(?:^|[^a-zà-ÿœ0-9_])(?:l|d|j|n|m|t|s|c|qu)['’][a-zà-öø-ÿ]")} + 0.7 * least({_count('[àâäçéèêëîïôöùûüÿœæ]')}, 4)
+   + 0.4 * len(list_filter(t, lambda w: len(w) > 4 AND regexp_matches(w, '(?:ement|aient|eront|erons|ite)$'))), 9) AS f,
+  round(len(list_filter(t, lambda w: w IN {ENGLISH_ONLY})) + 0.9 * {_count("(?:can|don|won|isn|aren|wasn|weren|didn|doesn|couldn|shouldn|wouldn|haven|hasn|hadn)['’]t|[a-zà-ÿœ0-9_]+['’](?:ll|re|ve|s|d|m)(?:[^a-zà-ÿœ0-9_]|$)")}
+   + 0.25 * least({_count('(?:^|[^a-zà-ÿœ0-9_])th[a-zà-ÿœ0-9_]')}, 6) + 0.4 * len(list_filter(t, lambda w: len(w) > 4 AND regexp_matches(w, '(?:ing|ness)$'))), 9) AS e
+  FROM (SELECT *, regexp_extract_all(strip_accents(lower(x)), '\p{{L}}+') AS t FROM said)),
+ ve AS (SELECT *, (f + e >= 1.5 OR len(t) <= 3 AND (f >= 0.9 AND e = 0 OR e >= 0.9 AND f = 0)) AND abs(f - e) >= 0.6 AND abs(f - e) / greatest(f + e, 1e-9) >= 0.18 AS decided FROM sc),
+ vl AS (SELECT *, CASE WHEN decided THEN CASE WHEN f > e THEN 'fr' ELSE 'en' END END AS language, CASE WHEN decided THEN abs(f - e) / (f + e) ELSE 0 END AS confidence FROM ve)"""
+_CUES = ", ".join("'" + c.replace("'", "''") + "'" for c in LANGUAGE_CUES)
+UTTERANCE_TAGS = rf"""WITH {UTTERANCES_SQL}, said AS (SELECT meeting_id, idx, speaker, trim([{_CUES}][(idx * 7 + meeting_id) % 6 + 1] || CASE WHEN idx % 3 = 0 THEN ' ' || text ELSE '' END) AS x FROM utterances), {_SCORES},
+ mo AS (SELECT meeting_id, arg_min(language, ROW(-c, language)) AS most FROM (SELECT meeting_id, language, count(*) AS c FROM vl WHERE language IS NOT NULL GROUP BY ALL) GROUP BY meeting_id),
+ nr AS (SELECT a.meeting_id, a.idx, arg_min(b.language, ROW(abs(b.idx - a.idx), b.idx < a.idx)) FILTER (b.speaker = a.speaker) AS own, arg_min(b.language, ROW(abs(b.idx - a.idx), b.idx > a.idx)) AS anyone
+   FROM vl a JOIN vl b ON a.meeting_id = b.meeting_id AND b.language IS NOT NULL GROUP BY ALL)
+SELECT vl.meeting_id, vl.idx, language, round(confidence, 6) AS confidence, round(f, 6) AS french, round(e, 6) AS english, coalesce(language, own, anyone, most) AS tag
+FROM vl LEFT JOIN nr USING (meeting_id, idx) LEFT JOIN mo USING (meeting_id)"""

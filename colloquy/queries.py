@@ -816,3 +816,14 @@ def caption_cues(spark: SparkSession, d: str) -> DataFrame:
     from .sources.captions import caption_cues as cues
 
     return cues(utterances(spark, d))
+
+
+@query(oracles_errors.UTTERANCE_TAGS)
+def utterance_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Utterances said with French and English phrases: the evidence, the verdict, and the tag after smoothing."""
+    from .operators.mixed import tag_utterances
+
+    cue = F.element_at(F.array(*map(F.lit, oracles_errors.LANGUAGE_CUES)), ((F.col("idx") * 7 + F.col("meeting_id")) % 6 + 1).cast("int"))
+    said = utterances(spark, d).withColumn("text", F.concat(cue, F.when(F.col("idx") % 3 == 0, F.concat(F.lit(" "), "text")).otherwise("")))
+    rounded = [F.round(F.col(f"verdict.{c}"), 6).alias(c) for c in ("confidence", "french", "english")]
+    return tag_utterances(said).select("meeting_id", "idx", "verdict.language", *rounded, "tag")
