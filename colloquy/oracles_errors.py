@@ -83,3 +83,23 @@ UTTERANCE_TAGS = rf"""WITH {UTTERANCES_SQL}, said AS (SELECT meeting_id, idx, sp
    FROM vl a JOIN vl b ON a.meeting_id = b.meeting_id AND b.language IS NOT NULL GROUP BY ALL)
 SELECT vl.meeting_id, vl.idx, language, round(confidence, 6) AS confidence, round(f, 6) AS french, round(e, 6) AS english, coalesce(language, own, anyone, most) AS tag
 FROM vl LEFT JOIN nr USING (meeting_id, idx) LEFT JOIN mo USING (meeting_id)"""
+
+#: One cue for each way in which an action finds its owner.
+OWNER_CUES = ["@assistant finish the budget report", "I will write the budget report", "Assistant, the numbers look odd", "User will check the release date", "Could you send the figures to the user", "Yes, exactly right.", "Nothing to add here", "Someone said please look at it"]
+
+
+def _follows(passes: str, other: bool) -> str:
+    """The speaker of the first of two units ahead that passes, within 45 s."""
+    out = "NULL"
+    for k in (2, 1):
+        skip = f"WHEN s{k} = speaker THEN {out} " if other else ""
+        out = f"CASE WHEN c{k} IS NULL THEN NULL {skip}WHEN t{k} - end_ms > 45000 THEN NULL WHEN c{k} IN ({passes}) THEN s{k} ELSE {out} END"
+    return out
+
+
+OWNERS = rf"""WITH {UTTERANCES_SQL}, w AS (SELECT meeting_id, list(DISTINCT speaker) AS people FROM utterances GROUP BY meeting_id),
+ x AS (SELECT u.*, people, idx % 8 AS c, {', '.join(f"lead(idx % 8, {k}) OVER o AS c{k}, lead(speaker, {k}) OVER o AS s{k}, lead(start_ms, {k}) OVER o AS t{k}" for k in (1, 2))} FROM utterances u JOIN w USING (meeting_id) WINDOW o AS (PARTITION BY u.meeting_id ORDER BY idx)),
+ r AS (SELECT *, list_contains(people, 'assistant') AS a, list_contains(people, 'user') AS b, CASE WHEN len(people) = 2 THEN list_filter(people, lambda p: p <> speaker)[1] END AS sole, {_follows('1, 5', True)} AS reply, {_follows('1', False)} AS committed FROM x),
+ o AS (SELECT *, CASE WHEN c = 0 AND a THEN 'mention' WHEN c = 1 THEN 'first_person' WHEN c = 2 AND a AND speaker <> 'assistant' THEN 'vocative' WHEN c = 3 AND b THEN 'third_person' WHEN c = 4 AND b AND speaker <> 'user' THEN 'named'
+   WHEN c IN (4, 7) AND sole IS NOT NULL THEN 'sole_counterpart' WHEN c IN (4, 7) AND reply IS NOT NULL THEN 'reply' WHEN committed IS NOT NULL THEN 'commitment' ELSE 'unassigned' END AS owner_source FROM r)
+SELECT meeting_id, idx AS unit, owner_source, CASE owner_source WHEN 'mention' THEN 'assistant' WHEN 'first_person' THEN speaker WHEN 'vocative' THEN 'assistant' WHEN 'third_person' THEN 'user' WHEN 'named' THEN 'user' WHEN 'sole_counterpart' THEN sole WHEN 'reply' THEN reply WHEN 'commitment' THEN committed END AS owner FROM o"""

@@ -827,3 +827,47 @@ def utterance_tags(spark: SparkSession, d: str) -> DataFrame:
     said = utterances(spark, d).withColumn("text", F.concat(cue, F.when(F.col("idx") % 3 == 0, F.concat(F.lit(" "), "text")).otherwise("")))
     rounded = [F.round(F.col(f"verdict.{c}"), 6).alias(c) for c in ("confidence", "french", "english")]
     return tag_utterances(said).select("meeting_id", "idx", "verdict.language", *rounded, "tag")
+
+
+def _tasks(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.owners import attribute_owner
+
+    cue = F.element_at(F.array(*map(F.lit, oracles_errors.OWNER_CUES)), (F.col("idx") % 8 + 1).cast("int"))
+    said = utterances(spark, d).select("meeting_id", F.col("idx").alias("unit"), "speaker", "start_ms", "end_ms", cue.alias("text"))
+    return attribute_owner(said, said.select("meeting_id", F.col("unit").alias("pos"), F.col("speaker").alias("name")))
+
+
+@query(oracles_errors.OWNERS)
+def action_owners(spark: SparkSession, d: str) -> DataFrame:
+    return _tasks(spark, d).select("meeting_id", "unit", "owner_source", "owner")
+
+
+@query()
+def paired_actions(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.owners import pair_acceptances
+
+    paired = pair_acceptances(_tasks(spark, d).filter("owner is not null"))
+    return paired.withColumn("support", F.array_join(F.transform("support", lambda u: u.cast("string")), ","))
+
+
+@query()
+def merged_items(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of a meeting as items, each second speaker's as its own kind, merged with those that say the same."""
+    from .operators.merging import merge_similar
+    from .operators.minutes import sentence_rows
+
+    units = sentence_rows(utterances(spark, d)).withColumn("kind", F.when(F.col("speaker") == "user", "decision").otherwise("action"))
+    items = units.select("meeting_id", "kind", F.col("unit").alias("pos"), "text", F.when(F.col("unit") % 2 == 1, F.col("speaker")).alias("owner"), F.lit(None).cast("date").alias("due"), "unit")
+    merged = merge_similar(items, ["meeting_id", "kind"], threshold=0.3)
+    return merged.withColumn("units", F.array_join(F.transform("units", lambda u: u.cast("string")), ",")).drop("due")
+
+
+@query()
+def word_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """Utterances cut where their words' speakers change, by turns with shifted times and swapped labels."""
+    from .operators.timed import timed_tokens
+    from .operators.wordlevel import rebuilt_utterances, word_labels
+
+    said = utterances(spark, d).withColumn("tokens", text.words(F.col("text")))
+    words = timed_tokens(said, M).withColumn("start_ms", F.col("start_ms").cast("long")).withColumn("end_ms", F.col("end_ms").cast("long"))
+    return rebuilt_utterances(word_labels(words, turns(spark, d)))
