@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators.outline import ENGLISH_SUFFIXES
-from .oracles import content_sql, sentences_sql, terms_sql
+from .oracles import content_sql, folded_tokens_sql, sentences_sql, terms_sql
 from .plans.inputs import UTTERANCES_SQL
 
 #: Ten conversations in a row as one meeting, ten minutes apart.
@@ -66,3 +66,30 @@ CAPTIONS = rf"""WITH RECURSIVE {UTTERANCES_SQL}, w AS (SELECT meeting_id, idx, s
    UNION ALL SELECT meeting_id, cue, s, CASE WHEN following IS NULL THEN e ELSE least(e, greatest(following, s + 1000)) END, speaker, text FROM (
      SELECT meeting_id, cue, s, least(greatest(e, s + 1000), s + 7000) AS e, following, speaker, text FROM (SELECT o.meeting_id, o.cue, greatest(o.s, q.e) AS s, o.e, o.following, o.speaker, o.text FROM q JOIN o ON o.meeting_id = q.meeting_id AND o.cue = q.cue + 1)))
 SELECT meeting_id, CAST(cue AS INTEGER) AS cue, speaker, CAST(round(s) AS BIGINT) AS start_ms, CAST(round(e) AS BIGINT) AS end_ms, text FROM q WHERE cue > 0"""
+
+
+def _stems(column: str) -> str:
+    return f"list_transform({content_sql(column)}, lambda w: {_STEM})"
+
+
+_NUMBER = "[0-9]+(?:[.,][0-9]+)*"
+_PLAIN = "CASE WHEN ltrim(translate(x, '.,', ''), '0') = '' THEN '0' ELSE ltrim(translate(x, '.,', ''), '0') END"
+_RUNS = r"regexp_extract_all(text, '[A-ZÀ-ÖØ-Þ][\p{L}\p{N}_’''-]*(?:\s+[A-ZÀ-ÖØ-Þ][\p{L}\p{N}_’''-]*)*')"
+#: Claims against every utterance of their meeting, pair by pair.
+VERIFIED = rf"""WITH {UTTERANCES_SQL}, {sentences_sql('utterances')},
+ cl AS (SELECT meeting_id, unit AS claim, CASE unit % 4 WHEN 1 THEN text || ' for 1,0' || unit || ' in Paris Nord' WHEN 2 THEN text || ' zebra quagga okapi gnu antelope ' || text[1:20] WHEN 3 THEN replace(text, 'tion', 'tionn') ELSE text END AS text,
+   CASE WHEN unit % 7 = 0 THEN NULL WHEN unit % 5 = 0 THEN start_ms + 100000 ELSE start_ms END AS f, CASE WHEN unit % 7 = 0 THEN NULL WHEN unit % 5 = 0 THEN end_ms + 100000 ELSE end_ms END AS t FROM units WHERE unit % 3 = 0),
+ ct AS (SELECT meeting_id, claim, f, t, unnest(s) AS term, generate_subscripts(s, 1) AS nth FROM (SELECT *, {_stems('text')} AS s FROM cl)),
+ ut AS (SELECT DISTINCT meeting_id, idx, start_ms, end_ms, unnest(s) AS said FROM (SELECT *, {_stems('text')} AS s FROM utterances)),
+ li AS (SELECT DISTINCT a.meeting_id, a.term, b.said FROM (SELECT DISTINCT meeting_id, term FROM ct) a JOIN (SELECT DISTINCT meeting_id, said FROM ut) b ON a.meeting_id = b.meeting_id AND (a.term = b.said OR 1 - levenshtein(a.term, b.said) / greatest(len(a.term), len(b.said)) >= 0.86 - 1e-9)),
+ hi AS (SELECT ct.meeting_id, claim, nth, bool_or(f IS NULL OR start_ms < t + 20000 AND end_ms > greatest(f - 20000, 0) OR start_ms >= greatest(f - 20000, 0) AND start_ms < t + 20000) AS near FROM ct JOIN li USING (meeting_id, term) JOIN ut USING (meeting_id, said) GROUP BY ALL),
+ sc AS (SELECT ct.meeting_id, claim, count(*) AS n, count(*) FILTER (near) AS near, count(near) AS known, string_agg(term, ',' ORDER BY nth) FILTER (near IS NOT TRUE) AS missing FROM ct LEFT JOIN hi USING (meeting_id, claim, nth) GROUP BY ALL),
+ un AS (SELECT DISTINCT meeting_id, {_PLAIN} AS number FROM (SELECT meeting_id, unnest(regexp_extract_all(text, '{_NUMBER}')) AS x FROM utterances)),
+ bn AS (SELECT meeting_id, claim, string_agg(x, ',' ORDER BY x) AS bad_numbers FROM (SELECT meeting_id, claim, x, {_PLAIN} AS number FROM (SELECT meeting_id, claim, unnest(regexp_extract_all(text, '{_NUMBER}')) AS x FROM cl)) ANTI JOIN un USING (meeting_id, number) GROUP BY ALL),
+ uw AS (SELECT DISTINCT meeting_id, unnest({folded_tokens_sql("text || ' ' || speaker")}) AS word FROM utterances),
+ ru AS (SELECT meeting_id, claim, unnest(rs) AS run, generate_subscripts(rs, 1) AS k FROM (SELECT meeting_id, claim, CASE WHEN regexp_matches(text, '^[A-ZÀ-ÖØ-Þ]') AND NOT contains({_RUNS}[1], ' ') THEN {_RUNS}[2:] ELSE {_RUNS} END AS rs FROM cl)),
+ bm AS (SELECT meeting_id, claim, string_agg(run, ',' ORDER BY run) AS bad_names FROM (SELECT DISTINCT meeting_id, claim, k, run FROM (SELECT *, unnest({folded_tokens_sql('run')}) AS word FROM ru) ANTI JOIN uw USING (meeting_id, word)) GROUP BY ALL),
+ al AS (SELECT cl.meeting_id, cl.claim, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN near / n ELSE 1 END AS cited, CASE WHEN n > 0 THEN known / n ELSE 1 END AS overall, coalesce(missing, '') AS missing, coalesce(bad_numbers, '') AS bad_numbers, coalesce(bad_names, '') AS bad_names
+   FROM cl LEFT JOIN sc USING (meeting_id, claim) LEFT JOIN bn USING (meeting_id, claim) LEFT JOIN bm USING (meeting_id, claim))
+SELECT meeting_id, claim, CASE WHEN n < 2 THEN CASE WHEN overall >= 0.5 THEN 'supported' ELSE 'weak' END WHEN overall < 0.5 THEN 'unsupported' WHEN cited < 0.6 OR bad_numbers <> '' THEN 'weak' ELSE 'supported' END AS verdict,
+  round(cited, 6) AS cited_support, round(overall, 6) AS overall_support, missing, bad_numbers, bad_names FROM al"""

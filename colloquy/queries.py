@@ -871,3 +871,19 @@ def word_speakers(spark: SparkSession, d: str) -> DataFrame:
     said = utterances(spark, d).withColumn("tokens", text.words(F.col("text")))
     words = timed_tokens(said, M).withColumn("start_ms", F.col("start_ms").cast("long")).withColumn("end_ms", F.col("end_ms").cast("long"))
     return rebuilt_utterances(word_labels(words, turns(spark, d)))
+
+
+@query(oracles_outline.VERIFIED)
+def verified_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Every third sentence as a claim: as it was said, with a number and names nobody said, with foreign terms, or misspelled; cited where it was said, elsewhere or nowhere."""
+    from .operators.minutes import sentence_rows
+    from .operators.verification import verify_claims
+
+    said = utterances(spark, d)
+    unit = F.col("unit")
+    wrong = F.when(unit % 4 == 1, F.concat("text", F.lit(" for 1,0"), unit.cast("string"), F.lit(" in Paris Nord"))).when(unit % 4 == 2, F.concat("text", F.lit(" zebra quagga okapi gnu antelope "), F.left("text", F.lit(20))))
+    claim = wrong.when(unit % 4 == 3, F.replace("text", F.lit("tion"), F.lit("tionn"))).otherwise(F.col("text"))
+    at = lambda c: F.when(unit % 7 == 0, None).when(unit % 5 == 0, F.col(c) + 100_000).otherwise(F.col(c))
+    claims = sentence_rows(said).filter("unit % 3 = 0").select("meeting_id", unit.alias("claim"), claim.alias("text"), at("start_ms").alias("cited_from"), at("end_ms").alias("cited_to"))
+    found = verify_claims(claims, said)
+    return found.select("meeting_id", "claim", "verdict", F.round("cited_support", 6).alias("cited_support"), F.round("overall_support", 6).alias("overall_support"), *[F.array_join(c, ",").alias(c) for c in ("missing", "bad_numbers", "bad_names")])
