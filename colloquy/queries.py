@@ -887,3 +887,23 @@ def verified_claims(spark: SparkSession, d: str) -> DataFrame:
     claims = sentence_rows(said).filter("unit % 3 = 0").select("meeting_id", unit.alias("claim"), claim.alias("text"), at("start_ms").alias("cited_from"), at("end_ms").alias("cited_to"))
     found = verify_claims(claims, said)
     return found.select("meeting_id", "claim", "verdict", F.round("cited_support", 6).alias("cited_support"), F.round("overall_support", 6).alias("overall_support"), *[F.array_join(c, ",").alias(c) for c in ("missing", "bad_numbers", "bad_names")])
+
+
+@query()
+def speaker_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Meetings of users whose events are rosters, source mappings and speaking signals, by the event's type and number."""
+    from .streaming.reducer import SIGNALS, Timeline
+    from .streaming.reducer import speaker_timeline as reduce
+
+    n = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ["roster", "csrc", "dominant", "dom", "csrc", "mapping", "dom", "csrc"])), (n % 8 + 1).cast("int"))
+    rows = table(spark, d, "events").select((F.col("user_id") % 100).alias("meeting_id"), n.alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), kind.alias("kind"), "event_type", "user_id")
+    person = F.struct(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("name"), F.array((F.col("user_id") % 7).cast("int")).alias("sources"))
+    events = rows.select(
+        "meeting_id", "seq", "at_ms", "kind", F.when(F.col("kind").isin(SIGNALS[:2]), F.array((F.col("seq") % 7).cast("int"))).otherwise(F.array().cast("array<int>")).alias("sources"),
+        F.when(F.col("kind") == "dom", F.array(F.concat(F.lit("user "), F.col("user_id").cast("string")))).otherwise(F.array().cast("array<string>")).alias("names"),
+        F.when(F.col("kind").isin("roster", "mapping"), F.array(person)).otherwise(F.array().cast("array<struct<id:string,name:string,sources:array<int>>>")).alias("people"),
+    )
+    spans = events.groupBy("meeting_id").agg(F.min("at_ms").alias("origin_ms"), (F.max("at_ms") + 1000).alias("finish_ms"))
+    found = reduce(events, spans, how=Timeline(lag_ms=300.0, contest_ms=500.0))
+    return found.withColumn("candidates", F.array_join("candidates", ","))
