@@ -61,6 +61,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
     left[:] = [p for p in left if p not in paths]
 
 
+def scratch_tables(spark: SparkSession) -> tuple[str, ...]:
+    """Paths of the scratch tables of this application that are still there."""
+    return tuple(_saved.get(spark.sparkContext.applicationId, []))
+
+
 def sweep(spark: SparkSession, *keep: str) -> None:
     """Delete the scratch tables of this application but ``keep``: for callers that have written the results which read them."""
     remove(spark, *[p for p in _saved.get(spark.sparkContext.applicationId, []) if p not in keep])
