@@ -53,14 +53,6 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
-def sound_key(text: Column) -> Column:
-    """A rough spelling of how a name sounds: folded, doubled letters single, common digraphs merged, silent h dropped."""
-    x = F.regexp_replace(fold(text), "[^a-z]", "")
-    for pattern, to in (("ph", "f"), ("qu", "k"), ("ck|q|c(?=[aou]|$)", "k"), ("[sz]|c(?=[eiy])", "s"), ("h", ""), ("y", "i"), (r"(.)\1+", "$1")):
-        x = F.regexp_replace(x, pattern, to)
-    return x
-
-
 def initials(name: Column) -> Column:
     """First letters of the first two parts of a name, a hyphen counting as a space, in capitals; ``?`` without any."""
     parts = F.slice(words(F.translate(name, "-", " ")), 1, 2)
