@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import oracles, oracles_errors, oracles_outline
+from . import oracles, oracles_errors, oracles_outline, oracles_words
 from .functions import clock, normal, numbers, text
 from .operators import intervals, languages, quality, scoring, topics
 from .plans.inputs import TURNS_SQL, UTTERANCES_SQL, observations, table, turns, utterances
@@ -907,3 +907,33 @@ def speaker_timeline(spark: SparkSession, d: str) -> DataFrame:
     spans = events.groupBy("meeting_id").agg(F.min("at_ms").alias("origin_ms"), (F.max("at_ms") + 1000).alias("finish_ms"))
     found = reduce(events, spans, how=Timeline(lag_ms=300.0, contest_ms=500.0))
     return found.withColumn("candidates", F.array_join("candidates", ","))
+
+
+@query(oracles_words.SOUND_KEYS)
+def sound_keys(spark: SparkSession, d: str) -> DataFrame:
+    from .functions.phonetics import sound_key
+
+    return table(spark, d, "benchmark").select("item_id", sound_key(F.col("text")).alias("english"), sound_key(F.col("text"), french=True).alias("french"))
+
+
+def misheard(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Utterances with words, some of them misspelled after a meeting's first utterance, and a vocabulary of words and pairs of words from that one."""
+    said = utterances(spark, d).withColumn("w", text.words(F.col("text")))
+    idx = F.col("idx")
+    wrong = lambda w: F.replace(F.replace(F.replace(w, F.lit("f"), F.lit("ph")), F.lit("on"), F.lit("onn")), F.lit("i"), F.lit("y"))
+    one = F.transform("w", lambda w, k: F.struct(F.when((idx > 0) & ((k + idx) % 4 == 1), wrong(w)).otherwise(w).alias("text"), F.when((k * 7 + idx) % 11 == 0, 1.0).otherwise(0.5).alias("confidence")))
+    spoken = said.select("meeting_id", "idx", F.element_at(F.array(F.lit("en"), F.lit("fr-FR"), F.lit("mixed")), (idx % 3 + 1).cast("int")).alias("language"), one.alias("words"))
+    each = said.filter("idx = 0").select("meeting_id", F.col("w").alias("_w"), F.posexplode("w").alias("pos", "word"))
+    single = each.filter((F.col("pos") % 3 == 0) & (F.length("word") >= 4)).select("meeting_id", "pos", F.concat(F.lit(" "), "word").alias("phrase"))
+    pair = each.filter((F.col("pos") % 5 == 1) & (F.col("pos") < F.size("_w") - 1)).select("meeting_id", "pos", F.concat_ws(" ", "word", F.get("_w", F.col("pos") + 1)).alias("phrase"))
+    return spoken, single.unionByName(pair)
+
+
+@query(oracles_words.BIASED)
+def biased_words(spark: SparkSession, d: str) -> DataFrame:
+    """Misspelled words put right by each meeting's vocabulary."""
+    from .operators.biasing import apply_vocabulary
+
+    found = apply_vocabulary(*misheard(spark, d)).filter(F.size("words") > 0)
+    told = F.transform("replaced", lambda r: F.concat(r["first"].cast("string"), F.lit(" "), r.heard, F.lit(">"), r.written))
+    return found.select("meeting_id", "idx", "text", F.array_join(told, ";").alias("replaced"))
