@@ -123,11 +123,12 @@ def align_words(reference: list[str], hypothesis: list[str]) -> list[tuple[str,
     return [(EQUAL, k, k) for k in range(head)] + [(op, shift(i), shift(j)) for op, i, j in inner] + [(EQUAL, len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
-def word_diarization_errors(reference: DataFrame, hypothesis: DataFrame, key: str) -> DataFrame:
+def word_diarization_errors(reference: DataFrame, hypothesis: DataFrame, key: str | list[str]) -> DataFrame:
     """(key, ``wrong, aligned, wder``): equal aligned words whose speakers are not paired, speakers being paired for the most equal words.
 
     Both sides have ``idx, speaker, tokens``; 0 of no words is 0. One meeting is one group.
     """
+    keys = [key] if isinstance(key, str) else key
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         said = [[(w, row.speaker) for row in group[group["side"] == n].sort_values("idx").itertuples() for w in row.tokens] for n in (0, 1)]
@@ -137,10 +138,11 @@ def word_diarization_errors(reference: DataFrame, hypothesis: DataFrame, key: st
         for i, j in places:
             agree[rows[said[0][i][1]], columns[said[1][j][1]]] += 1
         right = sum(agree[r, c] for r, c in assignment(-agree))
-        return pd.DataFrame([[group[key].iloc[0], len(places) - int(right), len(places)]], columns=[key, "wrong", "aligned"])
+        return pd.DataFrame([[*group[keys].iloc[0], len(places) - int(right), len(places)]], columns=[*keys, "wrong", "aligned"])
 
-    side = lambda df, n: df.select(key, F.lit(n).alias("side"), "speaker", "idx", "tokens")
-    found = side(reference, 0).unionByName(side(hypothesis, 1)).groupBy(key).applyInPandas(solve, f"{key} {reference.schema[key].dataType.simpleString()}, wrong long, aligned long")
+    kinds = ", ".join(f"{k} {reference.schema[k].dataType.simpleString()}" for k in keys)
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("side"), "speaker", "idx", "tokens")
+    found = side(reference, 0).unionByName(side(hypothesis, 1)).groupBy(*keys).applyInPandas(solve, f"{kinds}, wrong long, aligned long")
     return found.withColumn("wder", F.when(F.col("aligned") > 0, F.col("wrong") / F.col("aligned")).otherwise(0.0))
 
 
@@ -255,9 +257,12 @@ def align_pairs(pairs: DataFrame, reference: str, hypothesis: str, keep: list[st
     return pairs.select(*keep, reference, hypothesis).mapInPandas(run, f"{kinds}, substitutions long, deletions long, insertions long, hits long")
 
 
+def gate_status(value: Column, op: Column, threshold: Column) -> Column:
+    """passed, failed, or missing for a null value."""
+    holds = F.when(op == "<=", value <= threshold).when(op == "<", value < threshold).when(op == ">=", value >= threshold).when(op == ">", value > threshold).when(op == "==", value == threshold)
+    return F.when(value.isNull(), "missing").when(holds, "passed").otherwise("failed")
+
+
 def evaluate_gates(metrics: DataFrame, gates: DataFrame) -> DataFrame:
     """Each gate (``metric, op, threshold``) with the metric's ``value`` and ``status``: passed, failed or missing."""
-    v, t = F.col("value"), F.col("threshold")
-    holds = F.when(F.col("op") == "<=", v <= t).when(F.col("op") == "<", v < t).when(F.col("op") == ">=", v >= t).when(F.col("op") == ">", v > t).when(F.col("op") == "==", v == t)
-    status = F.when(v.isNull(), "missing").when(holds, "passed").otherwise("failed")
-    return gates.join(metrics, "metric", "left").withColumn("status", status)
+    return gates.join(metrics, "metric", "left").withColumn("status", gate_status(F.col("value"), F.col("op"), F.col("threshold")))

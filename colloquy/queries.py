@@ -937,3 +937,61 @@ def biased_words(spark: SparkSession, d: str) -> DataFrame:
     found = apply_vocabulary(*misheard(spark, d)).filter(F.size("words") > 0)
     told = F.transform("replaced", lambda r: F.concat(r["first"].cast("string"), F.lit(" "), r.heard, F.lit(">"), r.written))
     return found.select("meeting_id", "idx", "text", F.array_join(told, ";").alias("replaced"))
+
+
+def systems(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Utterances, and two systems: one as in ``timed_inputs``, one that loses every fifth word and knows one speaker alone."""
+    said, heard = timed_inputs(spark, d)
+    rough = said.select("meeting_id", "idx", F.lit("all").alias("speaker"), "start_ms", "end_ms", F.filter("tokens", lambda w, i: i % 5 != 4).alias("tokens"))
+    return said, heard.withColumn("system", F.lit("careful")).unionByName(rough.withColumn("system", F.lit("rough")))
+
+
+@query()
+def system_comparison(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.comparison import compare_systems
+
+    return compare_systems(*systems(spark, d)).withColumns({c: F.round(c, 6) for c in ("wer", "cpwer", "tcpwer", "wder")})
+
+
+@query()
+def quiet_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """What two systems make of each speaker, by real alignments, summed by speaking time."""
+    from .operators.comparison import for_each_system, speaker_outcomes
+    from .operators.profiles import errors_by_speaking_time as by_time
+
+    said, heard = systems(spark, d)
+    found = speaker_outcomes(for_each_system(said, heard, "meeting_id"), heard, ["meeting_id", "system"])
+    each = [by_time(found.filter(F.col("system") == name)).withColumn("system", F.lit(name)) for name in ("careful", "rough")]
+    return each[0].unionByName(each[1])
+
+
+@query()
+def comparison_reports(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.comparison import compare_systems, comparison_markdown, for_each_system, speaker_outcomes
+
+    said, heard = systems(spark, d)
+    outcomes = speaker_outcomes(for_each_system(said, heard, "meeting_id"), heard, ["meeting_id", "system"])
+    return comparison_markdown(compare_systems(said, heard), outcomes)
+
+
+@query(r"""WITH p AS (SELECT source, lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n, length(coalesce(text, '')) AS c FROM documents),
+ o AS (SELECT source AS subject, CASE WHEN source LIKE 'w%' THEN 'read' ELSE 'meeting' END AS kind, lang AS language, unnest(['mean_words', 'characters_a_word']) AS metric, unnest([round(avg(n), 6), round(sum(c) / greatest(sum(n), 1), 6)]) AS value
+   FROM p WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang),
+ g(kind, language, tier, metric, op, threshold) AS (VALUES ('read', 'en', 'must_pass', 'mean_words', '>=', 100.0), ('read', 'all', 'target', 'characters_a_word', '<', 6.0), ('meeting', 'en', 'must_pass', 'mean_words', '>', 150.0),
+   ('meeting', 'fr', 'must_pass', 'mean_words', '<=', 120.0), ('meeting', 'all', 'target', 'characters_a_word', '<=', 5.5)),
+ j AS (SELECT o.*, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.kind = o.kind AND g.language = o.language) THEN o.language ELSE 'fr' END AS judged FROM o)
+ SELECT subject, j.kind, j.language, tier, j.metric, value, op, CAST(threshold AS DOUBLE) AS threshold,
+   CASE WHEN CASE op WHEN '<=' THEN value <= threshold WHEN '<' THEN value < threshold WHEN '>=' THEN value >= threshold ELSE value > threshold END THEN 'passed' ELSE 'failed' END AS status
+ FROM j JOIN g ON g.kind = j.kind AND g.metric = j.metric AND g.language IN (j.judged, 'all')""")
+def corpus_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of every source and language against the gates of its kind, in French where a language has none."""
+    from .operators.comparison import gate_verdicts
+
+    said = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "documents").filter("source is not null and lang is not null").select("source", "lang", text.word_count(said).alias("n"), F.length(said).alias("c"))
+    sums = rows.groupBy("source", "lang").agg(F.avg("n").alias("mean"), (F.sum("c") / F.greatest(F.sum("n"), F.lit(1))).alias("long"))
+    kind = F.when(F.col("source").startswith("w"), "read").otherwise("meeting")
+    measures = F.array(F.struct(F.lit("mean_words").alias("metric"), F.round("mean", 6).alias("value")), F.struct(F.lit("characters_a_word").alias("metric"), F.round("long", 6).alias("value")))
+    seen = sums.select(F.col("source").alias("subject"), kind.alias("kind"), F.col("lang").alias("language"), F.inline(measures))
+    gates = [("read", "en", "must_pass", "mean_words", ">=", 100.0), ("read", "all", "target", "characters_a_word", "<", 6.0), ("meeting", "en", "must_pass", "mean_words", ">", 150.0), ("meeting", "fr", "must_pass", "mean_words", "<=", 120.0), ("meeting", "all", "target", "characters_a_word", "<=", 5.5)]
+    return gate_verdicts(seen, spark.createDataFrame(gates, "kind string, language string, tier string, metric string, op string, threshold double"), "fr")
