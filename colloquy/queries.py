@@ -995,3 +995,26 @@ def corpus_gates(spark: SparkSession, d: str) -> DataFrame:
     seen = sums.select(F.col("source").alias("subject"), kind.alias("kind"), F.col("lang").alias("language"), F.inline(measures))
     gates = [("read", "en", "must_pass", "mean_words", ">=", 100.0), ("read", "all", "target", "characters_a_word", "<", 6.0), ("meeting", "en", "must_pass", "mean_words", ">", 150.0), ("meeting", "fr", "must_pass", "mean_words", "<=", 120.0), ("meeting", "all", "target", "characters_a_word", "<=", 5.5)]
     return gate_verdicts(seen, spark.createDataFrame(gates, "kind string, language string, tier string, metric string, op string, threshold double"), "fr")
+
+
+JOB_STATES = ["pending", "joining", "capturing", "transcribing", "summarizing", "delivering", "completed", "failed", "cancelled"]
+
+
+@query(f"""WITH r AS (SELECT CAST(user_id % 500 AS VARCHAR) AS identifier, {JOB_STATES}[event_id % 9 + 1] AS state, ts, CASE WHEN user_id % 3 > 0 THEN concat('meet/', user_id % 500) END AS join_url, event_id FROM events WHERE user_id IS NOT NULL),
+ l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY identifier ORDER BY ts DESC, state DESC, join_url DESC) = 1),
+ k AS (SELECT identifier, arg_max(path, struct_pack(b := bytes, p := path)) AS kept FROM (SELECT CAST(user_id % 500 AS VARCHAR) AS identifier, concat('rec/', event_id) AS path, event_id % 1200 AS bytes FROM events WHERE event_type = 'purchase') WHERE bytes > 1024 GROUP BY identifier),
+ a AS (SELECT l.*, kept, join_url IS NULL OR kept IS NOT NULL OR state = 'pending' AS again FROM l LEFT JOIN k USING (identifier) WHERE state NOT IN ('completed', 'failed', 'cancelled'))
+ SELECT identifier, CASE WHEN again THEN 'resumed' ELSE 'abandoned' END AS outcome, CASE WHEN again THEN 'pending' ELSE 'failed' END AS state, CASE WHEN join_url IS NOT NULL THEN kept END AS audio_path,
+   CASE WHEN kept IS NULL THEN join_url END AS join_url, NOT again AS has_error FROM a""")
+def recovered_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events as records of jobs, purchases as recordings; what a restart does with jobs under way."""
+    from .streaming.jobs import latest_records, recovered
+
+    rows = table(spark, d, "events").filter("user_id is not null")
+    name, n = (F.col("user_id") % 500).cast("string"), F.col("event_id")
+    state = F.element_at(F.array(*map(F.lit, JOB_STATES)), (n % 9 + 1).cast("int"))
+    url = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("meet/"), name))
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    records = rows.select(name.alias("identifier"), state.alias("state"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), null("error"), url.alias("join_url"), null("audio_path"))
+    recordings = rows.filter("event_type = 'purchase'").select(name.alias("identifier"), F.concat(F.lit("rec/"), n.cast("string")).alias("path"), (n % 1200).alias("bytes"))
+    return recovered(latest_records(records), recordings).select("identifier", "outcome", "state", "audio_path", "join_url", F.col("error").isNotNull().alias("has_error"))
