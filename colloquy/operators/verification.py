@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.phonetics import sound_keys
 from ..functions.text import edit_similarity, folded_tokens
 from .minutes import content
 from .outline import lexical_stem
@@ -18,7 +19,7 @@ CAPITALISED = r"[A-ZÀ-ÖØ-Þ][\p{L}\p{N}_’'-]*(?:\s+[A-ZÀ-ÖØ-Þ][\p{L}\p{
 
 @dataclass(frozen=True)
 class Support:
-    """``cited`` and ``overall`` shares of a claim's terms, the padding of a citation, how alike two spellings of a term are, and how few terms are too few to judge."""
+    """``cited`` and ``overall`` shares of a claim's terms, the padding of a citation, how alike the sound keys of two terms are, and how few terms are too few to judge."""
 
     cited: float = 0.6
     overall: float = 0.5
@@ -42,15 +43,17 @@ def spoken_terms(utterances: DataFrame, key: str, language: str) -> DataFrame:
     return utterances.select(key, "start_ms", "end_ms", F.explode(F.array_distinct(stems(F.col("text"), language))).alias("said"))
 
 
-def like_terms(wanted: DataFrame, index: DataFrame, key: str, alike: float) -> DataFrame:
-    """(key, ``term, said``): terms of claims and terms of the meeting that are equal or spelled alike. Only terms of near lengths meet."""
-    a = wanted.select(key, "term").distinct().withColumn("_n", F.length("term"))
+def like_terms(wanted: DataFrame, index: DataFrame, key: str, alike: float, language: str) -> DataFrame:
+    """(key, ``term, said``): terms of claims and terms of the meeting that are equal or sound alike. Only terms whose sound keys are of near lengths meet."""
+    sounds = lambda df, name, as_: df.select(key, name).distinct().select(key, name, F.explode(sound_keys(F.col(name), F.lit(language))).alias(as_))
+    a = sounds(wanted, "term", "_a").withColumn("_n", F.length("_a"))
     reach = F.floor(F.col("_n") / F.lit(alike) - F.col("_n") + 1e-9).cast("int")
     shorter = (F.col("_n") - F.ceil(F.col("_n") * F.lit(alike) - 1e-9)).cast("int")
-    spread = a.select(key, "term", F.explode(F.sequence(F.col("_n") - shorter, F.col("_n") + reach)).alias("_m"))
-    b = index.select(key, "said").distinct().withColumn("_m", F.length("said"))
-    near = (F.col("term") == F.col("said")) | (edit_similarity(F.col("term"), F.col("said")) >= alike - 1e-9)
-    return spread.join(b, [key, "_m"]).filter(near).select(key, "term", "said")
+    spread = a.select(key, "term", "_a", F.explode(F.sequence(F.col("_n") - shorter, F.col("_n") + reach)).alias("_m"))
+    b = sounds(index, "said", "_b").withColumn("_m", F.length("_b"))
+    near = spread.join(b, [key, "_m"]).filter(edit_similarity(F.col("_a"), F.col("_b")) >= alike - 1e-9).select(key, "term", "said")
+    same = wanted.select(key, "term").distinct().join(index.select(key, F.col("said").alias("term")).distinct(), [key, "term"]).select(key, "term", F.col("term").alias("said"))
+    return near.unionByName(same).distinct()
 
 
 def verify_claims(claims: DataFrame, utterances: DataFrame, key: str = "meeting_id", language: str = "en", vocabulary: DataFrame | None = None, how: Support = Support()) -> DataFrame:
@@ -63,7 +66,7 @@ def verify_claims(claims: DataFrame, utterances: DataFrame, key: str = "meeting_
     """
     numbered = claims.select(key, "claim", "cited_from", "cited_to", F.posexplode_outer(stems(F.col("text"), language)).alias("nth", "term"))
     index = spoken_terms(utterances, key, language)
-    like = like_terms(numbered.filter(F.col("term").isNotNull()), index, key, how.alike)
+    like = like_terms(numbered.filter(F.col("term").isNotNull()), index, key, how.alike, language)
     wide_from, wide_to = F.greatest(F.col("cited_from") - how.padding_ms, F.lit(0)), F.col("cited_to") + how.padding_ms
     touches = ((F.col("start_ms") < wide_to) & (F.col("end_ms") > wide_from)) | ((F.col("start_ms") >= wide_from) & (F.col("start_ms") < wide_to))
     hits = numbered.join(like, [key, "term"]).join(index, [key, "said"]).groupBy(key, "claim", "nth").agg(F.lit(1).alias("known"), F.max(F.when(F.col("cited_from").isNull() | touches, 1)).alias("near"))

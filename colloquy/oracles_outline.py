@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .operators.outline import ENGLISH_SUFFIXES
 from .oracles import content_sql, folded_tokens_sql, sentences_sql, terms_sql
+from .oracles_words import key_sql, likeness
 from .plans.inputs import UTTERANCES_SQL
 
 #: Ten conversations in a row as one meeting, ten minutes apart.
@@ -81,7 +82,8 @@ VERIFIED = rf"""WITH {UTTERANCES_SQL}, {sentences_sql('utterances')},
    CASE WHEN unit % 7 = 0 THEN NULL WHEN unit % 5 = 0 THEN start_ms + 100000 ELSE start_ms END AS f, CASE WHEN unit % 7 = 0 THEN NULL WHEN unit % 5 = 0 THEN end_ms + 100000 ELSE end_ms END AS t FROM units WHERE unit % 3 = 0),
  ct AS (SELECT meeting_id, claim, f, t, unnest(s) AS term, generate_subscripts(s, 1) AS nth FROM (SELECT *, {_stems('text')} AS s FROM cl)),
  ut AS (SELECT DISTINCT meeting_id, idx, start_ms, end_ms, unnest(s) AS said FROM (SELECT *, {_stems('text')} AS s FROM utterances)),
- li AS (SELECT DISTINCT a.meeting_id, a.term, b.said FROM (SELECT DISTINCT meeting_id, term FROM ct) a JOIN (SELECT DISTINCT meeting_id, said FROM ut) b ON a.meeting_id = b.meeting_id AND (a.term = b.said OR 1 - levenshtein(a.term, b.said) / greatest(len(a.term), len(b.said)) >= 0.86 - 1e-9)),
+ ck AS (SELECT meeting_id, term, {key_sql('term')} AS k FROM (SELECT DISTINCT meeting_id, term FROM ct)), uk AS (SELECT meeting_id, said, {key_sql('said')} AS k FROM (SELECT DISTINCT meeting_id, said FROM ut)),
+ li AS (SELECT DISTINCT a.meeting_id, a.term, b.said FROM ck a JOIN uk b ON a.meeting_id = b.meeting_id AND (a.term = b.said OR a.k <> '' AND b.k <> '' AND {likeness('a.k', 'b.k')} >= 0.86 - 1e-9)),
  hi AS (SELECT ct.meeting_id, claim, nth, bool_or(f IS NULL OR start_ms < t + 20000 AND end_ms > greatest(f - 20000, 0) OR start_ms >= greatest(f - 20000, 0) AND start_ms < t + 20000) AS near FROM ct JOIN li USING (meeting_id, term) JOIN ut USING (meeting_id, said) GROUP BY ALL),
  sc AS (SELECT ct.meeting_id, claim, count(*) AS n, count(*) FILTER (near) AS near, count(near) AS known, string_agg(term, ',' ORDER BY nth) FILTER (near IS NOT TRUE) AS missing FROM ct LEFT JOIN hi USING (meeting_id, claim, nth) GROUP BY ALL),
  un AS (SELECT DISTINCT meeting_id, {_PLAIN} AS number FROM (SELECT meeting_id, unnest(regexp_extract_all(text, '{_NUMBER}')) AS x FROM utterances)),

@@ -6,10 +6,13 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from colloquy.functions.phonetics import sound_key
 from colloquy.operators.merging import merge_similar
 from colloquy.operators.owners import attribute_owner, pair_acceptances
 from colloquy.operators.wordlevel import likely_path, rebuilt_utterances, word_labels
 
+from .test_biasing import edits
+
 UNIT = "meeting_id int, unit int, speaker string, start_ms long, end_ms long, text string"
 
 
@@ -65,17 +68,24 @@ def test_acceptances(spark):
 
 def test_merging_depends_on_the_order_alone(spark):
     rng = random.Random(9)
-    words = "alpha bravo delta echos foxes golfs".split()
+    words = "alpha alfa bravo delta echos ekoss foxes golfs".split()
     rows, want = [], {}
+    texts = {(g, pos): " ".join(rng.sample(words, rng.randint(0, 5))) for g in range(40) for pos in range(rng.randint(1, 9))}
+    keys = {r.t: r.k for r in spark.createDataFrame([(t,) for t in set(texts.values())], "t string").select("t", sound_key(F.col("t")).alias("k")).collect()}
+    by_sound = 0
     for g in range(40):
         leaders = []
-        for pos in range(rng.randint(1, 9)):
-            text, owner = " ".join(rng.sample(words, rng.randint(0, 5))), rng.choice(["A", None])
+        for pos in [p for m, p in texts if m == g]:
+            text, owner = texts[g, pos], rng.choice(["A", None])
             rows.append((g, pos, text, owner, None, pos))
             best = None
             for k, a in enumerate(leaders):
                 x, y = set(a["text"].split()), set(text.split())
                 s = len(x & y) / len(x | y) if x and y else 0.0
+                a_key, key = keys[a["text"]], keys[text]
+                heard = 1 - edits(a_key, key) / max(len(a_key), len(key), 1)
+                by_sound += s < 0.5 and heard >= 0.85
+                s = max(s, heard if heard >= 0.85 else 0.0)
                 if s >= 0.5 and (best is None or s > best[0]):
                     best = (s, k)
             if best is None:
@@ -84,6 +94,7 @@ def test_merging_depends_on_the_order_alone(spark):
                 a = leaders[best[1]]
                 a.update(n=a["n"] + 1, text=a["text"] if len(a["text"]) >= len(text) else text, owner=a["owner"] or owner, units=a["units"] + [pos])
         want[g] = sorted((a["leader"], a["n"], a["text"], a["owner"], a["units"][:4]) for a in leaders)
+    assert by_sound > 5
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g int, pos int, text string, owner string, due string, unit int").repartition(5)
     got = {}
