@@ -94,7 +94,7 @@ def compare_systems(reference: DataFrame, hypotheses: DataFrame, key: str = "mee
 
 def comparison_markdown(scores: DataFrame, outcomes: DataFrame | None = None, key: str = "meeting_id") -> DataFrame:
     """(key, ``document``): a table of ``compare_systems`` in order of rank and, from ``outcomes`` (``speaker_outcomes`` with ``system``), the share of words kept by speaking time."""
-    percent = lambda c: F.format_string("%.2f %%", 100 * c.cast("double"))
+    percent = lambda c: F.when(c.isNotNull(), F.format_string("%.2f %%", 100 * c.cast("double"))).otherwise("n/a")
     row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     gather = lambda order, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda x: x.l), "\n")
     heads = ["System", "WER", "cpWER", "tcpWER", "WDER"]
@@ -105,7 +105,7 @@ def comparison_markdown(scores: DataFrame, outcomes: DataFrame | None = None, ke
         return told
     names = [n for _, n in BUCKETS] + [LAST_BUCKET]
     share = outcomes.groupBy(key, "system").pivot("bucket", names).agg(F.sum("hits") / F.greatest(F.sum("reference_words"), F.lit(1)))
-    cells = row([F.col("system"), *[F.coalesce(percent(F.col(n)), F.lit("n/a")) for n in names]])
+    cells = row([F.col("system"), *[percent(F.col(n)) for n in names]])
     second = "\n## Words kept, by how long their speakers spoke\n\n| System | " + " | ".join(names) + " |\n| --- |" + " ---: |" * len(names) + "\n"
     kept = share.groupBy(key).agg(F.concat(F.lit(second), gather(F.col("system"), cells), F.lit("\n")).alias("_kept"))
     return told.join(kept, key, "left").select(key, F.concat("document", F.coalesce("_kept", F.lit(""))).alias("document"))
