@@ -1,6 +1,7 @@
 """Several systems' transcripts of the same meetings against one reference: scores, speakers' outcomes, gates and a report.
 
-A pair of streams is aligned in a row of its own, so that the pairs of a meeting lie on many tasks; only their counts come together to pair speakers.
+The distance of a pair of streams is found in a row of its own, so that the pairs of a meeting lie on many tasks; only these come together to pair speakers, and only paired
+streams are aligned.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .profiles import BUCKETS, LAST_BUCKET, duration_bucket
-from .scoring import align_pairs, assignment, gate_status, permutation_wer, rate, word_diarization_errors
+from .scoring import align_pairs, assignment, distances, gate_status, permutation_wer, rate, spread, word_diarization_errors
 from .timed import time_constrained_wer
 
 COUNTS = ("substitutions", "deletions", "insertions", "hits")
@@ -33,22 +34,23 @@ def speaker_outcomes(reference: DataFrame, hypothesis: DataFrame, keys: list[str
     a = speaker_streams(reference, keys)
     b = speaker_streams(hypothesis, keys).filter(F.size("tokens") > 0).select(*keys, F.col("speaker").alias("matched"), F.col("tokens").alias("heard"))
     both = a.filter(F.size("tokens") > 0).select(*keys, "speaker", "tokens").join(b, keys)
-    counts = align_pairs(both, "tokens", "heard", [*keys, "speaker", "matched"])
+    near = distances(spread(both, [*keys, "speaker", "matched"]), "tokens", "heard", [*keys, "speaker", "matched"])
     kinds = ", ".join(f"{k} {reference.schema[k].dataType.simpleString()}" for k in keys)
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         rows, columns = pd.factorize(group["speaker"], use_na_sentinel=False), pd.factorize(group["matched"], use_na_sentinel=False)
         # pairing saves the words of both sides that need no edit of their own: substitutions once, hits twice
         saved = np.zeros((len(rows[1]), len(columns[1])))
-        saved[rows[0], columns[0]] = group["substitutions"] + 2 * group["hits"]
+        saved[rows[0], columns[0]] = group["saved"]
         same = np.array([[x == y for y in columns[1]] for x in rows[1]], dtype=float)
         pairs = assignment(-(saved * (len(rows[1]) + 1) + same))
         return pd.DataFrame([[*group[keys].iloc[0], rows[1][r], columns[1][c]] for r, c in pairs], columns=[*keys, "speaker", "matched"])
 
-    pairs = counts.groupBy(*keys).applyInPandas(solve, f"{kinds}, speaker string, matched string")
+    pairs = near.groupBy(*keys).applyInPandas(solve, f"{kinds}, speaker string, matched string")
     same = lambda x, y: F.col(f"x.{x}").eqNullSafe(F.col(f"y.{y}"))
     keyed = lambda *cs: [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [same(c, c) for c in cs]
-    chosen = counts.alias("x").join(pairs.alias("y"), keyed("speaker", "matched"), "left_semi")
+    met = both.alias("x").join(pairs.alias("y"), keyed("speaker", "matched"), "left_semi")
+    chosen = align_pairs(spread(met, [*keys, "speaker"]), "tokens", "heard", [*keys, "speaker", "matched"])
     spoken = a.select(*keys, "speaker", "speech_ms", F.size("tokens").cast("long").alias("reference_words"))
     joined = spoken.alias("x").join(chosen.withColumn("paired", F.lit(True)).alias("y"), keyed("speaker"), "left")
     zero = lambda c: F.coalesce(F.col(f"y.{c}"), F.lit(0)).cast("long").alias(c)
@@ -79,7 +81,7 @@ def compare_systems(reference: DataFrame, hypotheses: DataFrame, key: str = "mee
     truth = for_each_system(reference, hypotheses, key)
     heard = hypotheses.join(reference.select(key).distinct(), key, "left_semi")
     words = whole_meeting(truth, key, "ref").join(whole_meeting(heard, key, "hyp"), by)
-    counted = align_pairs(words, "ref", "hyp", by)
+    counted = align_pairs(spread(words, by), "ref", "hyp", by)
     n, m = F.col("hits") + F.col("substitutions") + F.col("deletions"), F.col("hits") + F.col("substitutions") + F.col("insertions")
     errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
     wer = counted.select(*by, n.alias("reference_words"), m.alias("hypothesis_words"), rate(errors, n).alias("wer"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scoring import DELETED, EQUAL, INSERTED, SUBSTITUTED, assignment, least_edits, numbered
+from .scoring import DELETED, EQUAL, INSERTED, STRIDE, SUBSTITUTED, assignment, for_each_meeting, numbered, positions, sides
 
 OUTCOMES = (SUBSTITUTED, DELETED, INSERTED, EQUAL)
 
@@ -37,37 +40,113 @@ def windows(ref: np.ndarray, hyp: np.ndarray, collar: float) -> tuple[np.ndarray
     return low, np.maximum(high, low - 1)
 
 
-def timed_counts(ref: pd.DataFrame | None, hyp: pd.DataFrame | None, collar: float) -> tuple[int, int, int, int]:
-    """(substitutions, deletions, insertions, hits) of two streams of ``token, start_ms, end_ms``."""
+def windowed_rows(a: list[int], spans: list[tuple[int, int]], places: dict[int, list[int]], size: int, state: tuple[int, int]) -> Iterator[tuple[int, int, int, int]]:
+    """``scoring.edit_rows`` where an item meets only the places of its span, both ends included: the sets of places where two meet at least cost, where edits rise from the row
+    above, and where they rise and fall along the row.
+
+    Places outside the span are as items that may not even be replaced, so a rise runs on through them.
+    """
+    full = (1 << size) - 1
+    rise, fall = state
+    for w, (first, last) in zip(a, spans, strict=True):
+        window = ((1 << last + 1) - (1 << first)) & full
+        same = 0
+        for j in places.get(w, ()):
+            same |= 1 << j
+        same &= window
+        lower = ((((same & rise) + rise) ^ rise) | same) & rise
+        before = lower << 1 & full
+        level = same | fall | before
+        begun = fall | (full ^ (rise | same | before | fall))
+        closed = rise & ~window
+        start = (begun << 1 | 1) & closed
+        drop = begun | (((start + closed) ^ closed) | start) & closed
+        after = (drop << 1 | 1) & full
+        rise, fall = before | (full ^ (before | after | level)) | closed & after, after & level
+        yield same | window & ~level, drop, rise, fall
+
+
+def windowed_counts(a: list[int], b: list[int], low: np.ndarray, high: np.ndarray) -> tuple[int, int, int, int]:
+    """(substitutions, deletions, insertions, hits) of the least-edits alignment where item ``i`` of ``a`` may only meet those of ``b`` from ``low[i]`` to ``high[i]``.
+
+    Of equal costs, seen from the end, two items meet first, then one is dropped, then one is added. Every ``STRIDE``-th row is kept; the rows between them are made again on the way back.
+    """
+    i, j = len(a), len(b)
+    places, spans = positions(b), list(zip(low.tolist(), high.tolist(), strict=True))
+    states = [((1 << j) - 1, 0)]
+    states += [(rise, fall) for k, (_, _, rise, fall) in enumerate(windowed_rows(a, spans, places, j, states[0]), 1) if k % STRIDE == 0]
+    counts = dict.fromkeys(OUTCOMES, 0)
+    while i and j:
+        top = (i - 1) // STRIDE * STRIDE
+        within = (1 << j) - 1
+        rise, fall = states[top // STRIDE]
+        rows = [(met, drop) for met, drop, _, _ in windowed_rows(a[top:i], spans[top:i], places, j, (rise & within, fall & within))]
+        while i > top and j:
+            met, drop = rows[i - 1 - top]
+            if met >> (j - 1) & 1:
+                i, j = i - 1, j - 1
+                counts[EQUAL if a[i] == b[j] else SUBSTITUTED] += 1
+            elif drop >> (j - 1) & 1:
+                i -= 1
+                counts[DELETED] += 1
+            else:
+                j -= 1
+                counts[INSERTED] += 1
+    counts[DELETED] += i
+    counts[INSERTED] += j
+    return tuple(counts[op] for op in OUTCOMES)
+
+
+Stream = tuple[list[str], np.ndarray]
+
+
+def stream_counts(ref: Stream | None, hyp: Stream | None, collar: float) -> tuple[int, int, int, int]:
+    """(substitutions, deletions, insertions, hits) of two streams of words and their spans, null for a speaker who is missing."""
     if ref is None or hyp is None:
-        return 0, 0 if ref is None else len(ref), 0 if hyp is None else len(hyp), 0
-    a, b = numbered(ref["token"].tolist(), hyp["token"].tolist())
-    spans = [x[["start_ms", "end_ms"]].to_numpy(dtype=float) for x in (ref, hyp)]
-    steps = [op for op, _, _ in least_edits(a, b, *windows(*spans, collar), meet_first=True)]
-    return tuple(steps.count(op) for op in OUTCOMES)
+        return 0, 0 if ref is None else len(ref[0]), 0 if hyp is None else len(hyp[0]), 0
+    return windowed_counts(*numbered(ref[0], hyp[0]), *windows(ref[1], hyp[1], collar))
+
+
+def timed_counts(ref: pd.DataFrame | None, hyp: pd.DataFrame | None, collar: float) -> tuple[int, int, int, int]:
+    """``stream_counts`` of tables of ``token, start_ms, end_ms``."""
+    stream = lambda f: None if f is None else (f["token"].tolist(), f[["start_ms", "end_ms"]].to_numpy(dtype=float))
+    return stream_counts(stream(ref), stream(hyp), collar)
+
+
+def speaker_stream(rows: list[dict]) -> Stream:
+    """A speaker's words in order of time, with the spans that ``timed_tokens`` gives them."""
+    words = []
+    for row in rows:
+        start, end = (math.inf if row[c] is None else float(row[c]) for c in ("start_ms", "end_ms"))
+        tokens, place = row["tokens"], (row["idx"] is None, row["idx"])
+        even = len(tokens) > 1 and math.inf > end > start
+        width = (end - start) / len(tokens) if even else 0.0
+        words += [(start + k * width, start + (k + 1) * width if even else end, place, k, w) for k, w in enumerate(tokens)]
+    words.sort(key=lambda w: w[:4])
+    return [w[4] for w in words], np.array([w[:2] for w in words], dtype=float)
 
 
 def time_constrained_wer(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_ms: float = 5000) -> DataFrame:
     """(keys, ``substitutions, deletions, insertions, hits, reference_words, missed_speakers, false_alarm_speakers, tcpwer``).
 
     Both sides have ``speaker, idx, start_ms, end_ms, tokens``. The tokens of a speaker are a stream in order of time; speakers are paired for the fewest errors, one
-    without a partner against an empty stream. One meeting is one group.
+    without a partner against an empty stream. One meeting is one row.
     """
-    side = lambda df, n: timed_tokens(df, keys).withColumn("side", F.lit(n))
-    kinds = ", ".join(f"{k} {reference.schema[k].dataType.simpleString()}" for k in keys)
     names = ["substitutions", "deletions", "insertions", "hits", "reference_words", "missed_speakers", "false_alarm_speakers"]
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["start_ms", "end_ms", "idx", "nth"], kind="stable")
-        a, b = ([f for _, f in ordered[ordered["side"] == n].groupby("speaker", sort=True)] for n in (0, 1))
+    def solve(meeting: list[dict]) -> tuple[int, ...]:
+        streams = [{}, {}]
+        for row in meeting:
+            streams[row["side"]].setdefault(row["speaker"], []).append(row)
+        a, b = ([speaker_stream(rows) for _, rows in sorted((k, v) for k, v in side.items() if k is not None)] for side in streams)
         size = max(len(a), len(b))
         missed, extra = size - len(b), size - len(a)
-        counts = [[timed_counts(x, y, collar_ms) for y in b + [None] * missed] for x in a + [None] * extra]
+        counts = [[stream_counts(x, y, collar_ms) for y in b + [None] * missed] for x in a + [None] * extra]
         cost = np.array([[sum(c[:3]) for c in row] for row in counts])
         best = np.array([counts[r][c] for r, c in assignment(cost)]).sum(axis=0)
-        return pd.DataFrame([[*group[keys].iloc[0], *map(int, best), int(best[0] + best[1] + best[3]), missed, extra]], columns=[*keys, *names])
+        return *map(int, best), int(best[0] + best[1] + best[3]), missed, extra
 
-    both = side(reference, 0).unionByName(side(hypothesis, 1))
-    found = both.groupBy(*keys).applyInPandas(solve, ", ".join([kinds, *[f"{n} long" for n in names]]))
+    spoken = sides(reference, hypothesis, keys, "start_ms", "end_ms").filter(F.size("tokens") > 0)
+    found = for_each_meeting(spoken, keys, solve, dict.fromkeys(names, "long"))
     errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
     return found.withColumn("tcpwer", errors / F.greatest("reference_words", F.lit(1)))

@@ -85,3 +85,24 @@ def test_single_linkage_with_a_ceiling(spark):
     assert clusters(threshold=0.9) == {"a": "a", "b": "a", "c": "c", "d": "d", "z": "z"}
     assert clusters(threshold=0.75) == {"a": "a", "b": "a", "c": "a", "d": "d", "z": "z"}  # c is like b alone
     assert clusters(threshold=0.99, ceiling=2) == {"a": "a", "b": "a", "c": "a", "d": "a", "z": "z"}
+
+
+def test_alignments_of_long_streams_take_few_operations_a_word():
+    """Bit vectors against a plain table, over several kept rows, and a pair of 20,000 words."""
+    rng = random.Random(3)
+    for k in range(60):
+        a = [rng.choice("abcdefgh"[: 2 + k % 7]) for _ in range(rng.randrange(0, 330))]
+        b = [rng.choice("abcdefgh") if rng.random() < 0.3 else w for w in a if rng.random() < 0.8]
+        best = [[(j, 0) for j in range(len(b) + 1)]]
+        for i, x in enumerate(a, 1):
+            row = [(i, 0)]
+            for j, y in enumerate(b, 1):
+                (u, p), (v, q), (w, r) = best[-1][j], row[-1], best[-1][j - 1]
+                row.append(min((u + 1, p), (v + 1, q), (w + (x != y), r - (x == y))))
+            best.append(row)
+        s, d, i, h = scoring.edit_counts(a, b)
+        assert (s + d + i, -h) == best[-1][-1] and (s + d + h, s + i + h) == (len(a), len(b))
+        assert scoring.edit_distance(*scoring.numbered(a, b)) == s + d + i
+    words = [f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(20_000)]
+    heard = [w if k % 9 != 8 else "zzq" for k, w in enumerate(words)]
+    assert scoring.edit_counts(words, heard) == (2222, 0, 0, 17_778)
