@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,25 +55,61 @@ def text_rank(sentences: DataFrame, key: str, damping: float = 0.85, rounds: int
     return sentences.select(key, "idx", "terms").groupBy(key).applyInPandas(solve, f"{key} {kind}, idx {idx}, score double")
 
 
+def block_counts(tokens: list[str], width: int, block: int) -> list[tuple[int, int, int, int]]:
+    """(gap, products of the counts on both sides, squares left, squares right) of each gap between runs of ``width`` tokens, by sums that slide on with the gap."""
+    rows = [tokens[i : i + width] for i in range(0, len(tokens) - width + 1, width)]
+    left, right = defaultdict(int), defaultdict(int)
+    both = ll = rr = 0
+    out = []
+    for gap in range(-1, len(rows) - 1):
+        if gap >= 0:
+            for t in rows[gap]:
+                n, m = left[t], right[t]
+                rr, ll, both = rr - 2 * m + 1, ll + 2 * n + 1, both - n + m - 1
+                left[t], right[t] = n + 1, m - 1
+        if gap >= block:
+            for t in rows[gap - block]:
+                n = left[t]
+                ll, both = ll - 2 * n + 1, both - right[t]
+                left[t] = n - 1
+        for row in rows[1 : block + 1] if gap == 0 else rows[gap + block : gap + block + 1] if gap > 0 else rows[:1]:
+            for t in row:
+                m = right[t]
+                rr, both = rr + 2 * m + 1, both + left[t]
+                right[t] = m + 1
+        if gap >= 0:
+            out.append((gap, both, ll, rr))
+    return out
+
+
+def similarity_of_tokens(texts: DataFrame, key: str) -> DataFrame:
+    """``block_similarity`` of (key, ``tokens, width, block``), an array of a key's tokens in order. A row is worked on where it lies, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in ("tokens", "width", "block")]
+            for i in range(batch.num_rows):
+                tokens, width, block = (c[i].as_py() for c in columns)
+                found = block_counts(tokens or [], width, block)
+                if found:
+                    keys = batch.column(key).take(pa.array([i] * len(found)))
+                    yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, pa.int64()) for c in zip(*found, strict=True)]], names=[key, "gap", "lr", "ll", "rr"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    dots = texts.select(key, "tokens", "width", "block").mapInArrow(run, f"{key} {kind}, gap long, lr long, ll long, rr long")
+    norm = F.sqrt(F.col("ll") * F.col("rr"))
+    return dots.select(key, "gap", F.round(F.when(norm > 0, F.col("lr") / norm).otherwise(0.0), 6).alias("similarity"))
+
+
 def block_similarity(tokens: DataFrame, key: str, width: int = 20, block: int = 6, sizes: DataFrame | None = None) -> DataFrame:
     """TextTiling's (key, ``gap, similarity``): the cosine of term counts in the ``block`` pseudo-sentences on either side of a gap.
 
-    ``tokens`` has (key, ``pos, term``). A term's count goes to the gaps near its pseudo-sentence, so nothing is
-    collected; a remainder shorter than ``width`` at the end is left out. With ``sizes`` (key, ``width, block``) each key has its own, and keys
-    without a row have no gaps.
+    ``tokens`` has (key, ``pos, term``), which come together once, as an array of a key; a remainder shorter than ``width`` at the end is left out. With ``sizes``
+    (key, ``width, block``) each key has its own, and keys without a row have no gaps.
     """
-    sized = tokens.select(key, "pos", "term", F.lit(width).alias("width"), F.lit(block).alias("block")) if sizes is None else tokens.select(key, "pos", "term").join(sizes.select(key, "width", "block"), key)
-    n = sized.groupBy(key).agg(F.floor(F.count("*") / F.max("width")).alias("n"))
-    cells = sized.withColumn("row", F.floor(F.col("pos") / F.col("width"))).join(n, key).filter(F.col("row") < F.col("n"))
-    counts = cells.groupBy(key, "n", "row", "block", "term").agg(F.count("*").alias("c"))
-    # pseudo-sentence r lies left of the gaps r .. r + block - 1 and right of r - block .. r - 1
-    left = counts.select(key, "n", "term", "c", F.lit(0).alias("side"), F.explode(F.sequence("row", F.col("row") + F.col("block") - 1)).alias("gap"))
-    right = counts.select(key, "n", "term", "c", F.lit(1).alias("side"), F.explode(F.sequence(F.col("row") - F.col("block"), F.col("row") - 1)).alias("gap"))
-    near = left.unionByName(right).filter((F.col("gap") >= 0) & (F.col("gap") < F.col("n") - 1))
-    sums = near.groupBy(key, "gap", "term").agg(F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).alias("l"), F.sum(F.when(F.col("side") == 1, F.col("c")).otherwise(0)).alias("r"))
-    dots = sums.groupBy(key, "gap").agg(F.sum(F.col("l") * F.col("r")).alias("lr"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(F.col("r") * F.col("r")).alias("rr"))
-    norm = F.sqrt(F.col("ll") * F.col("rr"))
-    return dots.select(key, "gap", F.round(F.when(norm > 0, F.col("lr") / norm).otherwise(0.0), 6).alias("similarity"))
+    held = tokens.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x.term).alias("tokens"))
+    sized = held.withColumns({"width": F.lit(width), "block": F.lit(block)}) if sizes is None else held.join(sizes.select(key, "width", "block"), key)
+    return similarity_of_tokens(sized, key)
 
 
 def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -98,3 +98,23 @@ def test_lines_and_cues(spark):
     assert [g[4] for g in got] == ["aaaa bbbb\ncccc dddd", "eeee ffff\ngggg", "late", "long"]
     assert [g[2:4] for g in got] == [(0, 5226), (5226, 8500), (8500, 9500), (20_000, 27_000)]
     assert caption_documents(df, style="vtt", layout=Layout(2, 9)).first().document.startswith("WEBVTT\n\n1\n00:00:00.000 --> 00:00:05.226\n<v A>aaaa bbbb\ncccc dddd")
+
+
+def test_similarity_of_tokens_shuffles_nothing(spark):
+    from collections import Counter
+
+    from colloquy.operators.topics import similarity_of_tokens
+
+    words = ["ab ab c d e a f g a b c a d", "a b", "", "x y x y x y x y x y x y"]
+    rows = spark.createDataFrame([(k, w.split(), 2, 2) for k, w in enumerate(words)] + [(9, None, 2, 2)], "k long, tokens array<string>, width int, block int")
+    found = similarity_of_tokens(rows, "k")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for k, w in enumerate(words):
+        t = w.split()
+        runs = [t[i : i + 2] for i in range(0, len(t) - 1, 2)]
+        for gap in range(len(runs) - 1):
+            a, b = (Counter(x for r in side for x in r) for side in (runs[max(gap - 1, 0) : gap + 1], runs[gap + 1 : gap + 3]))
+            norm = sum(v * v for v in a.values()) * sum(v * v for v in b.values())
+            want[k, gap] = round(sum(a[x] * b[x] for x in a) / norm**0.5, 6)
+    assert {(r.k, r.gap): r.similarity for r in found.collect()} == want
