@@ -106,3 +106,11 @@ def test_alignments_of_long_streams_take_few_operations_a_word():
     words = [f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(20_000)]
     heard = [w if k % 9 != 8 else "zzq" for k, w in enumerate(words)]
     assert scoring.edit_counts(words, heard) == (2222, 0, 0, 17_778)
+
+
+def test_equal_shared_times_pair_the_most_speakers(spark):
+    shared = [("assistant", "assistant", 9850), ("assistant", "user", 56700), ("user", "user", 46850), ("system", "system", 22300)]
+    rows = [(m, [a], [b], 0, v) for m in (1, 2) for a, b, v in shared] + [(3, ["a"], [], 0, 50)]
+    found = spark.createDataFrame(rows, "m long, reference array<string>, hypothesis array<string>, start_ms long, end_ms long")
+    got = sorted((r.m, r.a, r.b, r.shared_ms) for r in scoring.speaker_mapping(found, ["m"]).collect())
+    assert got == [(m, x, x, v) for m in (1, 2) for x, v in (("assistant", 9850.0), ("system", 22300.0), ("user", 46850.0))]
