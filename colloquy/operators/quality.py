@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import basic
 from ..functions.text import fold
-from .scoring import assignment
+from .scoring import assign_row, for_each_meeting
 
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 CAPITALISED = r"[A-ZÀ-ÖØ-Þ][\p{L}\p{N}_’'-]*(?:\s+[A-ZÀ-ÖØ-Þ][\p{L}\p{N}_’'-]*)*"
@@ -29,6 +29,60 @@ def set_similarity(a: str, b: str) -> float:
     return max(SequenceMatcher(None, forms[i], forms[j]).ratio() for i, j in ((0, 1), (0, 2), (1, 2)))
 
 
+def most_similarity(a: list[str], b: list[str]) -> np.ndarray:
+    """For each two texts at least their ``set_similarity``: from the lengths of what they share, and from how often each has a character."""
+    sets = [[sorted(set(t.split())) for t in side] for side in (a, b)]
+    words, signs = ({x: i for i, x in enumerate(sorted(found))} for found in ({w for side in sets for s in side for w in s}, {c for side in sets for s in side for w in s for c in w} | {" "}))
+    has, counts = ([np.zeros((len(side), len(of))) for side in sets] for of in (words, signs))
+    for n, side in enumerate(sets):
+        for i, s in enumerate(side):
+            has[n][i, [words[w] for w in s]] = 1
+            for c in " ".join(s):
+                counts[n][i, signs[c]] += 1
+    length = [c.sum(axis=1) for c in counts]
+    shared = has[0] @ has[1].T
+    both = (has[0] * [len(w) + 1 for w in words]) @ has[1].T - (shared > 0)
+    alike = np.zeros((len(a), len(b)))
+    for i, own in enumerate(counts[0]):
+        alike[i] = np.minimum(own, counts[1]).sum(axis=1)
+    ratio = lambda same, whole: 2 * same / np.maximum(whole, 1)
+    out = np.maximum(ratio(alike, length[0][:, None] + length[1]), ratio(both, both + np.minimum.outer(length[0], length[1])))
+    return np.where((length[0][:, None] == 0) & (length[1] == 0), 1.0, out)
+
+
+def best_pairs(a: list[str], b: list[str]) -> list[tuple[int, int, float]]:
+    """(place in ``a``, place in ``b``, similarity) of the pairing of most ``set_similarity``.
+
+    Pairs are assigned by bounds; what that pairs is then compared, and a text whose bound was too high is assigned anew, each time after twice as
+    many comparisons, until all that is paired has been compared. As bounds are never too low, no other pairing has more. The shorter side is filled up, so that no place stays free.
+    """
+    size = max(len(a), len(b))
+    cost, known = np.zeros((size, size)), np.ones((size, size), dtype=bool)
+    cost[: len(a), : len(b)], known[: len(a), : len(b)] = -most_similarity(a, b), False
+    row_price, col_price, owner = np.zeros(size), np.zeros(size), np.full(size, -1)
+    waiting, tries = list(range(size)), [0] * size
+
+    def compare(r: int, h: int) -> None:
+        cost[r, h], known[r, h] = -set_similarity(a[r], b[h]), True
+
+    while waiting:
+        for row in waiting:
+            assign_row(cost, row, row_price, col_price, owner)
+        waiting = []
+        for h, r in enumerate(owner.tolist()):
+            if not known[r, h]:
+                bound = cost[r, h]
+                compare(r, h)
+                if cost[r, h] > bound + 1e-12:
+                    owner[h] = -1
+                    waiting.append(r)
+                    tries[r] += 1
+                    left = np.flatnonzero(~known[r])
+                    for c in left[np.argsort((cost[r] - col_price)[left], kind="stable")[: 1 << tries[r]]].tolist():
+                        compare(r, c)
+    return sorted((r, h, float(-cost[r, h])) for h, r in enumerate(owner.tolist()) if r < len(a) and h < len(b))
+
+
 def token_set_similarity(a: Column, b: Column) -> Column:
     """``set_similarity`` of two normalised texts, in Arrow batches; null if either is."""
 
@@ -45,19 +99,16 @@ def item_matches(reference: DataFrame, hypothesis: DataFrame, key: str = "meetin
 
     Items of a meeting are paired for the most token-set similarity of their normalised texts; pairs below ``threshold`` do not count.
     Owners agree without case and accents, null as an empty name. A side without items scores 1 against none, else 0. A meeting's items,
-    of both sides, are one group: there are as many as its minutes list.
+    of both sides, are one row: there are as many as its minutes list.
     """
     side = lambda df, n: df.select(key, F.lit(n).alias("side"), basic(F.coalesce("text", F.lit(""))).alias("text"), F.trim(fold(F.coalesce("owner", F.lit("")))).alias("owner"))
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        refs, hyps = ([tuple(r) for r in group.loc[group["side"] == n, ["text", "owner"]].itertuples(index=False)] for n in (0, 1))
-        like = np.array([[set_similarity(r[0], h[0]) for h in hyps] for r in refs]).reshape(len(refs), len(hyps))
-        pairs = [(r, h) for r, h in assignment(-like) if like[r, h] >= threshold]
-        right = sum(refs[r][1] == hyps[h][1] for r, h in pairs)
-        return pd.DataFrame([[group[key].iloc[0], len(pairs), len(refs), len(hyps), right]], columns=[key, "matched", "reference_count", "hypothesis_count", "right"])
+    def solve(meeting: list[dict]) -> tuple[int, int, int, int]:
+        refs, hyps = (sorted((r["text"], r["owner"]) for r in meeting if r["side"] == n) for n in (0, 1))
+        pairs = [(r, h) for r, h, like in best_pairs([t for t, _ in refs], [t for t, _ in hyps]) if like >= threshold]
+        return len(pairs), len(refs), len(hyps), sum(refs[r][1] == hyps[h][1] for r, h in pairs)
 
-    kind = reference.schema[key].dataType.simpleString()
-    found = side(reference, 0).unionByName(side(hypothesis, 1)).groupBy(key).applyInPandas(solve, f"{key} {kind}, matched long, reference_count long, hypothesis_count long, right long")
+    found = for_each_meeting(side(reference, 0).unionByName(side(hypothesis, 1)), [key], solve, dict.fromkeys(["matched", "reference_count", "hypothesis_count", "right"], "long"))
     m, r, h = F.col("matched"), F.col("reference_count"), F.col("hypothesis_count")
     share = lambda n, other: F.when(n > 0, m / n).otherwise(F.when(other == 0, 1.0).otherwise(0.0))
     scored = found.withColumn("precision", share(h, r)).withColumn("recall", share(r, h))

@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from colloquy.operators import attribution, quality, scoring, topics
+from colloquy.operators.scoring import assignment
 
 ITEM = "meeting_id int, text string, owner string"
 
@@ -58,3 +60,17 @@ def test_topic_gaps_find_the_valley(spark):
     assert [got[1, i].depth for i in range(5)] == [0.0, 0.0, pytest.approx(1.3), pytest.approx(0.2), 0.0]
     # mean 0.3 less half of the deviation 0.506 is 0.047, which 0.2 passes
     assert [i for i in range(5) if got[1, i].candidate] == [2, 3] and not got[2, 0].candidate
+
+
+def test_bounds_pair_items_as_all_pairs_would(monkeypatch):
+    rng = random.Random(4)
+    texts = lambda n: [" ".join(rng.choice(["alpha", "beta", "budget", "plan", "of", "a", "0123", "tion"]) + rng.choice(["", "s"]) for _ in range(rng.choice([0, 3, 12, 60]))) for _ in range(n)]
+    for _ in range(40):
+        a, b = texts(rng.randint(0, 7)), texts(rng.randint(0, 7))
+        true = np.array([[quality.set_similarity(x, y) for y in b] for x in a]).reshape(len(a), len(b))
+        assert (quality.most_similarity(a, b).reshape(true.shape) >= true - 1e-12).all()
+        assert abs(sum(v for _, _, v in quality.best_pairs(a, b)) - sum(true[r, c] for r, c in assignment(-true))) < 1e-9
+    calls, plain = [], quality.set_similarity
+    monkeypatch.setattr(quality, "set_similarity", lambda x, y: calls.append(1) or plain(x, y))
+    items = [f"item{i} " + " ".join(rng.sample(["red", "blue", "green", "black", "white", "grey", "pink"], 4)) for i in range(40)]
+    assert [(r, h) for r, h, _ in quality.best_pairs(items, items[::-1])] == [(i, 39 - i) for i in range(40)] and len(calls) < 400
