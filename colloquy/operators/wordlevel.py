@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import nearest, overlap_join
+from .scoring import spread
 
 FLOOR = 1e-6  # least share of a word that a label can have
 
@@ -36,7 +38,7 @@ def word_labels(words: DataFrame, turns: DataFrame, key: str = "meeting_id", dil
     """``words`` (key, ``idx, nth, start_ms, end_ms``) with ``label``, from turns (key, ``pos, label, start_ms, end_ms``, and ``confidence`` if they have it).
 
     A word's labels score their overlap with the word widened by ``dilation``; without any, the nearest turn within ``horizon`` counts, else all labels alike. A label of ``margin``
-    times the next one's score is the word's; other words take the most likely path's. Words of meetings without turns have no label. The path of one meeting is one group, of a number for
+    times the next one's score is the word's; other words take the most likely path's. Words of meetings without turns have no label. The path of one meeting is one row, of a number for
     each word and label.
     """
     weight = F.col("overlap_ms") * (F.col("r_confidence") if "confidence" in turns.columns else F.lit(1.0))
@@ -47,29 +49,44 @@ def word_labels(words: DataFrame, turns: DataFrame, key: str = "meeting_id", dil
     near = nearest(bare, turns, [key], horizon, "pos", "label").filter(F.col("label").isNotNull()).select(key, "row", "label", F.lit(1.0).alias("score"))
     labels = turns.groupBy(key, "label").agg(F.min(F.struct("start_ms", "pos")).alias("seen"))
     ordered = labels.withColumn("column", F.row_number().over(Window.partitionBy(key).orderBy("seen")) - 1).select(key, "label", "column")
-    cells = numbered.select(key, "row").join(ordered, key).join(scores.withColumn("own", F.lit(True)).unionByName(near.withColumn("own", F.lit(False))), [key, "row", "label"], "left")
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        names = group.sort_values("column").drop_duplicates("column")["label"].tolist()
-        rows = np.sort(group["row"].unique())
-        at, column = np.searchsorted(rows, group["row"]), group["column"].to_numpy()
-        score, own = np.zeros((len(rows), len(names))), np.zeros((len(rows), len(names)))
-        score[at, column] = group["score"].fillna(0)
-        own[at, column] = group["score"].where(group["own"] == True, 0).fillna(0)  # noqa: E712
-        none = score.sum(axis=1) == 0
-        score[none] = 1
-        path = likely_path(np.log(np.maximum(score / score.sum(axis=1, keepdims=True), FLOOR)), switch)
-        if len(names) > 1:
-            ranked = np.sort(own, axis=1)[:, ::-1]
-            clear = (ranked[:, 0] > 0) & ((ranked[:, 1] <= 0) | (ranked[:, 0] >= margin * ranked[:, 1]))
-            path = np.where(clear, own.argmax(axis=1), path)
-        return pd.DataFrame({key: group[key].iloc[0], "row": rows, "label": [names[c] for c in path]})
+    # a meeting's row: how many words, its labels in order, and a number for each word and label that have to do with each other
+    found = scores.withColumn("own", F.lit(True)).unionByName(near.withColumn("own", F.lit(False))).filter("label is not null").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    cells = found.groupBy(key).agg(F.collect_list("row").alias("_at"), F.collect_list("label").alias("_named"), F.collect_list("score").alias("_score"), F.collect_list("own").alias("_own"))
+    names = ordered.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "label"))), lambda x: x.label).alias("_labels"))
+    sizes = numbered.groupBy(key).agg(F.max("row").alias("_n"))
+    held = sizes.join(names, key).join(cells, key, "left").select(key, "_n", "_labels", "_at", "_named", "_score", "_own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [meeting_path(*(batch.column(i)[k] for i in range(1, 7)), switch, margin) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.list_(batch.column(2).type.value_type))], names=[key, "path"])
 
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
-    found = cells.groupBy(key).applyInPandas(solve, f"{key} {kinds[key]}, row int, label {kinds['label']}")
+    paths = spread(held, [key]).mapInArrow(run, f"{key} {kinds[key]}, path array<{kinds['label']}>")
+    found = paths.select(key, F.posexplode("path").alias("row", "label")).withColumn("row", F.col("row") + 1)
     return numbered.join(found, [key, "row"], "left").drop("row")
 
 
+def meeting_path(size: pa.Scalar, labels: pa.Scalar, at: pa.Scalar, named: pa.Scalar, scores: pa.Scalar, owns: pa.Scalar, switch: float, margin: float) -> list:
+    """The label of each of a meeting's words, from its cells (``at`` counts words from one); all labels alike for a word without any."""
+    names = labels.as_py()
+    column = {x: i for i, x in enumerate(names)}
+    score, own = np.zeros((size.as_py(), len(names))), np.zeros((size.as_py(), len(names)))
+    if at.is_valid:
+        place = at.values.to_numpy(zero_copy_only=False) - 1, np.array([column[x] for x in named.as_py()], dtype=np.int64)
+        value = scores.values.to_numpy(zero_copy_only=False)
+        score[place] = value
+        own[place] = np.where(owns.values.to_numpy(zero_copy_only=False), value, 0)
+    none = score.sum(axis=1) == 0
+    score[none] = 1
+    path = likely_path(np.log(np.maximum(score / score.sum(axis=1, keepdims=True), FLOOR)), switch)
+    if len(names) > 1:
+        ranked = np.sort(own, axis=1)[:, ::-1]
+        clear = (ranked[:, 0] > 0) & ((ranked[:, 1] <= 0) | (ranked[:, 0] >= margin * ranked[:, 1]))
+        path = np.where(clear, own.argmax(axis=1), path)
+    return [names[c] for c in path]
+
+
 def rebuilt_utterances(labelled: DataFrame, key: str = "meeting_id") -> DataFrame:
     """(key, ``idx, part, speaker, start_ms, end_ms, text, n_words``): the utterances of labelled words (``idx, nth, token, label, speaker``), cut where the label changes.
 

@@ -126,3 +126,11 @@ def test_words_find_their_speakers(spark):
     assert {r.label for r in one.filter("meeting_id = 1").collect()} == {"x"}
     sure = turns.withColumn("confidence", F.when(F.col("label") == "x", 0.01).otherwise(1.0))
     assert [r.label for r in word_labels(df, sure).filter("meeting_id = 1 and idx = 0 and nth = 2").collect()] == ["y"]
+
+
+def test_word_labels_make_no_row_for_each_word_and_label(spark):
+    words = spark.createDataFrame([(1, 0, k, k * 500, k * 500 + 400) for k in range(4)], "meeting_id int, idx int, nth int, start_ms long, end_ms long")
+    turns = spark.createDataFrame([(1, 0, "x", 0, 900), (1, 1, None, 0, 2000), (1, 2, "y", 900, 2000)], "meeting_id int, pos int, label string, start_ms long, end_ms long")
+    labelled = word_labels(words, turns)
+    assert [r.label for r in labelled.orderBy("nth").collect()] == ["x", "x", "y", "y"]
+    assert "FlatMapGroupsInPandas" not in labelled._jdf.queryExecution().toString()
