@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,16 +50,23 @@ def alignment_rows(pairs: DataFrame, keep: list[str], reference: str, hypothesis
     """
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for *key, ref, hyp in f[[*keep, reference, hypothesis]].itertuples(index=False, name=None):
-                ref, hyp = (list(x) if x is not None else [] for x in (ref, hyp))
-                rows = [(*key, op, i if i >= 0 else None, j if j >= 0 else None, ref[i] if i >= 0 else None, hyp[j] if j >= 0 else None) for op, i, j in align_words(ref, hyp)]
-                if rows:
-                    out = pd.DataFrame(rows, columns=[*keep, "outcome", "ref_place", "hyp_place", "word", "heard"])
-                    yield out.astype({"ref_place": "Int32", "hyp_place": "Int32"})
-
-    return pairs.select(*keep, reference, hypothesis).mapInPandas(run, f"{kinds}, outcome string, ref_place int, hyp_place int, word string, heard string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, outcome, ref_place, hyp_place, word, heard = ([] for _ in range(6))
+            for row, (ref, hyp) in enumerate(zip(batch.column(reference).to_pylist(), batch.column(hypothesis).to_pylist(), strict=True)):
+                ref, hyp = ref or [], hyp or []
+                for op, i, j in align_words(ref, hyp):
+                    owner.append(row)
+                    outcome.append(op)
+                    ref_place.append(i if i >= 0 else None)
+                    hyp_place.append(j if j >= 0 else None)
+                    word.append(ref[i] if i >= 0 else None)
+                    heard.append(hyp[j] if j >= 0 else None)
+            held = [batch.column(c).take(pa.array(owner, pa.int64())) for c in keep]
+            steps = [pa.array(x, t) for x, t in ((outcome, pa.string()), (ref_place, pa.int32()), (hyp_place, pa.int32()), (word, pa.string()), (heard, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*held, *steps], names=[*keep, "outcome", "ref_place", "hyp_place", "word", "heard"])
+
+    return pairs.select(*keep, reference, hypothesis).mapInArrow(run, f"{kinds}, outcome string, ref_place int, hyp_place int, word string, heard string")
 
 
 def decompose(pairs: DataFrame, keys: list[str], reference: str, hypothesis: str, raw: str, language: str, glossary: DataFrame | None = None) -> DataFrame:

@@ -110,3 +110,11 @@ def test_decomposition_by_class(spark):
     assert {r.corpus: tuple(r)[1:] for r in totals(steps, ["corpus"]).collect()} == {"d1": (12, 1, 4, 1, 0.5), "d2": (0, 0, 0, 2, 0.0)}
     assert [tuple(r) for r in proper_noun_recall(steps, []).collect()] == [(0, 2, 0.0)]
     assert alignment_rows(df.limit(0), ["k"], "ref", "hyp").count() == 0
+
+
+def test_alignment_rows_come_in_arrow_batches(spark):
+    pairs = spark.createDataFrame([(1, ["a", "b"], ["a"]), (2, None, ["x"]), (3, [], None), (4, [None], ["y"])], "k int, ref array<string>, hyp array<string>")
+    steps = alignment_rows(pairs, ["k"], "ref", "hyp")
+    assert "MapInArrow" in steps._jdf.queryExecution().toString()
+    got = sorted((r.k, r.outcome, r.ref_place, r.hyp_place, r.word, r.heard) for r in steps.collect())
+    assert got == [(1, "delete", 1, None, "b", None), (1, "equal", 0, 0, "a", "a"), (2, "insert", None, 0, None, "x"), (4, "substitute", 0, 0, None, "y")]
