@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.phonetics import sound_key
 from ..functions.text import edit_similarity, jaccard
 from .minutes import terms
+from .scoring import spread
 
 CITATIONS = 4
 SOUND = 0.85  # from here on, how alike two texts sound counts as well as their terms
@@ -45,5 +46,5 @@ def merge_similar(items: DataFrame, keys: list[str], threshold: float = 0.6, cit
         best = F.array_max(F.filter(scored, lambda s: s.s >= threshold))
         return F.when(best.isNull(), F.array_append(leaders, led(x))).otherwise(F.transform(leaders, lambda a, i: F.when(i == -best.back, joined(a, x)).otherwise(a)))
 
-    merged = held.select(*keys, F.explode(F.aggregate("items", none, put)).alias("m"))
+    merged = spread(held, keys).select(*keys, F.explode(F.aggregate("items", none, put)).alias("m"))
     return merged.select(*keys, "m.leader", F.col("m.n").alias("n_merged"), "m.text", "m.owner", "m.due", F.slice(F.array_sort("m.units"), 1, citations).alias("units"))

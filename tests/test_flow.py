@@ -134,3 +134,11 @@ def test_word_labels_make_no_row_for_each_word_and_label(spark):
     labelled = word_labels(words, turns)
     assert [r.label for r in labelled.orderBy("nth").collect()] == ["x", "x", "y", "y"]
     assert "FlatMapGroupsInPandas" not in labelled._jdf.queryExecution().toString()
+
+
+def test_merging_deals_meetings_to_all_tasks(spark):
+    rows = [(m, p, t, None, None, p) for m in range(40) for p, t in enumerate(["send the report", "send report the", "book a room"])]
+    items = spark.createDataFrame(rows, "g int, pos int, text string, owner string, due date, unit int")
+    merged = merge_similar(items, ["g"])
+    assert merged.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r.g, r.leader, r.n_merged) for r in merged.collect()) == sorted((m, p, n) for m in range(40) for p, n in ((0, 2), (2, 1)))
