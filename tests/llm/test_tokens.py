@@ -175,3 +175,12 @@ def test_configurations_cover_the_need():
 def test_over_limit(docs):
     r = token_counts(docs, BYTE, limit=100).agg(F.sum((F.col("n_tokens") > 100).cast("int")), F.sum(F.col("over_limit").cast("int"))).first()
     assert r[0] == r[1]
+
+
+def test_a_batch_is_encoded_in_one_run(monkeypatch):
+    c, runs = IdCoder(WORD), []
+    spread = c.spread
+    monkeypatch.setattr(c, "spread", lambda texts: runs.append(len(texts)) or spread(texts))
+    texts = [f"some words of text {k % 7} " * 300 + "end" for k in range(900)]  # about 6 MB
+    ids = list(c.encode_all(pa.array(texts)))
+    assert runs == [900] and [x.tolist() for x in ids[:7]] == [c.library.encode(t, add_special_tokens=False).ids for t in texts[:7]]
