@@ -201,8 +201,8 @@ def shingle_rarity(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
 
 
 def shingle_prefixes(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(``id``, ``x``, ``n``, ``cells``, ``sig``, ``prefix``): a hash that names the text, its number of distinct shingles, parity fingerprint
-    with the bit counts of its segments, and rarest shingles.
+    """(``id``, ``x``, ``fp``, ``n``, ``cells``, ``sig``, ``prefix``): a hash that names the text, its SimHash, its number of distinct shingles, parity
+    fingerprint with the bit counts of its segments, and rarest shingles.
 
     Two sets of Jaccard similarity s or more share one of the first ``n - ceil(s n) + 1`` shingles of each, in an order
     that all sets follow. A bit of the fingerprint says whether an odd number of shingles fall on it, so two fingerprints differ in at
@@ -215,9 +215,11 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, id_col: str
         classes = rarity.value
         forget_coders()
         for b in batches:
-            sizes, cells, sigs, firsts = [], [], [], []
+            fps, sizes, cells, sigs, firsts = [], [], [], [], []
             for t in b.column(2):
-                h = np.unique(shingle_hashes(t.as_py(), words))
+                h = shingle_hashes(t.as_py(), words)
+                fps.append(majority(h))
+                h = np.unique(h)
                 n = len(h)
                 order = np.argsort(classes[(h % np.uint64(SKETCH)).astype(np.int64)], kind="stable")  # h ascends, so ties go by hash
                 sizes.append(n)
@@ -225,11 +227,11 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, id_col: str
                 cells.append(odd.reshape(CELLS, -1).sum(axis=1, dtype=np.int32))
                 sigs.append(np.packbits(odd).view(np.int64))
                 firsts.append(h[order[: n - math.ceil(similarity * n - 1e-9) + 1]].view(np.int64) if n else np.zeros(1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(sigs, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], ["id", "x", "n", "cells", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(sigs, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], ["id", "x", "fp", "n", "cells", "sig", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_name(text_col).alias("x"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, x long, n int, cells array<int>, sig array<long>, prefix array<long>")
+    return rows.mapInArrow(run, f"id {kind}, x long, fp long, n int, cells array<int>, sig array<long>, prefix array<long>")
 
 
 def text_name(text_col: str) -> Column:
@@ -247,16 +249,19 @@ def differing_bits(a: Column, b: Column) -> Column:
 
 
 def near_text_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Texts with their least document, and links between texts whose shingle sets have a Jaccard similarity of ``similarity``.
-
-    A range join of the parity fingerprints' segment counts: texts that share one of their rarest shingles (an exact prefix filter,
-    which loses no pair) meet, those whose sizes and segment counts are near enough under the Manhattan distance go on, the
-    fingerprints' own distance rules out most of the rest, and shingle sets decide. Of the texts that share a shingle all are
-    compared with the least; those that differ from it are then compared with the rest.
+    """Texts with their least document, and links between texts whose shingle sets have a Jaccard similarity of ``similarity``, with the same
+    components as all such pairs.
+
+    SimHash fingerprints that ``links`` joins on its grid, and texts of one fingerprint, are looked at first. As 2 of 64 bits reach only very near
+    texts, those that share one of their rarest shingles (an exact prefix filter, which loses no pair) meet as well: all with the least of them,
+    and then those outside the largest component of the group with all of another component. A group of near copies that hang together makes pairs
+    in proportion to its members; texts that share a rare shingle and link to none are compared with all such, in number with the square of the
+    group. Of any pair the sizes, the segment counts of the parity fingerprints
+    under the Manhattan distance and these fingerprints' own distance rule out most, and shingle sets decide.
     """
     spark = docs.sparkSession
     found, found_path = save(shingle_prefixes(docs, words, similarity, id_col, text_col), "prefixes")
-    texts, _ = save(found.groupBy("x").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.any_value(F.struct("n", "cells", "sig", "prefix")).alias("own")).select("x", "least", "rows", "own.*"), "texts")
+    texts, _ = save(found.groupBy("x").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.any_value(F.struct("fp", "n", "cells", "sig", "prefix")).alias("own")).select("x", "least", "rows", "own.*"), "texts")
     remove(spark, found_path)
     placed = texts.select("x", F.explode("prefix").alias("cell"))
     heads = placed.groupBy("cell").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("cell", "lo", "n")
@@ -288,13 +293,26 @@ def near_text_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         remove(spark, near_path, sets_path)
         return out, path
 
-    first, _ = verify(members.filter("x > lo").select("x", F.col("lo").alias("y")).distinct())
-    linked = first.select("x", F.col("y").alias("lo"))
-    apart = members.filter("x > lo and n > 2").join(linked, ["x", "lo"], "left_anti").select("cell", "x", "lo")
-    others = members.filter("x > lo and n > 2").select("cell", F.col("x").alias("y"))
-    again = apart.join(others, "cell").filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    second, _ = verify(again)
-    remove(spark, members_path)
+    classes, classes_path = save(texts.groupBy("fp").agg(F.min("x").alias("head")), "classes")
+    near_fps = links(classes.select("fp")).join(classes.withColumnsRenamed({"fp": "a", "head": "x"}), "a").join(classes.withColumnsRenamed({"fp": "b", "head": "y"}), "b").select("x", "y")
+    alike = near_fps.unionByName(texts.join(classes, "fp").filter("x > head").select("x", F.col("head").alias("y")))
+    pair = F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")
+    first, _ = verify(alike.unionByName(members.filter("x > lo").select("x", F.col("lo").alias("y"))).select(*pair).distinct())
+    remove(spark, classes_path)
+
+    def unsettled(found: DataFrame) -> tuple[DataFrame, str]:
+        """Members of cells that lie in several components of ``found``, with their component and the cell's most frequent one."""
+        placed = members.filter("n > 2").select("cell", "x").join(components(found, "x", "y"), F.col("x") == F.col("node"), "left").select("cell", "x", F.coalesce("root", "x").alias("root"))
+        placed, placed_path = save(placed, "placed")
+        most = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", True).alias("main")).filter("lo < hi").select("cell", "main")
+        out, path = save(placed.join(most, "cell"), "unsettled")
+        remove(spark, placed_path)
+        return out, path
+
+    mixed, mixed_path = unsettled(first)
+    apart = mixed.filter("root <> main").select("cell", F.col("x").alias("y"), F.col("root").alias("y_root"))
+    second, _ = verify(mixed.join(apart, "cell").filter("root <> y_root").select(*pair).distinct())
+    remove(spark, mixed_path, members_path)
     return texts.select("x", "least", "rows"), first.unionByName(second).distinct()
 
 

@@ -30,7 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first by id, of each group of near copies: five-word shingles, similarity 0.8."""
+    """One document, the first by id, of each group of near copies: five-word shingles, similarity 0.8.
+
+    SimHash fingerprints meet on the grid of segment counts, and shingle sets decide; an exact search by rare shingles adds the links beyond 2 bits.
+    """
     return near_dedup(docs, words=5, similarity=0.8)
 
 

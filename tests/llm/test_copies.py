@@ -242,3 +242,38 @@ def test_near_text_links_find_all_short_pairs(spark):
     want = {(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     got = {tuple(sorted((ids[r.x], ids[r.y]))) for r in linked.collect()}
     assert len(want) >= 180 and got == want
+
+
+def test_near_texts_of_a_large_group_make_pairs_in_proportion(spark, monkeypatch):
+    """Variants of one text, of which half are alike: the pairs looked at do not grow with the square of their number."""
+    rng, seen = random.Random(3), []
+    real = simhash.save
+
+    def count(df, label):
+        out = real(df, label)
+        if label == "near":
+            seen.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(simhash, "save", count)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for i in rng.sample(range(200), 4):
+            w[i] = f"c{k}x{i}"
+        rows.append(" ".join(w))
+    sets = [shingles(t) for t in rows]
+    alike = [(i, j) for i in range(160) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    kept = simhash.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert 0 < len(alike) < 160 * 159 / 2 and sorted(r.doc_id for r in kept.collect()) == sorted(set(groups(160, alike)))
+    assert sum(seen) < 160 * 20
+
+
+def test_near_texts_meet_on_the_simhash_grid(spark, monkeypatch):
+    met = []
+    real = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps: met.append(fps.count()) or real(fps))
+    texts = [" ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(301)), "another text"]
+    _, linked = simhash.near_text_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert linked.count() == 1 and met == [len({fingerprint(t, 5) for t in texts})]
