@@ -248,6 +248,26 @@ def differing_bits(a: Column, b: Column) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(LONGS)), F.lit(0))
 
 
+def can_be_near(similarity: float) -> Column:
+    """Whether texts ``a`` and ``b`` (structs of ``n``, ``cells``, ``sig``) can be similar: sizes, segment counts and parity fingerprints."""
+    # sets of n and m shingles with similarity s have s / (1 + s) of n + m in common, and differ in what is left
+    both_n = F.col("a.n") + F.col("b.n")
+    apart_by = both_n - 2 * F.ceil(both_n * (similarity / (1 + similarity)) - 1e-9)
+    sizes_fit = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-9
+    return sizes_fit & (cell_distance(F.col("a.cells"), F.col("b.cells")) <= apart_by) & (differing_bits(F.col("a.sig"), F.col("b.sig")) <= apart_by)
+
+
+def pairs_apart(mixed: DataFrame, similarity: float) -> DataFrame:
+    """(``x``, ``y``), x > y: texts of one cell that lie in different components and can be similar, one of them outside the cell's ``main`` component.
+
+    ``mixed`` has ``cell, x, root, main`` and ``a``, the text's size and fingerprint: they are compared in the join, so that only pairs that can be
+    similar are made, however many texts share the cell. The comparisons themselves still grow with the square of a cell whose texts do not link.
+    """
+    other = mixed.filter("root <> main").select("cell", F.col("x").alias("y"), F.col("root").alias("y_root"), F.col("a").alias("b"))
+    met = mixed.join(other, (mixed.cell == other.cell) & (F.col("root") != F.col("y_root")) & can_be_near(similarity))
+    return met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+
+
 def near_text_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Texts with their least document, and links between texts whose shingle sets have a Jaccard similarity of ``similarity``, with the same
     components as all such pairs.
@@ -268,14 +288,9 @@ def near_text_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     members, members_path = save(placed.join(heads, "cell").select("cell", "x", "lo", "n"), "members")
 
     sigs = texts.select("x", F.struct("n", "cells", "sig").alias("a"))
-    # sets of n and m shingles with similarity s have s / (1 + s) of n + m in common, and differ in what is left
-    both_n = F.col("a.n") + F.col("b.n")
-    apart_by = both_n - 2 * F.ceil(both_n * (similarity / (1 + similarity)) - 1e-9)
-    sizes_fit = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-9
 
-    def verify(pairs: DataFrame) -> tuple[DataFrame, str]:
-        near = pairs.join(sigs, "x").join(sigs.withColumnsRenamed({"x": "y", "a": "b"}), "y").filter(sizes_fit)
-        near = near.filter((cell_distance(F.col("a.cells"), F.col("b.cells")) <= apart_by) & (differing_bits(F.col("a.sig"), F.col("b.sig")) <= apart_by))
+    def verify(pairs: DataFrame, compared: bool = False) -> tuple[DataFrame, str]:
+        near = pairs if compared else pairs.join(sigs, "x").join(sigs.withColumnsRenamed({"x": "y", "a": "b"}), "y").filter(can_be_near(similarity))
         near, near_path = save(near.select("x", "y"), "near")
         ends = near.select("x").unionByName(near.select(F.col("y").alias("x"))).distinct()
         named = docs.select(text_name(text_col).alias("x"), F.col(text_col).alias("text")).join(ends, "x", "left_semi")
@@ -305,13 +320,12 @@ def near_text_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         placed = members.filter("n > 2").select("cell", "x").join(components(found, "x", "y"), F.col("x") == F.col("node"), "left").select("cell", "x", F.coalesce("root", "x").alias("root"))
         placed, placed_path = save(placed, "placed")
         most = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", True).alias("main")).filter("lo < hi").select("cell", "main")
-        out, path = save(placed.join(most, "cell"), "unsettled")
+        out, path = save(placed.join(most, "cell").join(sigs, "x"), "unsettled")
         remove(spark, placed_path)
         return out, path
 
     mixed, mixed_path = unsettled(first)
-    apart = mixed.filter("root <> main").select("cell", F.col("x").alias("y"), F.col("root").alias("y_root"))
-    second, _ = verify(mixed.join(apart, "cell").filter("root <> y_root").select(*pair).distinct())
+    second, _ = verify(pairs_apart(mixed, similarity), compared=True)
     remove(spark, mixed_path, members_path)
     return texts.select("x", "least", "rows"), first.unionByName(second).distinct()
 

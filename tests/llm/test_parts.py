@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import line_dedup
+from colloquy.llm import line_dedup, simhash
 
 
 def test_similar_lines_share_a_key_and_others_do_not(spark):
@@ -42,3 +42,15 @@ def test_parts_of_few_tokens_lose_no_match(spark):
     assert [r.removed for r in line_dedup.line_report(docs).orderBy("doc_id").collect()] == ["", "0", ""]
     keyed = [set(r["keys"]) for r in line_dedup.part_keys(docs.withColumnRenamed("text", "line"), 0.9).orderBy("doc_id").collect()]
     assert keyed[0] & keyed[1] and not keyed[0] & keyed[2]
+
+
+def test_texts_that_share_a_rare_shingle_are_paired_only_if_they_can_be_near(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [" ".join([passage, *(f"r{rng.random()}" for _ in range(90))]) for _ in range(60)]
+    rows.append(rows[0].replace("p0 ", "q0 "))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = simhash.shingle_prefixes(docs, 5, 0.8, "doc_id", "text")
+    mixed = found.select(F.lit(1).alias("cell"), "x", F.col("x").alias("root"), F.lit(0).alias("main"), F.struct("n", "cells", "sig").alias("a"))
+    ids = {r["x"]: r["id"] for r in found.collect()}
+    assert [sorted((ids[r["x"]], ids[r["y"]])) for r in simhash.pairs_apart(mixed, 0.8).collect()] == [[0, 60]]
