@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scoring import DELETED, EQUAL, INSERTED, STRIDE, SUBSTITUTED, assignment, for_each_meeting, numbered, positions, sides
+from .scoring import DELETED, EQUAL, INSERTED, SUBSTITUTED, assignment, for_each_meeting, numbered, positions, sides
 
 OUTCOMES = (SUBSTITUTED, DELETED, INSERTED, EQUAL)
 
@@ -40,19 +39,45 @@ def windows(ref: np.ndarray, hyp: np.ndarray, collar: float) -> tuple[np.ndarray
     return low, np.maximum(high, low - 1)
 
 
-def windowed_rows(a: list[int], spans: list[tuple[int, int]], places: dict[int, list[int]], size: int, state: tuple[int, int]) -> Iterator[tuple[int, int, int, int]]:
-    """``scoring.edit_rows`` where an item meets only the places of its span, both ends included: the sets of places where two meet at least cost, where edits rise from the row
-    above, and where they rise and fall along the row.
+def windowed_rows(a: list[int], b: list[int], low: np.ndarray, high: np.ndarray) -> tuple[list[tuple[int, int, int, int]], int]:
+    """For each item of ``a`` (places where two meet at least cost, places where it is dropped at least cost, first place, end) and the least cost of all, where item ``i`` of ``a``
+    may only meet those of ``b`` from ``low[i]`` to ``high[i]``.
 
-    Places outside the span are as items that may not even be replaced, so a rise runs on through them.
+    As ``scoring.edit_rows``, on the places alone that this or an earlier item may meet, and this or a later one: past them costs rise by one a place, and before them every
+    item of ``a`` is dropped, whatever was met there. Places outside an item's span are as items that may not even be replaced, so a rise runs on through them.
     """
-    full = (1 << size) - 1
-    rise, fall = state
-    for w, (first, last) in zip(a, spans, strict=True):
-        window = ((1 << last + 1) - (1 << first)) & full
-        same = 0
-        for j in places.get(w, ()):
-            same |= 1 << j
+    n, m = len(a), len(b)
+    spans = [(max(0, x), min(m, y + 1)) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+    ends, end = [], 0
+    for first, last in spans:
+        end = max(end, last) if last > first else end
+        ends.append(end)
+    begins, begin = [0] * n, m
+    for i in range(n - 1, -1, -1):
+        begin = min(begin, spans[i][0]) if spans[i][1] > spans[i][0] else begin
+        begins[i] = min(begin, ends[i])
+    places = positions(b)
+    upto = dict.fromkeys(places, 0)
+    out, rise, fall, lo, hi, cost = [], 0, 0, 0, 0, 0
+    for w, (first, last), begin, end in zip(a, spans, begins, ends, strict=True):
+        if end > hi:
+            rise |= (1 << end - lo) - (1 << hi - lo)
+            hi = end
+        if begin > lo:
+            passed = (1 << begin - lo) - 1
+            cost += (rise & passed).bit_count() - (fall & passed).bit_count()
+            rise, fall, lo = rise >> begin - lo, fall >> begin - lo, begin
+        full = (1 << hi - lo) - 1
+        window = (1 << last - lo) - (1 << first - lo) if last > first else 0
+        same, found = 0, places.get(w, ())
+        k = upto.get(w, 0)
+        while k < len(found) and found[k] < lo:
+            k += 1
+        if found:
+            upto[w] = k
+        while k < len(found) and found[k] < last:
+            same |= 1 << found[k] - lo
+            k += 1
         same &= window
         lower = ((((same & rise) + rise) ^ rise) | same) & rise
         before = lower << 1 & full
@@ -62,36 +87,31 @@ def windowed_rows(a: list[int], spans: list[tuple[int, int]], places: dict[int,
         start = (begun << 1 | 1) & closed
         drop = begun | (((start + closed) ^ closed) | start) & closed
         after = (drop << 1 | 1) & full
+        out.append((same | window & ~level, drop, lo, hi))
         rise, fall = before | (full ^ (before | after | level)) | closed & after, after & level
-        yield same | window & ~level, drop, rise, fall
+    return out, cost + n + rise.bit_count() - fall.bit_count() + m - hi
 
 
 def windowed_counts(a: list[int], b: list[int], low: np.ndarray, high: np.ndarray) -> tuple[int, int, int, int]:
     """(substitutions, deletions, insertions, hits) of the least-edits alignment where item ``i`` of ``a`` may only meet those of ``b`` from ``low[i]`` to ``high[i]``.
 
-    Of equal costs, seen from the end, two items meet first, then one is dropped, then one is added. Every ``STRIDE``-th row is kept; the rows between them are made again on the way back.
+    Of equal costs, seen from the end, two items meet first, then one is dropped, then one is added.
     """
     i, j = len(a), len(b)
-    places, spans = positions(b), list(zip(low.tolist(), high.tolist(), strict=True))
-    states = [((1 << j) - 1, 0)]
-    states += [(rise, fall) for k, (_, _, rise, fall) in enumerate(windowed_rows(a, spans, places, j, states[0]), 1) if k % STRIDE == 0]
+    rows, _ = windowed_rows(a, b, low, high)
     counts = dict.fromkeys(OUTCOMES, 0)
     while i and j:
-        top = (i - 1) // STRIDE * STRIDE
-        within = (1 << j) - 1
-        rise, fall = states[top // STRIDE]
-        rows = [(met, drop) for met, drop, _, _ in windowed_rows(a[top:i], spans[top:i], places, j, (rise & within, fall & within))]
-        while i > top and j:
-            met, drop = rows[i - 1 - top]
-            if met >> (j - 1) & 1:
-                i, j = i - 1, j - 1
-                counts[EQUAL if a[i] == b[j] else SUBSTITUTED] += 1
-            elif drop >> (j - 1) & 1:
-                i -= 1
-                counts[DELETED] += 1
-            else:
-                j -= 1
-                counts[INSERTED] += 1
+        met, drop, lo, hi = rows[i - 1]
+        at = min(j, hi) - 1 - lo
+        if j <= hi and at >= 0 and met >> at & 1:
+            i, j = i - 1, j - 1
+            counts[EQUAL if a[i] == b[j] else SUBSTITUTED] += 1
+        elif at < 0 or drop >> at & 1:
+            i -= 1
+            counts[DELETED] += 1
+        else:
+            j -= 1
+            counts[INSERTED] += 1
     counts[DELETED] += i
     counts[INSERTED] += j
     return tuple(counts[op] for op in OUTCOMES)
@@ -126,6 +146,20 @@ def speaker_stream(rows: list[dict]) -> Stream:
     return [w[4] for w in words], np.array([w[:2] for w in words], dtype=float)
 
 
+def timed_permutation(meeting: list[dict], collar_ms: float) -> tuple[int, ...]:
+    """(substitutions, deletions, insertions, hits, reference words, missed, false speakers) of a meeting's rows, all with tokens."""
+    streams = [{}, {}]
+    for row in meeting:
+        streams[row["side"]].setdefault(row["speaker"], []).append(row)
+    a, b = ([speaker_stream(rows) for _, rows in sorted((k, v) for k, v in side.items() if k is not None)] for side in streams)
+    size = max(len(a), len(b))
+    missed, extra = size - len(b), size - len(a)
+    counts = [[stream_counts(x, y, collar_ms) for y in b + [None] * missed] for x in a + [None] * extra]
+    cost = np.array([[sum(c[:3]) for c in row] for row in counts])
+    best = np.array([counts[r][c] for r, c in assignment(cost)], dtype=int).reshape(-1, 4).sum(axis=0)
+    return *map(int, best), int(best[0] + best[1] + best[3]), missed, extra
+
+
 def time_constrained_wer(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_ms: float = 5000) -> DataFrame:
     """(keys, ``substitutions, deletions, insertions, hits, reference_words, missed_speakers, false_alarm_speakers, tcpwer``).
 
@@ -135,16 +169,7 @@ def time_constrained_wer(reference: DataFrame, hypothesis: DataFrame, keys: list
     names = ["substitutions", "deletions", "insertions", "hits", "reference_words", "missed_speakers", "false_alarm_speakers"]
 
     def solve(meeting: list[dict]) -> tuple[int, ...]:
-        streams = [{}, {}]
-        for row in meeting:
-            streams[row["side"]].setdefault(row["speaker"], []).append(row)
-        a, b = ([speaker_stream(rows) for _, rows in sorted((k, v) for k, v in side.items() if k is not None)] for side in streams)
-        size = max(len(a), len(b))
-        missed, extra = size - len(b), size - len(a)
-        counts = [[stream_counts(x, y, collar_ms) for y in b + [None] * missed] for x in a + [None] * extra]
-        cost = np.array([[sum(c[:3]) for c in row] for row in counts])
-        best = np.array([counts[r][c] for r, c in assignment(cost)]).sum(axis=0)
-        return *map(int, best), int(best[0] + best[1] + best[3]), missed, extra
+        return timed_permutation(meeting, collar_ms)
 
     spoken = sides(reference, hypothesis, keys, "start_ms", "end_ms").filter(F.size("tokens") > 0)
     found = for_each_meeting(spoken, keys, solve, dict.fromkeys(names, "long"))

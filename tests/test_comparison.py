@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from colloquy.operators.comparison import compare_systems, comparison_markdown, gate_verdicts, speaker_outcomes
+from colloquy.operators.comparison import compare_systems, comparison_markdown, for_each_system, gate_verdicts, speaker_outcomes
 from colloquy.operators.scoring import edit_counts, permutation_wer
 from colloquy.operators.timed import time_constrained_wer
 
@@ -77,3 +77,17 @@ def test_gates(spark):
     gates = [("read", "en", "must", "wer", "<=", 0.1), ("read", "fr", "must", "wer", "<", 0.1), ("meeting", "fr", "must", "wer", "<", 0.1), ("meeting", "all", "goal", "rtf", ">", 0.5)]
     got = gate_verdicts(spark.createDataFrame(seen, "subject string, kind string, language string, metric string, value double"), spark.createDataFrame(gates, "kind string, language string, tier string, metric string, op string, threshold double"), "fr")
     assert sorted((r.subject, r.tier, r.metric, r.status) for r in got.collect()) == [("a", "must", "wer", "passed"), ("b", "must", "wer", "failed"), ("c", "goal", "rtf", "passed"), ("c", "must", "wer", "missing")]
+
+
+def test_report_of_one_pass_equals_the_one_of_scores_and_outcomes(spark):
+    rng = random.Random(8)
+    ref = [r for m in (1, 2, 3) for r in made(rng, ["ana", "bo", None], m)] + [(4, 0, "ana", 0, 70_000, [])]
+    hyp = [(m, i, rng.choice([s, "x"]), a, b, [w for w in t if rng.random() < 0.7], name) for m, i, s, a, b, t in ref for name in ("near", "far")]
+    said, heard = spark.createDataFrame(ref, SAID), spark.createDataFrame(hyp + [(3, 99, "y", None, None, None, "mute"), (9, 0, "z", 0, 1, ["a"], "near")], SAID + ", system string")
+    outcomes = speaker_outcomes(for_each_system(said, heard, "meeting_id"), heard, ["meeting_id", "system"])
+    want = {r.meeting_id: r.document for r in comparison_markdown(compare_systems(said, heard), outcomes).collect()}
+    one = comparison_markdown(compare_systems(said, heard, kept=True))
+    assert {r.meeting_id: r.document for r in one.collect()} == want and set(want) == {1, 2, 3}
+    # words are dealt to their meetings once, and scored once
+    plan = one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and plan.count("REPARTITION_BY_NUM") == 1

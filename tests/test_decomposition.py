@@ -8,7 +8,7 @@ import pytest
 
 from colloquy.operators.decomposition import alignment_rows, category_counts, decompose, proper_noun_recall, proper_nouns, totals
 from colloquy.operators.scoring import align_words
-from colloquy.operators.timed import time_constrained_wer, timed_counts, windows
+from colloquy.operators.timed import time_constrained_wer, timed_counts, windowed_rows, windows
 
 
 def plain_counts(ref, hyp, allowed=lambda i, j: True):
@@ -118,3 +118,13 @@ def test_alignment_rows_come_in_arrow_batches(spark):
     assert "MapInArrow" in steps._jdf.queryExecution().toString()
     got = sorted((r.k, r.outcome, r.ref_place, r.hyp_place, r.word, r.heard) for r in steps.collect())
     assert got == [(1, "delete", 1, None, "b", None), (1, "equal", 0, 0, "a", "a"), (2, "insert", None, 0, None, "x"), (4, "substitute", 0, 0, None, "y")]
+
+
+def test_timed_alignments_of_long_streams_look_at_the_words_within_reach_alone():
+    rng = random.Random(4)
+    starts = [300 * k for k in range(5000)]
+    spans = [[(a + s, a + s + 300) for a in starts] for s in (0, 150)]
+    ids = [rng.randrange(400) for _ in starts]
+    low, high = windows(*(np.array(s, dtype=float) for s in spans), 5000)
+    rows, cost = windowed_rows(ids, [x if k % 9 != 8 else -1 for k, x in enumerate(ids)], low, high)
+    assert cost == 555 and max(hi - lo for _, _, lo, hi in rows) < 50
