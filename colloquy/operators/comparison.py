@@ -5,12 +5,15 @@ A meeting with all its systems is one row: its words are dealt once, whatever th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .profiles import BUCKETS, LAST_BUCKET, duration_bucket
-from .scoring import align_words, assignment, diarization_counts, edit_counts, edit_distance, gate_status, numbered, permutation_counts, rate, rows_for_each_meeting, sides, spoken_words
+from .scoring import align_words, assignment, diarization_counts, edit_counts, gate_status, permutation_counts, rate, rows_for_each_meeting, sides, spoken_words, stream_distance
 from .timed import timed_permutation
 
 COUNTS = ("substitutions", "deletions", "insertions", "hits")
@@ -21,7 +24,7 @@ def by_place(rows: list[dict]) -> list[dict]:
     return sorted(rows, key=lambda r: (r["idx"] is not None, r["idx"] or 0, [(w is not None, w or "") for w in r["tokens"] or ()]))
 
 
-def speaker_streams(rows: list[dict]) -> dict[str | None, tuple[list[str], float]]:
+def speaker_streams(rows: list[dict]) -> dict[str | None, tuple[tuple[str, ...], float]]:
     """Each speaker's tokens in order of ``idx`` and time spoken. Null speakers are one of their own."""
     tokens: dict[str | None, list[str]] = {}
     spoken: dict[str | None, float] = {}
@@ -29,20 +32,20 @@ def speaker_streams(rows: list[dict]) -> dict[str | None, tuple[list[str], float
         tokens.setdefault(row["speaker"], []).extend(row["tokens"] or ())
         known = row["start_ms"] is not None and row["end_ms"] is not None
         spoken[row["speaker"]] = spoken.get(row["speaker"], 0.0) + (max(row["end_ms"] - row["start_ms"], 0) if known else 0)
-    return {x: (tokens[x], spoken[x]) for x in tokens}
+    return {x: (tuple(tokens[x]), spoken[x]) for x in tokens}
 
 
-def meeting_outcomes(reference: list[dict], hypothesis: list[dict]) -> list[tuple]:
+def meeting_outcomes(reference: list[dict], hypothesis: list[dict], distance: Callable = stream_distance, counts: Callable = edit_counts) -> list[tuple]:
     """(speaker, speech_ms, reference_words, matched, substitutions, deletions, insertions, hits) of every reference speaker; see ``speaker_outcomes``."""
     a = speaker_streams(reference)
     name = lambda x: (x is None, x)
     b = {x: tokens for x, (tokens, _) in speaker_streams(hypothesis).items() if tokens}
     rows, columns = sorted((x for x in a if a[x][0]), key=name), sorted(b, key=name)
     # pairing saves the words of both sides that need no edit of their own: substitutions once, hits twice
-    saved = np.array([[len(a[x][0]) + len(b[y]) - edit_distance(*numbered(a[x][0], b[y])) for y in columns] for x in rows], dtype=float)
+    saved = np.array([[len(a[x][0]) + len(b[y]) - distance(a[x][0], b[y]) for y in columns] for x in rows], dtype=float)
     same = np.array([[x == y for y in columns] for x in rows], dtype=float)
     pairs = {rows[r]: columns[c] for r, c in assignment(-(saved * (len(rows) + 1) + same))}
-    found = {x: edit_counts(a[x][0], b[y]) for x, y in pairs.items()}
+    found = {x: counts(a[x][0], b[y]) for x, y in pairs.items()}
     return [(x, float(spoken), len(tokens), pairs.get(x), *found.get(x, (0, len(tokens), 0, 0))) for x, (tokens, spoken) in a.items()]
 
 
@@ -69,7 +72,7 @@ def for_each_system(reference: DataFrame, hypotheses: DataFrame, key: str) -> Da
     return reference.join(hypotheses.select(key, "system").distinct(), key)
 
 
-def system_scores(meeting: list[dict], collar_ms: float) -> tuple | None:
+def system_scores(meeting: list[dict], collar_ms: float, distance: Callable, counts: Callable) -> tuple | None:
     """(reference_words, hypothesis_words, wer, cpwer, tcpwer, wder) of a system's rows of a meeting; none if neither side has a word."""
     said = [[w for row in by_place([r for r in meeting if r["side"] == n]) for w in row["tokens"] or ()] for n in (0, 1)]
     if not any(said):
@@ -79,7 +82,7 @@ def system_scores(meeting: list[dict], collar_ms: float) -> tuple | None:
     same_order = all([w for w, _ in spoken_words(meeting, n)] == said[n] for n in (0, 1))
     wrong, aligned = diarization_counts(meeting, steps if same_order else None)
     timed = timed_permutation([r for r in meeting if r["tokens"]], collar_ms)
-    cpwer = permutation_counts(meeting)[-1]
+    cpwer = permutation_counts(meeting, distance, counts)[-1]
     words = hits + subs + dels
     return words, hits + subs + adds, (subs + dels + adds) / max(words, 1), cpwer, sum(timed[:3]) / max(timed[4], 1), wrong / aligned if aligned else 0.0
 
@@ -115,9 +118,10 @@ def compare_systems(reference: DataFrame, hypotheses: DataFrame, key: str = "mee
                 heard.setdefault(row["system"], []).append(row)
         if not said:
             return []
-        scores = {name: system_scores(said + rows, collar_ms) for name, rows in heard.items()}
+        edits = cache(stream_distance), cache(edit_counts)  # scores and outcomes ask for the same streams
+        scores = {name: system_scores(said + rows, collar_ms, *edits) for name, rows in heard.items()}
         ranks = {name: n for n, name in enumerate(sorted((x for x in scores if scores[x]), key=lambda x: (scores[x][2], x)), 1)}
-        more = {name: kept_words(meeting_outcomes(said, rows)) if kept else [] for name, rows in heard.items()}
+        more = {name: kept_words(meeting_outcomes(said, rows, *edits)) if kept else [] for name, rows in heard.items()}
         return [(name, *(scores[name] or [None] * len(SCORES)), ranks.get(name), *more[name]) for name in heard if kept or scores[name]]
 
     rows = sides(reference.withColumn("system", F.lit(None).cast("string")), hypotheses.dropna(subset=[key, "system"]), [key], "start_ms", "end_ms", "system")

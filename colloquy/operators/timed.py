@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -57,7 +58,6 @@ def windowed_rows(a: list[int], b: list[int], low: np.ndarray, high: np.ndarray)
         begin = min(begin, spans[i][0]) if spans[i][1] > spans[i][0] else begin
         begins[i] = min(begin, ends[i])
     places = positions(b)
-    upto = dict.fromkeys(places, 0)
     out, rise, fall, lo, hi, cost = [], 0, 0, 0, 0, 0
     for w, (first, last), begin, end in zip(a, spans, begins, ends, strict=True):
         if end > hi:
@@ -69,16 +69,14 @@ def windowed_rows(a: list[int], b: list[int], low: np.ndarray, high: np.ndarray)
             rise, fall, lo = rise >> begin - lo, fall >> begin - lo, begin
         full = (1 << hi - lo) - 1
         window = (1 << last - lo) - (1 << first - lo) if last > first else 0
-        same, found = 0, places.get(w, ())
-        k = upto.get(w, 0)
-        while k < len(found) and found[k] < lo:
-            k += 1
-        if found:
-            upto[w] = k
-        while k < len(found) and found[k] < last:
-            same |= 1 << found[k] - lo
-            k += 1
-        same &= window
+        found = places.get(w, 0)
+        if isinstance(found, int):
+            same = found >> lo & window
+        else:
+            same, k = 0, bisect_left(found, first)
+            while k < len(found) and found[k] < last:
+                same |= 1 << found[k] - lo
+                k += 1
         lower = ((((same & rise) + rise) ^ rise) | same) & rise
         before = lower << 1 & full
         level = same | fall | before

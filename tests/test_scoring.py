@@ -114,3 +114,14 @@ def test_equal_shared_times_pair_the_most_speakers(spark):
     found = spark.createDataFrame(rows, "m long, reference array<string>, hypothesis array<string>, start_ms long, end_ms long")
     got = sorted((r.m, r.a, r.b, r.shared_ms) for r in scoring.speaker_mapping(found, ["m"]).collect())
     assert got == [(m, x, x, v) for m in (1, 2) for x, v in (("assistant", 9850.0), ("system", 22300.0), ("user", 46850.0))]
+
+
+def test_alignments_are_the_same_whatever_is_kept(monkeypatch):
+    rng = random.Random(6)
+    pairs = [tuple([rng.choice("abcde") for _ in range(rng.randrange(300))] for _ in "rh") for _ in range(20)]
+    found = []
+    for short, whole in ((4096, 1 << 24), (0, 0), (4096, 0)):
+        monkeypatch.setattr(scoring, "SHORT", short)
+        monkeypatch.setattr(scoring, "WHOLE", whole)
+        found.append([(scoring.stream_distance(r, h), scoring.align_words(r, h), scoring.edit_counts(r, h), scoring.edit_counts(r, h, scoring.align_words(r, h))) for r, h in pairs])
+    assert found[0] == found[1] == found[2] and all(a == b for _, _, a, b in found[0])
